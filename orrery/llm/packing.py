@@ -13,6 +13,7 @@ for itself; an empty table gives no rows; columns other than those named are ign
 from __future__ import annotations
 
 import math
+import unicodedata
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -26,33 +27,64 @@ END_ID = 1
 #: Documents to a group: a task packs one group at a time, in memory.
 GROUP = 2048
 #: Words whose ids a Python worker remembers; beyond that it starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 
 PIECE_NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
 PIECE = ", ".join(f"{n} long" for n in PIECE_NAMES)
 PACKED = PIECE + ", sequence_id long, offset long"
 
 
+#: ASCII signs that follow a word; the pre-tokenizer parts them from its last letter.
+SIGNS = ".,!?;:|*&%$#-_=+()[]{}<>\"'~^/`@\\"
+
+
+def _byte_letters() -> str:
+    """The letter that byte-level BPE writes for each byte."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = iter(range(256, 512))
+    return "".join(chr(b if b in plain else next(other)) for b in range(256))
+
+
 class WordIds(dict):
     """Ids of each word as little-endian unsigned 32-bit bytes.
 
-    Holds for tokenizers whose pre-tokenizer never joins text over white space and whose normalizer
-    lower-cases, as word_bpe_49k does: a text's ids are then those of its words in turn.
+    Holds for tokenizers that work as word_bpe_49k does: NFC and lower case by character, no token over white
+    space, runs of letters apart from signs, byte-level BPE. A text's ids are then those of its words in
+    turn. Words of letters alone go to the BPE model itself, all others through the whole tokenizer.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = self.tokenizer.encode(word.decode("utf-8"), add_special_tokens=False).ids
-        packed = np.array(ids, dtype="<u4").tobytes()
         if len(self) >= CACHE_WORDS:
             self.clear()
+        text = word.decode("utf-8")
+        packed = self._letters(text) if text.isalpha() else None
+        if packed is None:
+            core = text.rstrip(SIGNS)
+            if len(core) < len(text) and core[-1:].isalpha() and b"<|" not in word:
+                packed = self[core.encode()] + self[text[len(core) :].encode()]
+            else:
+                packed = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         self[word] = packed
         return packed
 
+    def _letters(self, text: str) -> bytes | None:
+        if not text.isascii():
+            if not unicodedata.is_normalized("NFC", text):
+                return None
+            text = "".join(c.lower() for c in text)
+            if not text.isalpha():
+                return None
+            text = text.encode().decode("latin-1").translate(self.letters)
+        elif not text.islower():
+            return None
+        return np.array([t.id for t in self.model.tokenize(text)], dtype="<u4").tobytes()
+
     def of(self, text: str | None) -> bytes:
         data = (text or "").encode("utf-8", "replace")
         if b"<|" not in data:  # special tokens are told by case
