@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import embeddings, mixing, packing, simhash, warc
-from .common import table
+from . import embeddings, mixing, packing, quality, simhash, toxicity, warc
+from .common import crc_of_id, table
 
 
 def vocabulary(name: str) -> str:
@@ -28,6 +29,20 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def _classified(scores: DataFrame, held_out) -> DataFrame:
+    return scores.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), crc_of_id() % 3 == 1
+    return _classified(quality.with_scores(docs, quality.train(docs, table(spark, sf_dir, "labels"), ~held_out)), held_out)
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), crc_of_id() % 5 == 0
+    return _classified(toxicity.with_scores(docs, toxicity.train(docs, table(spark, sf_dir, "labels"), ~held_out)), held_out)
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -37,7 +52,7 @@ def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_simhash, op3_warc, op6_mixing, op8_embeddings)}
+    return {f.__name__: f for f in (op1_packing, op2_simhash, op3_warc, op4_quality, op5_toxicity, op6_mixing, op8_embeddings)}
 
 
 def oracle_sql() -> dict[str, str]:
