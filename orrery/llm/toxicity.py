@@ -1,6 +1,6 @@
 """Toxicity by a linear classifier with a counterfactual penalty.
 
-A text's features are the words in it and their beginnings of 3 to 6 letters (insults are often inflected or
+A text's features are the words in it and their beginnings of 3 to 8 letters (insults are often inflected or
 compounded), each counted once. Of the features of the training documents those are kept that occur in
 several of them and more often in one class than chance allows. Logistic regression fits their weights; where
 a labelled sentence names a group of people, the term is swapped for those of other groups, and the square
@@ -48,7 +48,7 @@ _NAMED = re.compile(r"(?<![^\W\d_])(" + "|".join(IDENTITIES) + r")(?![^\W\d_])")
 def word_features(word: str) -> set[int]:
     data = word.encode("utf-8", "replace")
     found = {zlib.crc32(data, 1)}
-    for k in range(3, min(6, len(word) - 1) + 1):
+    for k in range(3, min(8, len(word) - 1) + 1):
         found.add(zlib.crc32(word[:k].encode("utf-8", "replace"), 1 + k))
     return found
 
