@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bottomk, embeddings, mixing, packing, quality, simhash, toxicity, warc
+from . import bottomk, embeddings, mixing, packing, quality, simhash, suffixes, toxicity, warc
 from .common import crc_of_id, table
 
 
@@ -51,12 +51,16 @@ def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.removals(table(spark, sf_dir, "documents"))
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bottomk.edits(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_simhash, op3_warc, op4_quality, op5_toxicity, op6_mixing, op8_embeddings, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_packing, op2_simhash, op3_warc, op4_quality, op5_toxicity, op6_mixing, op8_embeddings, op9_suffixes, op10_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
