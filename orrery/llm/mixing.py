@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, stored
@@ -93,16 +93,14 @@ def _refine(marked: DataFrame, plan: dict[int, Source], bits: int) -> None:
                 s.threshold = r["least"] + 1
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most_times: int = MOST_TIMES, seed: int = 7) -> DataFrame:
-    """doc_id, size, source_size, target (of the source) and taken, in words; a row for each row of docs."""
-    text = F.coalesce("text", F.lit(""))
-    sized = docs.select(
-        "doc_id",
-        "source",
-        F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
-        F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", text), 64 - ALL_BITS).alias("hash"),
-    )
-    sized = stored(sized, "sizes")
+def _hash(seed: int) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", F.coalesce("text", F.lit(""))), 64 - ALL_BITS)
+
+
+def _planned(docs: DataFrame, weights: tuple[float, ...], most_times: int, seed: int) -> tuple[DataFrame, dict[int, Source], DataFrame]:
+    """Sizes and hashes of documents with the key of their source, the plan, and names of the keys."""
+    size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
+    sized = stored(docs.select("doc_id", "source", size.alias("size"), _hash(seed).alias("hash")), "sizes")
     # A row for each source; UTF-8 bytes sort as code points do.
     sources = sorted(sized.groupBy("source").agg(F.sum("size").alias("size")).collect(), key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-8", "surrogatepass")))
     aims = targets([r["size"] for r in sources], [weights[i % len(weights)] for i in range(len(sources))], most_times)
@@ -119,5 +117,21 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most_times: int =
     while any(s.open for s in plan.values()):
         bits += STEP_BITS
         _refine(marked, plan, bits)
+    return marked, plan, names
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most_times: int = MOST_TIMES, seed: int = 7) -> DataFrame:
+    """doc_id, size, source_size, target (of the source) and taken, in words; a row for each row of docs."""
+    marked, plan, _ = _planned(docs, weights, most_times, seed)
     full = _with_plan(marked, [(s.key, s.size, s.target, s.times, s.threshold) for s in plan.values()], "source_size long, target double, times long, threshold long")
     return full.select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("times") + (F.col("hash") < F.col("threshold")).cast("long"))).alias("taken"))
+
+
+def take(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most_times: int = MOST_TIMES, seed: int = 7) -> DataFrame:
+    """Each row of docs as often as the mixture takes it, all columns; one pass over docs besides that of the sizes."""
+    _, plan, names = _planned(docs, weights, most_times, seed)
+    times = _with_plan(names, [(s.key, s.times, s.threshold) for s in plan.values()], "times long, threshold long").drop("source_key")
+    times = F.broadcast(times) if len(plan) <= BROADCAST_SOURCES else times
+    marked = docs.withColumn("_hash", _hash(seed)).join(times, F.col("source").eqNullSafe(F.col("of_source")))
+    n = F.col("times") + (F.col("_hash") < F.col("threshold")).cast("long")
+    return marked.withColumn("_each", F.explode(F.array_repeat(F.lit(True), n.cast("int")))).select(*docs.columns)

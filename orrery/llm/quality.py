@@ -162,3 +162,17 @@ def with_scores(docs: DataFrame, model, figures_of: Callable = figures) -> DataF
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out) if out else np.zeros(0))], names=["doc_id", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(scored, "doc_id long, score double")
+
+
+def only_good(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """Rows of docs with a score of at least that, all columns; one pass, no shuffle."""
+    shared, place = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def good(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                texts = batch.column(place)
+                keep = np.concatenate([shared.value.score(np.stack([figures(t.as_py()) for t in texts.slice(at, 256)])) for at in range(0, batch.num_rows, 256)]) >= least
+                yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(good, docs.schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bottomk, embeddings, mixing, packing, quality, simhash, suffixes, toxicity, warc
+from . import bottomk, embeddings, lm, mixing, packing, quality, simhash, suffixes, toxicity, warc
 from .common import crc_of_id, table
 
 
@@ -47,6 +47,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"), crc_of_id() % 10 == 0, vocabulary("byte_bpe_multi_50k.tiktoken"))
+
+
 def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -60,7 +64,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_simhash, op3_warc, op4_quality, op5_toxicity, op6_mixing, op8_embeddings, op9_suffixes, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_packing, op2_simhash, op3_warc, op4_quality, op5_toxicity, op6_mixing, op7_lm, op8_embeddings, op9_suffixes, op10_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
