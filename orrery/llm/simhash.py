@@ -52,8 +52,8 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
 
 def _fingerprints(batches: Iterable[pa.RecordBatch], shingle: int, seed: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        prints = np.array([fingerprint(t.as_py(), shingle, seed) for t in batch.column(1)], dtype=np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], names=["doc_id", "print"])
+        prints = np.array([fingerprint(t.as_py(), shingle, seed) for t in batch.column(2)], dtype=np.uint64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints.view(np.int64))], names=["uid", "doc_id", "print"])
 
 
 class VantageTree:
@@ -161,13 +161,37 @@ def links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return prints.select("print").mapInArrow(routed, "leaf int, print long, home boolean").groupBy("leaf").applyInArrow(joined, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """doc_id, fingerprint (16 hexadecimal digits), component_id (smallest doc_id reachable); a row for each row of docs."""
-    own = stored(docs.select("doc_id", "text").mapInArrow(lambda batches: _fingerprints(batches, shingle, seed), "doc_id long, print long"), "prints")
+def _grouped(docs: DataFrame, distance: int, shingle: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """uid, doc_id, print of each row; and print, root (of its component), component_id of each fingerprint."""
+    own = docs.select(F.xxhash64("doc_id", "text").alias("uid"), "doc_id", "text").mapInArrow(lambda batches: _fingerprints(batches, shingle, seed), "uid long, doc_id long, print long")
+    own = stored(own, "prints")
     distinct = stored(own.groupBy("print").agg(F.min("doc_id").alias("first")), "distinct")
     roots = components(links(distinct, distance))
     linked = stored(distinct.join(roots, F.col("print") == F.col("node")).select("print", "root", "first"), "linked")
     lowest = stored(linked.groupBy("root").agg(F.min("first").alias("component_id")), "lowest")
-    linked = linked.join(lowest, "root").select("print", "component_id")
-    of = stored(distinct.join(linked, "print", "left").select("print", F.coalesce("component_id", "first").alias("component_id")), "of")
+    linked = linked.join(lowest, "root").select("print", "root", "component_id")
+    of = distinct.join(linked, "print", "left").select("print", F.coalesce("root", "print").alias("root"), F.coalesce("component_id", "first").alias("component_id"))
+    return own, stored(of, "of")
+
+
+def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """doc_id, fingerprint (16 hexadecimal digits), component_id (smallest doc_id reachable); a row for each row of docs."""
+    own, of = _grouped(docs, distance, shingle, seed)
     return own.join(of, "print").select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """Of each component the row of the smallest doc_id (of equal ids that of the smallest hash of the text), all columns.
+
+    Of rows that are equal in id and text one is kept.
+    """
+    own, of = _grouped(docs, distance, shingle, seed)
+    rows = stored(own.join(of, "print").select("uid", "doc_id", "root"), "rows")
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "uid")).alias("first")).select(F.col("first.uid").alias("uid"))
+    # Few kept rows are repeated; only those go through another shuffle.
+    keep = stored(rows.join(stored(first, "first"), "uid").groupBy("uid").agg(F.count("*").alias("n")), "keep")
+    marked = docs.withColumn("uid", F.xxhash64("doc_id", "text"))
+    kept = marked.join(keep.where("n = 1"), "uid", "left_semi").select(*docs.columns)
+    if keep.where("n > 1").isEmpty():
+        return kept
+    return kept.unionByName(marked.join(keep.where("n > 1"), "uid", "left_semi").dropDuplicates(["uid"]).select(*docs.columns))
