@@ -11,8 +11,11 @@
    sorted up to `length`, the Burrows-Wheeler transform, and a breadth-first backward extension of intervals,
    which sets common prefixes by increasing value and stops at `length`; entries not set by then are longer.
    A window is repeated if its suffix shares `length` bytes with a neighbour in the order.
-   A gram with more stretches than a shard may hold is first taken apart: its windows are counted by hashes
-   of the whole window, formed before the shuffle, so that one very common passage is spread over all tasks.
+   A gram with more stretches than a shard may hold is taken apart instead: its windows are dealt by their
+   distance from the anchor into sections, whose windows share a core of `length` - SECTION + 1 bytes, and the
+   sections by their core. At the edge of a common passage nearly all cores are then unique; the windows of
+   the others are counted by hashes, formed before the shuffle, so that one very common passage is spread
+   over all tasks.
 4. Repeated windows by document give the bytes to remove.
 
 Windows never cross documents: a stretch lies within one. Stretches and windows are told apart by 128 bits of
@@ -37,7 +40,9 @@ from pyspark.sql import functions as F
 from .common import stored
 
 LENGTH, GRAM = 400, 64
-#: Bytes of text aimed at in a shard; stretches of one gram beyond which its windows are counted by hash.
+#: Windows that a section of a hot stretch spans.
+SECTION = 16
+#: Bytes of text aimed at in a shard; stretches of one gram beyond which its windows are taken apart.
 SHARD_BYTES, MOST_STRETCHES = 1 << 20, 512
 #: Bytes of a text that are looked at together.
 PIECE = 1 << 20
@@ -218,26 +223,41 @@ def runs(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
 
 
-def _fetch(batches: Iterable[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Texts of the wanted stretches; windows of the hot ones as hashes."""
-    schema = pa.schema([("uid", pa.int64()), ("gram", pa.int64()), ("first", pa.int64()), ("text", pa.binary()), ("window", pa.binary())])
+def sections(data: bytes, first: int, last: int, length: int, gram: int) -> Iterator[tuple[bytes, int, list[int]]]:
+    """Windows first..last of one anchor in sections: (digest of section and core, first window, hashes of windows)."""
+    head = np.frombuffer(data[first : first + length], np.uint8)
+    anchor = first + int(sliding_least(gram_hashes(head, gram), length - gram + 1)[0])
+    for k in range((anchor - last) // SECTION, (anchor - first) // SECTION + 1):
+        near, far = k * SECTION, k * SECTION + SECTION - 1  # distances of windows before the anchor
+        core = data[anchor - near : anchor + length - far]
+        begin = max(first, anchor - far)
+        hashes = [xxhash.xxh3_64_intdigest(data[s : s + length]) for s in range(begin, min(last, anchor - near) + 1)]
+        yield xxhash.xxh3_128_digest(core + b"%d" % k), begin, hashes
+
+
+FETCHED = pa.schema([("uid", pa.int64()), ("gram", pa.int64()), ("first", pa.int64()), ("text", pa.binary()), ("core", pa.binary()), ("windows", pa.list_(pa.int64()))])
+
+
+def _fetch(batches: Iterable[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """Texts of the wanted stretches; the hot ones in sections."""
     for batch in batches:
         rows: list[tuple] = []
         held = 0
         for uid, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
             data = text.as_py()
             for w in wanted:
+                first, last = w["first"], w["last"]
                 if w["hot"]:
-                    rows += [(uid, w["gram"], s, None, xxhash.xxh3_128_digest(data[s : s + length])) for s in range(w["first"], w["last"] + 1)]
-                    held += 50 * (w["last"] + 1 - w["first"])
+                    rows += [(uid, w["gram"], f, None, core, np.array(h, np.uint64).view(np.int64)) for core, f, h in sections(data, first, last, length, gram)]
+                    held += 20 * (last + 1 - first)
                 else:
-                    rows.append((uid, w["gram"], w["first"], data[w["first"] : w["last"] + length], None))
-                    held += w["last"] + length - w["first"]
+                    rows.append((uid, w["gram"], first, data[first : last + length], None, None))
+                    held += last + length - first
                 if held > 4 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), FETCHED, strict=True)], schema=FETCHED)
                     rows, held = [], 0
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), FETCHED, strict=True)], schema=FETCHED)
 
 
 def _shard(rows: pa.Table, length: int, shard_bytes: int) -> pa.Table:
@@ -272,15 +292,17 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most_stretc
     open_grams = grams.where("texts > 1 AND least = 1").select("gram", (F.col("texts") > most_stretches).alias("hot"))
     wanted = whole.join(open_grams, "gram").select(F.col("one.uid").alias("uid"), F.struct("gram", F.col("one.first").alias("first"), F.col("one.last").alias("last"), "hot").alias("w"))
     wanted = stored(wanted.groupBy("uid").agg(F.collect_list("w").alias("wanted")), "wanted")
-    fetched = docs.select("uid", "data").join(wanted, "uid").select("uid", "data", "wanted").mapInArrow(lambda b: _fetch(b, length), "uid long, gram long, first long, text binary, window binary")
+    fetched = docs.select("uid", "data").join(wanted, "uid").select("uid", "data", "wanted").mapInArrow(lambda b: _fetch(b, length, gram), "uid long, gram long, first long, text binary, core binary, windows array<long>")
     fetched = stored(fetched, "fetched")
     cold = fetched.where("text IS NOT NULL").select("uid", "gram", "first", "text")
     total = fetched.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     shards = max(1, -(-total // shard_bytes))
     sharded = cold.withColumn("shard", F.pmod(F.xxhash64("gram", F.lit(3)), F.lit(shards))).groupBy("shard").applyInArrow(lambda t: _shard(t, length, shard_bytes), "uid long, first long, last long")
-    windows = fetched.where("window IS NOT NULL").select("uid", "first", "window")
-    twice = stored(windows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window"), "twice")
-    hot = windows.join(twice, "window").select("uid", "first", F.col("first").alias("last"))
+    sectioned = fetched.where("core IS NOT NULL").select("uid", "core", "first", "windows")
+    cores = stored(sectioned.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"), "cores")
+    live = stored(sectioned.join(cores, "core").select("uid", "core", "first", F.posexplode("windows").alias("at", "window")), "windows")
+    twice = stored(live.groupBy("core", "window").agg(F.count("*").alias("n")).where("n > 1").select("core", "window"), "twice")
+    hot = live.join(twice, ["core", "window"]).select("uid", (F.col("first") + F.col("at")).alias("first"), (F.col("first") + F.col("at")).alias("last"))
     return marks.unionByName(sharded).unionByName(hot)
 
 
