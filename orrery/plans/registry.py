@@ -1,15 +1,655 @@
-"""The queries of the retrieval engine and their SQL."""
+"""The queries of the retrieval engine over the driver's tables, each with its SQL where SQL can state it.
+
+embeddings are the vectors (vec_id is the row, label a visibility group); edges are derived from the star
+schema. Searches take as queries every vector whose id is divisible by 20.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from orrery.functions import filters as P
+from orrery.functions import names as N
+from orrery.functions import vectors as V
+from orrery.operators import approximate as A
+from orrery.operators import flat, graph
+from orrery.operators import quantize as Q
+from orrery.sources import ingest, schema, store, tenancy
+from orrery.streaming.ingest import windowed
+
+_FOUND: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _FOUND[f.__name__] = (f, sql)
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: f for name, (f, _) in _FOUND.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for name, (_, sql) in _FOUND.items() if sql is not None}
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("row"), F.col("embedding").alias("vec"), "label")
+
+
+def first_vector(spark: SparkSession, sf: str) -> list[float]:
+    return [float(x) for x in vectors(spark, sf).where("row = 0").first()["vec"]]
+
+
+def search_queries(spark: SparkSession, sf: str) -> DataFrame:
+    return vectors(spark, sf).where("row % 20 = 0").select(F.col("row").alias("query_id"), "vec")
+
+
+def edges(spark: SparkSession, sf: str) -> DataFrame:
+    own = lambda kind, key: F.concat(F.lit(kind + "/"), F.col(key).cast("string"))
+    step = lambda df, a, t, b, w: df.select(a.alias("src"), F.lit(t).alias("edge_type"), b.alias("dst"), F.lit(w).alias("weight"))
+    following = vectors(spark, sf).withColumn("next", F.lead("row").over(Window.partitionBy("label").orderBy("row"))).where("next IS NOT NULL")
+    items = table(spark, sf, "lineitem")
+    parts = [
+        step(following, own("vec", "row"), "SAME_LABEL_NEXT", own("vec", "next"), 1.0),
+        step(table(spark, sf, "orders"), own("customer", "o_custkey"), "PLACED", own("order", "o_orderkey"), 0.5),
+        step(items.select("l_orderkey", "l_partkey").distinct(), own("order", "l_orderkey"), "CONTAINS", own("part", "l_partkey"), 0.8),
+        step(items.select("l_partkey", "l_suppkey").distinct(), own("part", "l_partkey"), "SUPPLIED_BY", own("supplier", "l_suppkey"), 0.9),
+        step(table(spark, sf, "customer"), own("customer", "c_custkey"), "IN_NATION", own("nation", "c_nationkey"), 0.25),
+        step(table(spark, sf, "nation"), own("nation", "n_nationkey"), "IN_REGION", own("region", "n_regionkey"), 1.0),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+_EDGES = """edges AS (
+  SELECT 'vec/' || vec_id AS src, 'SAME_LABEL_NEXT' AS edge_type, 'vec/' || nxt AS dst, 1.0::DOUBLE AS weight
+  FROM (SELECT vec_id, lead(vec_id) OVER (PARTITION BY label ORDER BY vec_id) AS nxt FROM embeddings) WHERE nxt IS NOT NULL
+  UNION ALL SELECT 'customer/' || o_custkey, 'PLACED', 'order/' || o_orderkey, 0.5 FROM orders
+  UNION ALL SELECT DISTINCT 'order/' || l_orderkey, 'CONTAINS', 'part/' || l_partkey, 0.8 FROM lineitem
+  UNION ALL SELECT DISTINCT 'part/' || l_partkey, 'SUPPLIED_BY', 'supplier/' || l_suppkey, 0.9 FROM lineitem
+  UNION ALL SELECT 'customer/' || c_custkey, 'IN_NATION', 'nation/' || c_nationkey, 0.25 FROM customer
+  UNION ALL SELECT 'nation/' || n_nationkey, 'IN_REGION', 'region/' || n_regionkey, 1.0 FROM nation)"""
+_Q0 = "q0 AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0)"
+_QS = "qs AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 20 = 0)"
+_DOT = "list_dot_product(embedding::DOUBLE[], q)"
+_L2 = "pow(list_distance(embedding::DOUBLE[], q), 2)"
+_HAMMING = "list_sum(list_transform(range(1, len(embedding) + 1), lambda i: CASE WHEN (embedding[i] >= 0) <> (q[i] >= 0) THEN 1 ELSE 0 END))"
+_CENTROIDS = """cs AS (SELECT label, list(m ORDER BY pos) AS c FROM (
+    SELECT label, pos, avg(x) AS m FROM (SELECT label, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings) GROUP BY label, pos) GROUP BY label)"""
+
+
+def _rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({n: F.round(n, digits) for n in names})
+
+
+# Exact search ------------------------------------------------------------------------------------------
+
+
+def _flat_sql(score: str, direction: str, where: str = "TRUE") -> str:
+    return f"""WITH {_Q0}, s AS (SELECT vec_id AS row, {score} AS score FROM embeddings, q0 WHERE {where}),
+    r AS (SELECT row, score, row_number() OVER (ORDER BY score {direction}, row) AS rank FROM s)
+    SELECT row, round(score, 6) AS score, rank::BIGINT AS rank FROM r WHERE rank <= 10"""
+
+
+def _flat(spark, sf, metric, allowed=None):
+    return _rounded(flat.topk(vectors(spark, sf), first_vector(spark, sf), 10, metric, allowed), "score").select("row", "score", "rank")
+
+
+@query(_flat_sql(_DOT, "DESC"))
+def flat_dot_topk(spark, sf):
+    return _flat(spark, sf, "dot")
+
+
+@query(_flat_sql(_L2, "ASC"))
+def flat_l2_topk(spark, sf):
+    return _flat(spark, sf, "l2")
+
+
+@query(f"""WITH {_Q0}, s AS (SELECT vec_id AS row, list_dot_product(list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))), q) AS score FROM embeddings, q0),
+    r AS (SELECT row, score, row_number() OVER (ORDER BY score DESC, row) AS rank FROM s) SELECT row, round(score, 6) AS score, rank::BIGINT AS rank FROM r WHERE rank <= 10""")
+def flat_cosine_topk(spark, sf):
+    rows = vectors(spark, sf).withColumn("vec", V.normalise(F.col("vec")))
+    return _rounded(flat.topk(rows, first_vector(spark, sf), 10, "cosine"), "score").select("row", "score", "rank")
+
+
+@query(_flat_sql(_DOT, "DESC", "label IN (1, 3, 5)"))
+def flat_filtered_topk(spark, sf):
+    return _flat(spark, sf, "dot", F.col("label").isin(1, 3, 5))
+
+
+_BATCH = f"""{_QS}, t AS (SELECT query_id, vec_id AS row, {_DOT} AS score FROM embeddings, qs),
+    b AS (SELECT query_id, row, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, row) AS rank FROM t)"""
+
+
+def _batch(spark, sf, k=10, metric="dot"):
+    return flat.batch_topk(vectors(spark, sf), search_queries(spark, sf), k, metric)
+
+
+@query(f"WITH {_BATCH} SELECT query_id, row, round(score, 6) AS score, rank::BIGINT AS rank FROM b WHERE rank <= 10")
+def flat_batch_topk(spark, sf):
+    return _rounded(_batch(spark, sf), "score")
+
+
+@query(f"""WITH {_QS}, t AS (SELECT query_id, vec_id AS row, {_L2} AS score FROM embeddings, qs),
+    b AS (SELECT query_id, row, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9), row) AS rank FROM t)
+    SELECT query_id, row, abs(round(score, 6)) AS score, rank::BIGINT AS rank FROM b WHERE rank <= 10""")
+def flat_batch_l2(spark, sf):
+    return _batch(spark, sf, metric="l2").withColumn("score", F.abs(F.round("score", 6)))
+
+
+@query(f"""WITH {_QS}, t AS (SELECT query_id, vec_id AS row, {_DOT} AS score FROM embeddings, qs WHERE label % 2 = 0),
+    b AS (SELECT query_id, row, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, row) AS rank FROM t)
+    SELECT query_id, row, round(score, 6) AS score, rank::BIGINT AS rank FROM b WHERE rank <= 5""")
+def flat_batch_visible(spark, sf):
+    rows = vectors(spark, sf)
+    seen = flat.visible(rows, rows.where("label % 2 = 0").select("row"), "row")
+    return _rounded(flat.batch_topk(seen, search_queries(spark, sf), 5, "dot"), "score")
+
+
+@query("SELECT vec_id AS row, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm FROM embeddings")
+def vector_norms(spark, sf):
+    return vectors(spark, sf).select("row", F.round(V.norm(F.col("vec")), 6).alias("norm"))
+
+
+@query("""WITH n AS (SELECT vec_id AS row, embedding::DOUBLE[] AS v, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings)
+    SELECT row, round(list_sum(list_transform(v, lambda x: x / n)), 6) AS total, round(v[1] / n, 6) AS first FROM n""")
+def vector_normalize(spark, sf):
+    unit = vectors(spark, sf).select("row", V.normalise(F.col("vec")).alias("u"))
+    return unit.select("row", F.round(F.aggregate("u", F.lit(0.0), lambda s, x: s + x), 6).alias("total"), F.round(F.get("u", F.lit(0)), 6).alias("first"))
+
+
+@query(f"WITH {_Q0} SELECT vec_id AS row, round({_L2}, 6) AS l2 FROM embeddings, q0")
+def l2_via_dot(spark, sf):
+    q, v = V.literal(first_vector(spark, sf)), F.col("vec")
+    return vectors(spark, sf).select("row", F.abs(F.round(V.l2_from_dot(V.norm(q), V.dot(v, q), V.norm(v)), 6)).alias("l2"))
+
+
+# Codecs and tiers --------------------------------------------------------------------------------------
+
+
+_INT8 = """c AS (SELECT vec_id AS row, embedding, list_min(embedding)::DOUBLE AS lo, (list_max(embedding)::DOUBLE - list_min(embedding)::DOUBLE) / 255 AS sc FROM embeddings),
+    d AS (SELECT row, embedding, sc, list_transform(embedding::DOUBLE[], lambda x: greatest(0, least(255, floor((x - lo) / sc + 0.5))) * sc + lo) AS dec FROM c)"""
+
+
+@query(f"""WITH {_Q0}, {_INT8}, s AS (SELECT row, list_dot_product(dec, q) AS rough, {_DOT} AS score FROM d, q0 ORDER BY rough DESC, row LIMIT 40),
+    r AS (SELECT row, score, row_number() OVER (ORDER BY score DESC, row) AS rank FROM s) SELECT row, round(score, 6) AS score, rank::BIGINT AS rank FROM r WHERE rank <= 10""")
+def two_tier_int8(spark, sf):
+    return _rounded(A.two_tier_columns(vectors(spark, sf), first_vector(spark, sf), 10, "int8", "dot"), "score").select("row", "score", "rank")
+
+
+@query(f"""WITH {_Q0}, s AS (SELECT vec_id AS row, {_HAMMING} AS far, {_DOT} AS score FROM embeddings, q0 ORDER BY far, row LIMIT 40),
+    r AS (SELECT row, score, row_number() OVER (ORDER BY score DESC, row) AS rank FROM s) SELECT row, round(score, 6) AS score, rank::BIGINT AS rank FROM r WHERE rank <= 10""")
+def two_tier_binary(spark, sf):
+    return _rounded(A.two_tier_columns(vectors(spark, sf), first_vector(spark, sf), 10, "binary", "dot"), "score").select("row", "score", "rank")
+
+
+@query(f"WITH {_INT8} SELECT row, round(list_max(list_transform(range(1, len(dec) + 1), lambda i: abs(dec[i] - embedding[i]::DOUBLE))), 6) AS worst, list_max(list_transform(range(1, len(dec) + 1), lambda i: abs(dec[i] - embedding[i]::DOUBLE))) <= sc / 2 + 1e-9 AS within FROM d")
+def int8_roundtrip_error(spark, sf):
+    coded = vectors(spark, sf).withColumn("r", V.int8_scale(F.col("vec"))).withColumn("codes", V.int8_encode(F.col("vec"), F.col("r.scale"), F.col("r.offset")))
+    coded = coded.withColumn("back", V.int8_decode(F.col("codes"), F.col("r.scale"), F.col("r.offset")))
+    worst = F.array_max(F.zip_with("back", "vec", lambda a, b: F.abs(a - b.cast("double"))))
+    return coded.withColumn("w", worst).select("row", F.round("w", 6).alias("worst"), (F.col("w") <= F.col("r.scale") / 2 + 1e-9).alias("within"))
+
+
+@query(f"WITH {_Q0}, r AS (SELECT vec_id AS row, {_HAMMING} AS far FROM embeddings, q0), k AS (SELECT row, far, row_number() OVER (ORDER BY far, row) AS rank FROM r) SELECT row, far::BIGINT AS far, rank::BIGINT AS rank FROM k WHERE rank <= 10")
+def binary_hamming_topk(spark, sf):
+    far = V.hamming(V.sign_bits(F.col("vec")), V.sign_bits(V.literal(first_vector(spark, sf))))
+    best = vectors(spark, sf).select("row", far.cast("long").alias("far")).orderBy("far", "row").limit(10)
+    return best.withColumn("rank", F.row_number().over(Window.orderBy("far", "row")).cast("long"))
+
+
+@query("""SELECT codec, dim::BIGINT AS dim, (CASE codec WHEN 'none' THEN 4 * dim WHEN 'f16' THEN 2 * dim WHEN 'int8' THEN dim + 8 WHEN 'binary' THEN (dim + 7) // 8 ELSE 8 END)::BIGINT AS bytes,
+    round(4.0 * dim / (CASE codec WHEN 'none' THEN 4 * dim WHEN 'f16' THEN 2 * dim WHEN 'int8' THEN dim + 8 WHEN 'binary' THEN (dim + 7) // 8 ELSE 8 END), 6)::DOUBLE AS ratio
+    FROM (SELECT DISTINCT len(embedding) AS dim FROM embeddings), (SELECT unnest(['none', 'f16', 'int8', 'binary', 'pq']) AS codec)""")
+def codec_sizes(spark, sf):
+    dims = [r[0] for r in vectors(spark, sf).select(F.size("vec")).distinct().collect()]
+    rows = [(c, d, V.encoded_bytes(c, d), round(4.0 * d / V.encoded_bytes(c, d), 6)) for d in dims for c in ("none", "f16", "int8", "binary", "pq")]
+    return spark.createDataFrame(rows, "codec string, dim long, bytes long, ratio double")
+
+
+@query(f"""WITH {_QS}, h AS (SELECT query_id, vec_id AS row, {_HAMMING} AS far, {_DOT} AS score FROM embeddings, qs),
+    c AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY far, row) AS old_rank FROM h),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, row) AS rank FROM c WHERE old_rank <= 40)
+    SELECT query_id, row, old_rank::BIGINT AS old_rank, round(score, 6) AS score, rank::BIGINT AS rank FROM r WHERE rank <= 10""")
+def rerank_exact(spark, sf):
+    rows, qs = vectors(spark, sf), search_queries(spark, sf)
+    return _rounded(flat.rerank(_by_signs(rows, qs, 40), rows, qs, 10, "dot"), "score").select("query_id", "row", "old_rank", "score", "rank")
+
+
+def _by_signs(rows: DataFrame, qs: DataFrame, n: int) -> DataFrame:
+    """Candidates of each query by sign bits."""
+    import numpy as np
+
+    dim = len(qs.first()["vec"])
+    packed = rows.withColumn("codes", F.to_binary(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.when(F.get("vec", i) >= 0, "01").otherwise("00")), ""), F.lit("hex")))
+    return A.coarse(packed, qs, n, lambda data, q: -(data != (q >= 0)[None, :]).sum(axis=1).astype(np.float64), "dot")
+
+
+# Inverted lists ----------------------------------------------------------------------------------------
+
+
+def _label_means(spark, sf):
+    """Mean vector of each label, from 0 upwards."""
+    import numpy as np
+
+    parts = vectors(spark, sf).select("label", F.posexplode("vec")).groupBy("label", "pos").agg(F.avg(F.col("col").cast("double")).alias("m"))
+    rows = parts.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("pos", "m"))).alias("v")).orderBy("label").collect()
+    return np.array([[x["m"] for x in r["v"]] for r in rows])
+
+
+@query(f"WITH {_CENTROIDS}, a AS (SELECT vec_id AS row, cs.label AS list, row_number() OVER (PARTITION BY vec_id ORDER BY list_distance(embedding::DOUBLE[], c), cs.label) AS n FROM embeddings, cs) SELECT row, list::INTEGER AS list FROM a WHERE n = 1")
+def ivf_assign(spark, sf):
+    return A.assign(vectors(spark, sf), _label_means(spark, sf)).select("row", "list")
+
+
+_IVF = f"""WITH {_QS}, {_CENTROIDS}, a AS (SELECT vec_id, embedding, cs.label AS list, row_number() OVER (PARTITION BY vec_id ORDER BY list_distance(embedding::DOUBLE[], c), cs.label) AS n FROM embeddings, cs),
+    p AS (SELECT query_id, q, cs.label AS list, row_number() OVER (PARTITION BY query_id ORDER BY list_dot_product(q, c) DESC, cs.label) AS n FROM qs, cs),
+    s AS (SELECT query_id, vec_id AS row, {_DOT} AS score FROM p JOIN a ON a.list = p.list AND a.n = 1 WHERE p.n <= {{PROBES}}),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, row) AS rank FROM s)
+    SELECT query_id, row, round(score, 6) AS score, rank::BIGINT AS rank FROM r WHERE rank <= 10"""
+
+
+def _ivf(spark, sf, nprobe):
+    means = _label_means(spark, sf)
+    return _rounded(A.ivf_search(A.assign(vectors(spark, sf), means), means, search_queries(spark, sf), 10, nprobe, "dot"), "score")
+
+
+@query(_IVF.replace("{PROBES}", "3"))
+def ivf_probe_n(spark, sf):
+    return _ivf(spark, sf, 3)
+
+
+@query(_IVF.replace("{PROBES}", "1000"))
+def ivf_probe_all(spark, sf):
+    return _ivf(spark, sf, 1000)
+
+
+@query()
+def ivf_kmeans_search(spark, sf):
+    """Centroids fitted by k-means; the recall of its answers beside them."""
+    rows, qs = vectors(spark, sf), search_queries(spark, sf)
+    centroids = A.fit_lists(rows)
+    return A.ivf_search(A.assign(rows, centroids), centroids, qs, 10, max(8, A.probes_for(len(centroids))), "dot")
+
+
+@query()
+def ivfpq_search(spark, sf):
+    rows, qs = vectors(spark, sf), search_queries(spark, sf)
+    centroids = A.fit_lists(rows, 8)
+    return A.ivfpq_search(A.assign(rows, centroids), centroids, qs, 10, 8, 8, "dot")
+
+
+@query()
+def two_tier_pq(spark, sf):
+    rows = vectors(spark, sf)
+    return A.two_tier_pq(rows, search_queries(spark, sf), 10, Q.train_pq(Q.sample(rows), 8, 12), "dot", 32.0)
+
+
+@query(f"WITH {_BATCH} SELECT query_id, row, round(score, 6) AS score, rank::BIGINT AS rank FROM b WHERE rank <= 10")
+def two_tier_f16(spark, sf):
+    return _rounded(A.two_tier_f16(vectors(spark, sf), search_queries(spark, sf), 10, "dot"), "score").select("query_id", "row", "score", "rank")
+
+
+@query()
+def hnsw_search(spark, sf):
+    rows = vectors(spark, sf)
+    return A.graph_search(A.build_graphs(rows, "dot", max(1, rows.count() // 2000)), search_queries(spark, sf), 10, 100, "dot")
+
+
+# Merging and evaluation --------------------------------------------------------------------------------
+
+
+@query(f"""WITH {_QS}, t AS (SELECT query_id, vec_id AS row, CASE WHEN vec_id % 3 = 0 THEN 'buffer' ELSE 'sealed' END AS source, {_DOT} AS score FROM embeddings, qs),
+    b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, row) AS rank FROM t) SELECT query_id, row, source, round(score, 6) AS score, rank::BIGINT AS rank FROM b WHERE rank <= 10""")
+def merge_sources(spark, sf):
+    rows, qs = vectors(spark, sf), search_queries(spark, sf)
+    parts = [flat.batch_topk(rows.where(w), qs, 10, "dot").withColumn("source", F.lit(s)).drop("rank") for s, w in (("buffer", "row % 3 = 0"), ("sealed", "row % 3 <> 0"))]
+    return _rounded(flat.merge_sources(parts[0].unionByName(parts[1]), 10, "dot", "row"), "score").select("query_id", "row", "source", "score", "rank")
+
+
+@query(f"""WITH {_QS}, t AS (SELECT query_id, vec_id AS row, {_DOT} AS score, {_HAMMING} AS far FROM embeddings, qs),
+    e AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, row) AS r1, row_number() OVER (PARTITION BY query_id ORDER BY far, row) AS r2 FROM t)
+    SELECT query_id, round(count(*) FILTER (r2 <= 10) / 10.0, 6)::DOUBLE AS recall FROM e WHERE r1 <= 10 GROUP BY query_id""")
+def recall_at_k(spark, sf):
+    rows, qs = vectors(spark, sf), search_queries(spark, sf)
+    return _rounded(flat.recall(_batch(spark, sf), _by_signs(rows, qs, 10), 10), "recall")
+
+
+@query(f"""WITH {_QS}, t AS (SELECT query_id, vec_id AS row, {_DOT} AS score, {_HAMMING} AS far FROM embeddings, qs),
+    e AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, row) AS r1, row_number() OVER (PARTITION BY query_id ORDER BY far, row) AS r2 FROM t),
+    r AS (SELECT query_id, count(*) FILTER (r2 <= 10) / 10.0 AS recall FROM e WHERE r1 <= 10 GROUP BY query_id)
+    SELECT count(*) AS queries, round(avg(recall), 6)::DOUBLE AS mean_recall, round(min(recall), 6)::DOUBLE AS worst_recall FROM r""")
+def recall_summary(spark, sf):
+    return _rounded(flat.recall_report(recall_at_k(spark, sf)), "mean_recall", "worst_recall")
+
+
+@query(f"""WITH {_QS}, t AS (SELECT qs.query_id, e.vec_id AS row, e.label, {_DOT} AS score FROM embeddings e, qs WHERE e.vec_id <> qs.query_id),
+    b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, row) AS rank FROM t),
+    g AS (SELECT b.query_id, sum(CASE WHEN b.label = o.label THEN 1 / log2(rank + 1) ELSE 0 END) AS gained, count(*) FILTER (b.label = o.label) AS hits FROM b JOIN embeddings o ON o.vec_id = b.query_id WHERE rank <= 10 GROUP BY b.query_id),
+    rel AS (SELECT o.vec_id AS query_id, count(*) AS n FROM embeddings o JOIN embeddings e ON e.label = o.label AND e.vec_id <> o.vec_id WHERE o.vec_id % 20 = 0 GROUP BY o.vec_id),
+    i AS (SELECT query_id, n, (SELECT sum(1 / log2(x + 1)) FROM (SELECT unnest(range(1, 11)) AS x) WHERE x <= n) AS ideal FROM rel)
+    SELECT i.query_id::VARCHAR AS query_id, round(coalesce(gained, 0) / ideal, 6) AS ndcg, round(coalesce(hits, 0) / n, 6)::DOUBLE AS recall FROM i LEFT JOIN g USING (query_id)""")
+def ndcg_at_k(spark, sf):
+    rows = vectors(spark, sf)
+    found = _batch(spark, sf, 11).select("query_id", F.col("row").alias("doc_id"), "rank")
+    own = rows.where("row % 20 = 0").select(F.col("row").alias("query_id"), "label")
+    grades = own.join(rows.select(F.col("row").alias("doc_id"), "label"), "label").select("query_id", "doc_id", F.lit(1).alias("grade"))
+    return _rounded(flat.ndcg(found, grades, 10), "ndcg", "recall").withColumn("query_id", F.col("query_id").cast("string"))
+
+
+@query("""SELECT event_type, count(*) AS n, round(quantile_disc(value, 0.5), 6) AS p50, round(quantile_disc(value, 0.99), 6) AS p99, round(count(*) * 1000 / sum(value), 4) AS qps FROM events GROUP BY event_type""")
+def latency_percentiles(spark, sf):
+    return _rounded(_rounded(flat.percentiles(table(spark, sf, "events"), "event_type", "value"), "p50", "p99"), "qps", digits=4)
+
+
+# Graphs ------------------------------------------------------------------------------------------------
+
+
+def _hops_sql(hops: int, seeds: str, where: str = "TRUE") -> str:
+    return f"""WITH RECURSIVE {_EDGES}, e AS (SELECT DISTINCT src, dst FROM edges WHERE {where}), w AS (SELECT name AS seed, name, 0 AS hops FROM ({seeds})
+      UNION SELECT w.seed, e.dst, w.hops + 1 FROM w JOIN e ON e.src = w.name WHERE w.hops < {hops})
+    SELECT seed, name, min(hops)::INTEGER AS hops FROM w GROUP BY seed, name HAVING min(hops) > 0"""
+
+
+_VEC_SEEDS = "SELECT 'vec/' || vec_id AS name FROM embeddings WHERE vec_id % 20 = 0"
+_CUSTOMER_SEEDS = "SELECT 'customer/' || c_custkey AS name FROM customer WHERE c_custkey % 20 = 0"
+
+
+def _vec_seeds(spark, sf):
+    return vectors(spark, sf).where("row % 20 = 0").select(F.concat(F.lit("vec/"), F.col("row").cast("string")).alias("name"))
+
+
+def _customer_seeds(spark, sf):
+    return table(spark, sf, "customer").where("c_custkey % 20 = 0").select(F.concat(F.lit("customer/"), F.col("c_custkey").cast("string")).alias("name"))
+
+
+@query(_hops_sql(1, _VEC_SEEDS))
+def khop_1(spark, sf):
+    return graph.k_hop(_vec_seeds(spark, sf), edges(spark, sf), 1)
+
+
+@query(_hops_sql(3, _CUSTOMER_SEEDS))
+def khop_3(spark, sf):
+    return graph.k_hop(_customer_seeds(spark, sf), edges(spark, sf), 3)
+
+
+@query(_hops_sql(3, _VEC_SEEDS, "edge_type = 'SAME_LABEL_NEXT'"))
+def khop_typed(spark, sf):
+    return graph.k_hop(_vec_seeds(spark, sf), edges(spark, sf), 3, "SAME_LABEL_NEXT")
+
+
+@query(_hops_sql(3, _VEC_SEEDS, "edge_type = 'SAME_LABEL_NEXT' AND split_part(dst, '/', 2)::BIGINT % 7 <> 0"))
+def khop_filtered(spark, sf):
+    shown = vectors(spark, sf).where("row % 7 <> 0").select(F.concat(F.lit("vec/"), F.col("row").cast("string")).alias("name"))
+    return graph.k_hop(_vec_seeds(spark, sf), edges(spark, sf), 3, "SAME_LABEL_NEXT", shown)
+
+
+def _expand_sql(score: str, high: bool) -> str:
+    far = "score * pow(0.65, hops)" if high else "score / pow(0.65, hops)"
+    way = "DESC" if high else "ASC"
+    return f"""WITH {_EDGES}, {_Q0}, s AS (SELECT 'vec/' || vec_id AS name, {score} AS score FROM embeddings, q0 ORDER BY score {way}, vec_id LIMIT 10),
+    rk AS (SELECT name, score, row_number() OVER (ORDER BY score {way}, name) AS sr FROM s),
+    r AS (SELECT rk.name AS seed, e.dst AS name, 1 AS hops FROM rk JOIN edges e ON e.src = rk.name UNION SELECT rk.name, f.dst, 2 FROM rk JOIN edges e ON e.src = rk.name JOIN edges f ON f.src = e.dst),
+    m AS (SELECT seed, name, min(hops) AS hops FROM r WHERE seed <> name AND name NOT IN (SELECT name FROM s) GROUP BY seed, name),
+    p AS (SELECT m.name, m.seed, m.hops, rk.sr, {far} AS score FROM m JOIN rk ON rk.name = m.seed),
+    f AS (SELECT name, min(sr * 1000 + hops) AS first FROM p GROUP BY name ORDER BY first, name LIMIT 64),
+    b AS (SELECT p.*, row_number() OVER (PARTITION BY p.name ORDER BY score {way}, hops, seed) AS n FROM p JOIN f USING (name))
+    SELECT name, round(score, 6) AS score, 0::BIGINT AS hops, NULL::VARCHAR AS via FROM s UNION ALL SELECT name, round(score, 6), hops::BIGINT, seed FROM b WHERE n = 1"""
+
+
+def _seeds(spark, sf, metric):
+    found = flat.topk(vectors(spark, sf), first_vector(spark, sf), 10, metric)
+    return found.select(F.concat(F.lit("vec/"), F.col("row").cast("string")).alias("name"), "score")
+
+
+@query(_expand_sql(_DOT, True))
+def graph_expand(spark, sf):
+    return _rounded(graph.expand(_seeds(spark, sf, "dot"), edges(spark, sf), hops=2, metric="dot"), "score")
+
+
+@query(_expand_sql(_L2, False))
+def graph_expand_l2(spark, sf):
+    return _rounded(graph.expand(_seeds(spark, sf, "l2"), edges(spark, sf), hops=2, metric="l2"), "score")
+
+
+@query(f"""WITH {_EDGES}, e AS (SELECT src, dst, max(weight) AS weight FROM edges WHERE edge_type <> 'IN_NATION' GROUP BY src, dst), s AS ({_CUSTOMER_SEEDS}),
+    r1 AS (SELECT dst AS name, 0.9 * weight AS score, 1 AS hops, [s.name, dst] AS path FROM s JOIN e ON e.src = s.name QUALIFY row_number() OVER (PARTITION BY dst ORDER BY 0.9 * weight DESC, [s.name, dst]) = 1),
+    r2 AS (SELECT dst AS name, score * weight * 0.9 AS score, 2 AS hops, list_append(path, dst) AS path FROM r1 JOIN e ON e.src = r1.name QUALIFY row_number() OVER (PARTITION BY dst ORDER BY score * weight * 0.9 DESC, list_append(path, dst)) = 1),
+    u AS (SELECT * FROM r1 UNION ALL SELECT * FROM r2)
+    SELECT name, round(score, 6)::DOUBLE AS score, hops::BIGINT AS hops, array_to_string(path, '>') AS path FROM u QUALIFY row_number() OVER (PARTITION BY name ORDER BY score DESC, hops, path) = 1""")
+def weighted_traverse(spark, sf):
+    out = graph.traverse(_customer_seeds(spark, sf), edges(spark, sf), 2, 0.9, ["IN_NATION"])
+    return _rounded(out, "score").withColumn("path", F.array_join("path", ">"))
+
+
+@query(f"WITH {_EDGES}, s AS ({_CUSTOMER_SEEDS}), r AS (SELECT name FROM s UNION SELECT e.dst FROM edges e JOIN s ON e.src = s.name) SELECT count(*) AS suppressed FROM edges WHERE edge_type = 'CONTAINS' AND src IN (SELECT name FROM r)")
+def traverse_suppressed(spark, sf):
+    seeds, own = _customer_seeds(spark, sf), edges(spark, sf)
+    reached = graph.k_hop(seeds, own.where("edge_type <> 'CONTAINS'"), 1).select("name").union(seeds).distinct()
+    return graph.suppressed_beside(reached, own, F.col("edge_type") == "CONTAINS")
+
+
+@query("SELECT l_orderkey AS src, l_returnflag AS edge_type, l_partkey AS dst, arg_max(l_extendedprice, l_linenumber * 10000000 + l_extendedprice) AS weight FROM lineitem GROUP BY l_orderkey, l_returnflag, l_partkey")
+def edge_upsert_latest(spark, sf):
+    writes = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_returnflag").alias("edge_type"), F.col("l_partkey").alias("dst"), F.col("l_extendedprice").alias("weight"), (F.col("l_linenumber") * 10000000 + F.col("l_extendedprice")).alias("seq"))
+    return graph.latest_edges(writes)
+
+
+@query(f"WITH {_EDGES} SELECT (SELECT count(*) FROM (SELECT src FROM edges UNION SELECT dst FROM edges)) AS nodes, (SELECT count(*) FROM edges) AS edges")
+def graph_counts(spark, sf):
+    return graph.counts(edges(spark, sf))
+
+
+@query(f"""WITH {_Q0}, a AS (SELECT vec_id, {_DOT} AS d, {_L2} AS l, {_HAMMING} AS h FROM embeddings, q0),
+    r AS (SELECT vec_id, row_number() OVER (ORDER BY d DESC, vec_id) AS r1, row_number() OVER (ORDER BY l, vec_id) AS r2, row_number() OVER (ORDER BY h, vec_id) AS r3 FROM a),
+    u AS (SELECT vec_id, r1 AS rank FROM r UNION ALL SELECT vec_id, r2 FROM r UNION ALL SELECT vec_id, r3 FROM r)
+    SELECT vec_id AS name, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM u WHERE rank <= 50 GROUP BY vec_id""")
+def rrf_fusion(spark, sf):
+    rows, q = vectors(spark, sf), first_vector(spark, sf)
+    far = V.hamming(V.sign_bits(F.col("vec")), V.sign_bits(V.literal(q)))
+    signs = rows.select("row", far.alias("far")).orderBy("far", "row").limit(50).withColumn("rank", F.row_number().over(Window.orderBy("far", "row")))
+    lists = [flat.topk(rows, q, 50, m).select("row", "rank") for m in ("dot", "l2")] + [signs.select("row", "rank")]
+    return _rounded(graph.fuse(lists[0].unionByName(lists[1]).unionByName(lists[2]).withColumnRenamed("row", "name")), "score")
+
+
+@query("""WITH r AS (SELECT conv_id, turn, length(text) AS tokens, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS position, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn, text ROWS UNBOUNDED PRECEDING) AS running_tokens FROM conversations)
+    SELECT conv_id, turn, position::BIGINT AS position, running_tokens::BIGINT AS running_tokens FROM r WHERE running_tokens <= 2000 AND position <= 5""")
+def context_budget(spark, sf):
+    rows = table(spark, sf, "conversations").withColumn("tokens", F.length("text"))
+    return graph.within_budget(rows, "tokens", 2000, 5, [F.col("turn"), F.col("text")], "conv_id").select("conv_id", "turn", "position", "running_tokens")
+
+
+@query("""SELECT conv_id, sha256(string_agg('[' || n || '] ' || text, chr(10) ORDER BY n) || chr(10) || chr(10) || 'What follows?') AS prompt FROM (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS n FROM conversations) GROUP BY conv_id""")
+def passage_prompt(spark, sf):
+    return graph.prompt(table(spark, sf, "conversations"), "conv_id", "text", "turn", F.lit("What follows?")).select("conv_id", F.sha2(F.col("prompt").cast("binary"), 256).alias("prompt"))
+
+
+@query("""SELECT o_custkey AS src, o_orderstatus AS edge_type, round(sum(exp(-ln(2) * (epoch(TIMESTAMP '1999-01-01') - epoch(o_orderdate)) / (90 * 86400.0))), 6) AS strength FROM orders GROUP BY o_custkey, o_orderstatus""")
+def strength_decay(spark, sf):
+    travels = table(spark, sf, "orders").select(F.col("o_custkey").alias("src"), F.col("o_orderstatus").alias("edge_type"), F.col("o_orderstatus").alias("dst"), F.col("o_orderdate").cast("timestamp").alias("at"))
+    own = travels.select("src", "edge_type", "dst").distinct()
+    return _rounded(graph.strengths(travels, own, F.lit("1999-01-01").cast("timestamp"), 90 * 86400.0), "strength").select("src", "edge_type", "strength")
+
+
+# Points and their life ---------------------------------------------------------------------------------
+
+
+def _points(spark, sf):
+    tail = F.when(F.col("row") % 5 == 0, F.lit("/points/x")).otherwise(F.lit(""))
+    return vectors(spark, sf).select("row", "label", F.concat(F.lit("collections/c/points/"), F.col("row").cast("string"), tail).alias("name"))
+
+
+_POINTS = "p AS (SELECT vec_id AS row, label, 'collections/c/points/' || vec_id || CASE WHEN vec_id % 5 = 0 THEN '/points/x' ELSE '' END AS name FROM embeddings)"
+
+
+@query(f"WITH {_POINTS} SELECT row, name FROM p WHERE row % 5 <> 0")
+def points_list_children(spark, sf):
+    return _points(spark, sf).where(N.is_child(F.col("name"), "collections/c", "points")).select("row", "name").orderBy("name")
+
+
+@query("SELECT c_custkey AS name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def points_create_if_absent(spark, sf):
+    return store.new_only(table(spark, sf, "customer").select(F.col("c_custkey").alias("name")), table(spark, sf, "orders").select(F.col("o_custkey").alias("name")))
+
+
+@query(_flat_sql(_DOT, "DESC", "vec_id % 3 <> 0"))
+def points_delete_search(spark, sf):
+    rows = vectors(spark, sf)
+    live = store.without_deleted(rows, rows.where("row % 3 = 0").select("row"), "row")
+    return _rounded(flat.topk(live, first_vector(spark, sf), 10, "dot"), "score").select("row", "score", "rank")
+
+
+@query(f"WITH {_POINTS} SELECT row, name FROM p WHERE row % 20 = 0")
+def batch_get(spark, sf):
+    points = _points(spark, sf)
+    return points.join(points.where("row % 20 = 0").select("name"), "name").select("row", "name")
+
+
+@query("SELECT label, vec_id AS row, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1)::BIGINT AS new_row FROM embeddings WHERE vec_id % 4 <> 0")
+def compact_renumber(spark, sf):
+    return store.renumbered(vectors(spark, sf), F.col("row") % 4 != 0, ["row"], "label").select("label", "row", "new_row")
+
+
+@query("""WITH s AS (SELECT l_suppkey AS id, count(*) AS rows, count(*) FILTER (l_returnflag = 'R') AS deleted FROM lineitem GROUP BY l_suppkey),
+    w AS (SELECT id, row_number() OVER (ORDER BY deleted / rows DESC, id) AS position FROM s WHERE deleted / rows >= 0.2)
+    SELECT id, 'tombstones' AS reason, position::BIGINT AS position FROM w WHERE position <= 16""")
+def compaction_plan(spark, sf):
+    segments = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("id")).agg(F.count("*").alias("rows"), F.count_if(F.col("l_returnflag") == "R").alias("deleted"))
+    return store.compaction_plan(segments)
+
+
+@query("""WITH s AS (SELECT n_nationkey::BIGINT AS id, 1000 + n_regionkey AS rows FROM nation), w AS (SELECT id, row_number() OVER (ORDER BY rows, id) AS position FROM s) SELECT id, 'small' AS reason, position::BIGINT AS position FROM w WHERE position <= 16""")
+def compaction_plan_small(spark, sf):
+    return store.compaction_plan(table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("id"), (F.col("n_regionkey") + 1000).alias("rows"), F.lit(0).alias("deleted")))
+
+
+@query("""SELECT r AS point_type, n_name AS field, unnest(list_filter([CASE WHEN k % 5 = 0 THEN 'removed' END, CASE WHEN k % 5 <> 0 AND k % 3 = 0 THEN 'dim' END, CASE WHEN k % 5 <> 0 AND k % 4 = 0 THEN 'metric' END], lambda x: x IS NOT NULL)) AS change
+    FROM (SELECT n_regionkey::VARCHAR AS r, n_name, n_nationkey AS k FROM nation) UNION ALL SELECT r_regionkey::VARCHAR, 'extra', 'added' FROM region""")
+def schema_diff(spark, sf):
+    k = F.col("n_nationkey")
+    old = table(spark, sf, "nation").select(F.col("n_regionkey").cast("string").alias("point_type"), F.col("n_name").alias("field"), k.alias("dim"), F.lit("cosine").alias("metric"), F.lit("m").alias("model"), k.alias("k"))
+    new = old.where("k % 5 <> 0").withColumn("dim", F.when(F.col("k") % 3 == 0, F.col("dim") + 1).otherwise(F.col("dim")))
+    new = new.withColumn("metric", F.when(F.col("k") % 4 == 0, "dot").otherwise("cosine")).withColumn("model", F.when(F.col("k") % 2 == 0, "").otherwise("m")).drop("k")
+    extra = table(spark, sf, "region").select(F.col("r_regionkey").cast("string").alias("point_type"), F.lit("extra").alias("field"), F.lit(8).alias("dim"), F.lit("dot").alias("metric"), F.lit("").alias("model"))
+    return schema.compare(old.drop("k"), new.unionByName(extra))
+
+
+@query("SELECT doc_id, sha256(text) AS fingerprint, left(sha256(text), 12) AS short FROM documents")
+def fingerprint_sha256(spark, sf):
+    text = F.col("text")
+    return table(spark, sf, "documents").select("doc_id", schema.fingerprint(text).alias("fingerprint"), schema.short_fingerprint(text).alias("short"))
+
+
+_SPANS = "s AS (SELECT o_custkey AS name, epoch_ms(min(o_orderdate)) AS a, epoch_ms(max(o_orderdate)) AS b FROM orders GROUP BY o_custkey)"
+
+
+def _spans(spark, sf):
+    ms = lambda f: F.unix_millis(f("o_orderdate").cast("timestamp"))
+    return table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("name")).agg(ms(F.min).alias("a"), ms(F.max).alias("b"))
+
+
+@query(f"WITH {_SPANS} SELECT name FROM s WHERE a < 820454400000 AND 788918400000 < b")
+def span_overlaps(spark, sf):
+    return _spans(spark, sf).where(P.span_overlaps(F.col("a"), F.col("b"), F.lit(788918400000), F.lit(820454400000))).select("name")
+
+
+@query(f"WITH {_SPANS} SELECT name FROM s WHERE a <= 788918400000 AND 820454400000 <= b")
+def span_contains(spark, sf):
+    return _spans(spark, sf).where(P.span_contains(F.col("a"), F.col("b"), F.lit(788918400000), F.lit(820454400000))).select("name")
+
+
+@query(f"WITH {_POINTS} SELECT row, regexp_matches(name, '^collections/[^/]+/points/[^/]+$') AS one, regexp_matches(name, '^collections/c/.+$') AS tail FROM p")
+def name_match(spark, sf):
+    return _points(spark, sf).select("row", N.matches(F.col("name"), "collections/*/points/*").alias("one"), N.matches(F.col("name"), "collections/c/**").alias("tail"))
+
+
+@query(f"WITH {_POINTS} SELECT row, CASE WHEN row % 5 = 0 THEN 'x' ELSE row::VARCHAR END AS leaf, CASE WHEN row % 5 = 0 THEN 'collections/c/points/' || row ELSE 'collections/c' END AS parent, CASE WHEN row % 5 = 0 THEN NULL ELSE row::VARCHAR END AS point FROM p")
+def name_parent_leaf(spark, sf):
+    name = F.col("name")
+    return _points(spark, sf).select("row", N.leaf(name).alias("leaf"), N.parent(name).alias("parent"), N.parse(name, "collections/{collection}/points/{point}")["point"].alias("point"))
+
+
+_LIFE = "o AS (SELECT o_orderkey AS name, CASE WHEN o_orderstatus = 'F' THEN o_orderdate END AS deleted_at, CASE WHEN o_orderstatus = 'F' THEN o_orderdate + INTERVAL 30 DAY END AS expires_at FROM orders)"
+
+
+def _lives(spark, sf):
+    none = F.lit(None).cast("timestamp")
+    rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("name"), F.col("o_orderstatus").alias("status"), F.col("o_orderdate").cast("timestamp").alias("at"), none.alias("deleted_at"), none.alias("expires_at"))
+    return tenancy.soft_delete(rows, F.col("status") == "F", F.col("at"))
+
+
+@query(f"WITH {_LIFE} SELECT name FROM o WHERE deleted_at IS NULL")
+def soft_delete_list(spark, sf):
+    return _lives(spark, sf).where(P.live(F.col("deleted_at"))).select("name")
+
+
+@query(f"WITH {_LIFE} SELECT name FROM o WHERE expires_at IS NULL OR expires_at > TIMESTAMP '1995-06-01'")
+def ttl_filter(spark, sf):
+    return _lives(spark, sf).where(P.unexpired(F.col("expires_at"), F.lit("1995-06-01").cast("timestamp"))).select("name")
+
+
+@query("""WITH s AS (SELECT CASE WHEN s_suppkey % 4 = 0 THEN '  ' ELSE ' ' || s_suppkey || ' ' END AS id, CASE WHEN s_suppkey % 6 = 0 THEN ' ' ELSE s_name END AS text, row_number() OVER (ORDER BY s_suppkey) AS n FROM supplier)
+    SELECT coalesce(nullif(trim(id), ''), 'row-' || n) AS id, trim(text) AS text FROM s WHERE trim(text) <> ''""")
+def csv_row_mapping(spark, sf):
+    k = F.col("s_suppkey")
+    rows = table(spark, sf, "supplier").select(k, F.when(k % 4 == 0, F.lit("  ")).otherwise(F.concat(F.lit(" "), k.cast("string"), F.lit(" "))).alias("id"), F.when(k % 6 == 0, F.lit(" ")).otherwise(F.col("s_name")).alias("text"))
+    return ingest.csv_points(rows, "id", "text", "s_suppkey")
+
+
+@query("SELECT doc_id::VARCHAR AS doc_id, sha256(trim(trim(lang) || ' ' || text)) AS text FROM documents")
+def corpus_title_join(spark, sf):
+    rows = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("_id"), F.col("lang").alias("title"), "text")
+    return ingest.corpus_text(rows).select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("text"))
+
+
+@query(_flat_sql(_DOT, "DESC", "label <> 4 AND (label < 3 OR vec_id % 2 = 0)"))
+def policy_prefilter(spark, sf):
+    label, row = F.col("label"), F.col("row")
+    rules = [("deny", F.lit(True), label == 4), ("allow", F.lit(True), label < 3), ("allow", F.lit(True), row % 2 == 0)]
+    return _flat(spark, sf, "dot", P.allowed(rules))
+
+
+@query("SELECT o_orderkey AS name, o_totalprice AS price FROM orders WHERE o_totalprice > 100000 AND (o_orderstatus = 'O' OR o_orderpriority LIKE '1-%') AND NOT o_orderpriority = '5-LOW'")
+def filter_language(spark, sf):
+    where = P.parse_filter('o_totalprice > 100000 AND (o_orderstatus = "O" OR o_orderpriority = "1-*") AND NOT o_orderpriority = "5-LOW"')
+    return table(spark, sf, "orders").where(where).select(F.col("o_orderkey").alias("name"), F.col("o_totalprice").alias("price")).orderBy(*P.parse_order("price desc, name"))
+
+
+@query("SELECT vec_id AS row, round(list_sum(list_transform(range(1, len(embedding) + 1), lambda i: i * (embedding[i]::DOUBLE + embedding[len(embedding) + 1 - i]::DOUBLE) / 2)), 6) AS total FROM embeddings")
+def pooling_mean(spark, sf):
+    pooled = vectors(spark, sf).select("row", V.pool_mean(F.array("vec", F.reverse("vec"))).alias("p"))
+    return pooled.select("row", F.round(F.aggregate(F.transform("p", lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
+
 
-def queries() -> dict:
-    return {}
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def event_windows(spark, sf):
+    return _rounded(windowed(table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))), "total", digits=4).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
-def oracle_sql() -> dict:
-    return {}
+@query()
+def text_search(spark, sf):
+    """The 10 nearest documents to the first one, by the offline embedder."""
+    docs = ingest.embed(table(spark, sf, "documents").select(F.col("doc_id").alias("row"), "text"))
+    first = docs.where("row = 0").first()
+    return flat.topk(docs.select("row", "vec"), [float(x) for x in first["vec"]], 10, "cosine")
 
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+def flagship(spark: SparkSession, sf: str) -> DataFrame:
+    """Nearest visible vectors to the first one, expanded along edges, decayed, within budget, and ranked."""
+    rows = vectors(spark, sf).where("row <> 0")
+    found = flat.topk(rows, first_vector(spark, sf), 10, "cosine", F.col("label") != 9)
+    seeds = found.select(F.concat(F.lit("vec/"), F.col("row").cast("string")).alias("name"), "score")
+    return graph.expand(seeds, edges(spark, sf), hops=1, edge_types=["SAME_LABEL_NEXT"])
