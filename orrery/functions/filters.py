@@ -41,7 +41,7 @@ def allowed(rules: list[tuple[str, Column, Column]], default_allow: bool = False
     return F.coalesce(out, F.lit(default_allow))
 
 
-_TOKEN = re.compile(r"\s*(?:(?P<word>[A-Za-z_][\w.]*)|(?P<number>-?\d+(?:\.\d+)?)|(?P<text>\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*')|(?P<sign><=|>=|!=|=|<|>|:|\(|\)|-|,))")
+_TOKEN = re.compile(r"\s*(?:(?P<word>[A-Za-z_][\w.]*)|(?P<number>-?\d+(?:\.\d+)?)|(?P<text>\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*')|(?P<sign><=|>=|!=|=|<|>|:|\(|\)|-|,|\*))")
 
 
 class _Parser:
@@ -123,14 +123,17 @@ class _Parser:
             f = span_overlaps if name == "overlaps" else span_contains
             return f(F.col(f"{field}.start_ms"), F.col(f"{field}.end_ms"), start, end)
         sign = self.take("=", "!=", "<", "<=", ">", ">=", ":")
-        field, value = F.col(name), None
+        field = F.col(name)
         if self.peek() == ("word", "null"):
             self.take()
             return {"=": field.isNull(), "!=": field.isNotNull()}[sign]
         kind, raw = self.peek()
+        if sign == ":" and raw == "*":
+            self.take()
+            return field.isNotNull()
         value = self.value()
         if sign == ":":
-            return field.isNotNull() if raw == "*" else F.contains(field.cast("string"), value.cast("string"))
+            return F.contains(field.cast("string"), value.cast("string"))
         if sign in ("=", "!=") and kind == "text" and "*" in raw:
             like = field.rlike("^" + ".*".join(map(re.escape, raw[1:-1].split("*"))) + "$")
             return like if sign == "=" else ~like
