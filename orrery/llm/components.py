@@ -72,10 +72,10 @@ def components(links: DataFrame, finish_links: int = FINISH_LINKS) -> DataFrame:
         own = F.struct(rank("node"), F.col("node").alias("root"))
         steps.append(stored(best.select("node", F.least(F.col("best").cast("struct<r:long,root:long>"), own.cast("struct<r:long,root:long>"))["root"].alias("root")), "roots"))
         for end in ("a", "b"):
-            left = stored(left.join(steps[-1].withColumnsRenamed({"node": end, "root": "label"}), end).drop(end).withColumnRenamed("label", end), "links")
+            left = stored(left.join(steps[-1].select(F.col("node").alias(end), F.col("root").alias("label")), end).drop(end).withColumnRenamed("label", end), "links")
         left = stored(left.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
     found = steps[0]
     for step in steps[1:]:
-        nxt = step.withColumnsRenamed({"node": "root", "root": "further"})
+        nxt = step.select(F.col("node").alias("root"), F.col("root").alias("further"))
         found = stored(found.join(nxt, "root", "left").select("node", F.coalesce("further", "root").alias("root")), "roots")
     return found
