@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bottomk, embeddings, lm, mixing, packing, quality, simhash, suffixes, toxicity, warc
+from . import bottomk, embeddings, lm, mixing, oracles, packing, quality, simhash, suffixes, toxicity, warc
 from .common import crc_of_id, table
 
 
@@ -68,4 +68,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_warc": oracles.WARC, "op8_embeddings": oracles.EMBEDDINGS, "op9_suffixes": oracles.SUFFIXES}
