@@ -305,17 +305,17 @@ def build_graphs(rows: DataFrame, metric: str, parts: int, m: int = 16, ef_build
     return dealt.groupBy("part").applyInArrow(built, "part int, rows array<long>, graph binary")
 
 
-def graph_search(graphs: DataFrame, queries: DataFrame, k: int, ef: int = 64, metric: str = "cosine", allowed: set[int] | None = None, tie: str = "row") -> DataFrame:
-    """The k nearest of each part's graph, merged."""
+def graph_search(graphs: DataFrame, queries: DataFrame, k: int, ef: int = 64, metric: str = "cosine", hidden: frozenset[int] = frozenset(), tie: str = "row") -> DataFrame:
+    """The k nearest of each part's graph, merged. hidden: a bounded set of rows that lead on but are no results."""
     ids, q = _queries(queries)
-    shared = graphs.sparkSession.sparkContext.broadcast((ids, q, allowed))
+    shared = graphs.sparkSession.sparkContext.broadcast((ids, q, hidden))
 
     def searched(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q, allowed = shared.value
+        ids, q, hidden = shared.value
         for batch in batches:
             for rows, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 graph = SmallWorld.load(data.as_py())
-                mask = None if allowed is None else np.array([r in allowed for r in rows])
+                mask = np.array([r not in hidden for r in rows]) if hidden else None
                 out = [(i, rows[r], d if metric == "l2" else -d) for i, query in zip(ids.tolist(), q, strict=True) for d, r in graph.search(query, k, ef, mask)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else ([], [], []), (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", tie, "score"])
 

@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orrery.functions import vectors as V
-from orrery.operators.flat import batch_topk, topk
+from orrery.operators.flat import batch_topk, merge_sources
+from orrery.operators.index import INDEXES, prefers_exact
 from orrery.sources import files
 from orrery.sources.schema import Collection
 
@@ -172,20 +173,47 @@ class Store:
         counts = {r["field"]: r["n"] for r in self._read(name, [path], VECTORS).groupBy("field").agg((F.max("row") + 1).alias("n")).collect()}
         points = self._write(name, "points", self.points(name, m))
         entry = {"id": max([s["id"] for s in m["segments"]], default=-1) + 1, "path": path, "sealed": True, "rows": sum(counts.values())}
-        self._next(name, m, segments=[entry], points=[points], tombstones=[], next_row=counts)
+        self._next(name, m, segments=[entry], points=[points], tombstones=[], next_row=counts, indexes={})
 
     # Search
 
+    def build_index(self, name: str, field: str) -> None:
+        """Build the declared kind of index over the rows there are now. Compaction renumbers rows and drops it."""
+        m, spec = self.manifest(name), self.get(name).get(field)
+        path = f"index-{uuid.uuid4().hex}"
+        rows = self.vectors(name, field, m).where(F.col("vec").isNotNull()).select("row", "vec")
+        INDEXES[spec.index].build(rows, spec.metric, f"{self._at(name)}/{path}")
+        self._next(name, m, indexes={**m.get("indexes", {}), field: {"path": path, "kind": spec.index, "rows": m["next_row"].get(field, 0)}})
+
+    def _near(self, name: str, field: str, queries: DataFrame, k: int, allowed: DataFrame | None) -> DataFrame:
+        """query_id, row, score, rank: by the index for what it covers, exactly for what came later."""
+        m, spec = self.manifest(name), self.get(name).get(field)
+        rows = self.vectors(name, field, m)
+        if allowed is not None:
+            rows = rows.join(allowed.select("name").distinct(), "name", "left_semi")
+        built = m.get("indexes", {}).get(field)
+        if built is None:
+            return batch_topk(rows, queries, k, spec.metric)
+        every = self._read(name, [s["path"] for s in m["segments"]], VECTORS).where((F.col("field") == field) & (F.col("row") < built["rows"])).select("row")
+        hidden = every.join(rows.select("row"), "row", "left_anti") if allowed is not None or m["tombstones"] else None
+        if allowed is not None and prefers_exact(rows.count(), built["rows"]):
+            return batch_topk(rows, queries, k, spec.metric)
+        old = INDEXES[built["kind"]].search(self.spark, f"{self._at(name)}/{built['path']}", queries, k, spec.metric, hidden)
+        if old is None:
+            return batch_topk(rows, queries, k, spec.metric)
+        new = batch_topk(rows.where(F.col("row") >= built["rows"]), queries, k, spec.metric)
+        both = old.select("query_id", "row", "score").withColumn("source", F.lit("index")).unionByName(new.drop("rank").withColumn("source", F.lit("later")))
+        return merge_sources(both, k, spec.metric, "row").drop("source")
+
     def search(self, name: str, field: str, query: list[float], k: int = 10, allowed: DataFrame | None = None) -> DataFrame:
         """name, score, rank and the point's columns. Deleted and hidden rows never take a place."""
         spec = self.get(name).get(field)
         if len(query) != spec.dim:
             raise ValueError(f"{field} has {spec.dim} dimensions, the query {len(query)}")
-        rows = self.vectors(name, field)
-        if allowed is not None:
-            rows = rows.join(allowed.select("name").distinct(), "name", "left_semi")
-        best = topk(rows, query, k, spec.metric, tie="row").select("name", "score", "rank", "source")
-        return best.join(self.points(name), "name").orderBy("rank")
+        one = self.spark.createDataFrame([(0, [float(x) for x in query])], "query_id long, vec array<double>")
+        owners = self.vectors(name, field).select("row", "name", "source")
+        best = self._near(name, field, one, k, allowed).select("row", "score", "rank").join(owners, "row")
+        return best.select("name", "score", "rank", "source").join(self.points(name), "name").orderBy("rank")
 
     def search_many(self, name: str, field: str, queries: DataFrame, k: int = 10) -> DataFrame:
-        return batch_topk(self.vectors(name, field), queries, k, self.get(name).get(field).metric)
+        return self._near(name, field, queries, k, None)

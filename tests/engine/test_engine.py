@@ -61,6 +61,7 @@ def test_recall_of_approximate_search(spark, corpus, metric):
     graphs = A.build_graphs(rows.where("row < 1200"), metric, 2, 12, 60)
     some = flat.batch_topk(rows.where("row < 1200"), queries, 10, metric)
     got = flat.recall_report(flat.recall(some, A.graph_search(graphs, queries, 10, 64, metric), 10)).first()
+    assert not any(r.row < 600 for r in A.graph_search(graphs, queries, 5, 64, metric, frozenset(range(600))).collect())
     assert got.mean_recall >= 0.95 and got.worst_recall >= 0.5
     centroids = A.fit_lists(rows, 16)
     assigned = A.assign(rows, centroids)
@@ -220,3 +221,36 @@ def test_laws(spark, corpus):
     assert as_set(flat.merge_sources(both, 10, "dot", "row")) == as_set(whole)
     plan = store.compaction_plan(spark.createDataFrame([(1, 100, 50), (2, 100, 1), (3, 0, 0)], "id long, rows long, deleted long"))
     assert [(r.id, r.reason) for r in plan.collect()] == [(1, "tombstones")]
+
+
+@pytest.mark.parametrize("kind", ["flat", "ivf", "ivfpq", "hnsw"])
+def test_declared_indexes(spark, tmp_path, kind):
+    client = connect(spark, f"file://{tmp_path}/store")
+    c = client.create_collection("s").field("v", 8, "cosine", kind).create()
+    x = clustered(330, 8, 4, 6)
+    c.insert_many([(f"p{i:03d}", {"v": v.tolist()}) for i, v in enumerate(x[:300])])
+    c._store.build_index("s", "v")
+    c.insert_many([(f"q{i:03d}", {"v": v.tolist()}) for i, v in enumerate(x[300:])])
+    c.delete("p007", "p013")
+    left = [i for i in range(330) if i not in (7, 13)]
+    hits = 0
+    for i in (7, 50, 310):
+        want = sorted(left, key=lambda j: -float(x[i] @ x[j]))[:5]
+        got = [int(r.name[-3:]) + 300 * (r.name[-4] == "q") for r in c.search("v", x[i].tolist(), 5).rows()]
+        assert len(got) == 5 and not {7, 13} & set(got)
+        hits += len(set(got) & set(want))
+    assert hits >= (15 if kind == "flat" else 12)
+    few = spark.createDataFrame([("s/points/p020",), ("s/points/p021",)], "name string")
+    assert {r.name[-3:] for r in c.search("v", x[7].tolist(), 5, few).rows()} == {"020", "021"}
+
+
+def test_edge_tables(spark):
+    from orrery.sources import edges
+
+    kind = "src string, edge_type string, dst string, weight double, seq int"
+    old = spark.createDataFrame([("a", "T", "b", 1.0, 1), ("a", "T", "c", 1.0, 1)], kind)
+    new = edges.upsert(old, spark.createDataFrame([("a", "T", "b", 2.0, 2)], kind))
+    assert [(r.dst, r.weight) for r in edges.listed(new, "weight > 0", "dst desc").collect()] == [("c", 1.0), ("b", 2.0)]
+    assert edges.delete(new, old.where("dst = 'b'")).count() == 1
+    bad = spark.createDataFrame([("a", "T\0", "b", 1.0, 1), ("", "T", "b", 1.0, 1), ("a", "T", "b", 1.0, 1)], kind)
+    assert edges.faults(bad).count() == 2
