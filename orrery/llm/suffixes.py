@@ -7,16 +7,16 @@
 2. A stretch whose text occurs again, whole, is repeated: all its windows count. A stretch of a gram with a
    single stretch is unique. Only stretches that share their gram with other, different stretches are left:
    they lie at the edges of repeated passages.
-3. Those stretches (one of each text) are fetched and put into shards by gram. Each shard is indexed: suffixes
+3. Those stretches (one of each text) are dealt by the distance of their windows from the anchor into sections,
+   whose windows share a core of `length` - SECTION + 1 bytes. Equal windows have equal cores, so a section whose
+   core occurs once is unique; what is left lies beside the windows that are repeated.
+4. Texts of the sections left are fetched and put into shards by gram. Each shard is indexed: suffixes
    sorted up to `length`, the Burrows-Wheeler transform, and a breadth-first backward extension of intervals,
    which sets common prefixes by increasing value and stops at `length`; entries not set by then are longer.
    A window is repeated if its suffix shares `length` bytes with a neighbour in the order.
-   A gram with more stretches than a shard may hold is taken apart instead: its windows are dealt by their
-   distance from the anchor into sections, whose windows share a core of `length` - SECTION + 1 bytes, and the
-   sections by their core. At the edge of a common passage nearly all cores are then unique; the windows of
-   the others are counted by hashes, formed before the shuffle, so that one very common passage is spread
-   over all tasks.
-4. Repeated windows by document give the bytes to remove.
+   A gram with more sections than a shard may hold is taken apart instead: its windows are counted by hashes,
+   formed before the shuffle, so that one very common passage is spread over all tasks.
+5. Repeated windows by document give the bytes to remove.
 
 Windows never cross documents: a stretch lies within one. Stretches and windows are told apart by 128 bits of
 hash together with their gram.
@@ -40,12 +40,14 @@ from pyspark.sql import functions as F
 from .common import stored
 
 LENGTH, GRAM = 400, 64
-#: Windows that a section of a hot stretch spans.
-SECTION = 16
-#: Bytes of text aimed at in a shard; stretches of one gram beyond which its windows are taken apart.
-SHARD_BYTES, MOST_STRETCHES = 1 << 20, 512
+#: Windows that a section spans.
+SECTION = 32
+#: Bytes of text aimed at in a shard; sections of one gram beyond which its windows are taken apart.
+SHARD_BYTES, MOST_SECTIONS = 1 << 20, 2048
 #: Bytes of a text that are looked at together.
 PIECE = 1 << 20
+#: Bits of a stretch's place for its last window, and for its anchor, from its first window.
+SPAN_BITS = 12
 _B = 0x9E3779B97F4A7C15 | 1
 _BI = pow(_B, -1, 1 << 64)
 
@@ -86,8 +88,8 @@ def sliding_least(h: np.ndarray, width: int) -> np.ndarray:
     return (np.minimum(after[:n], before[width - 1 : width - 1 + n]) & np.uint64(0xFFFFF)).astype(np.int64)
 
 
-def stretches(data: bytes, length: int, gram: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(gram hash, first window, last window) of the stretches of a text, piece by piece."""
+def stretches(data: bytes, length: int, gram: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(gram hash, first window, last window, anchor) of the stretches of a text, piece by piece."""
     whole = np.frombuffer(data, np.uint8)
     step = PIECE - length
     for at in range(0, whole.size - length + 1, step):
@@ -98,18 +100,19 @@ def stretches(data: bytes, length: int, gram: int) -> Iterator[tuple[np.ndarray,
         least = sliding_least(h, length - gram + 1)
         first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
         last = np.concatenate([first[1:], [least.size]]) - 1
-        yield h[least[first]], first + at, last + at
+        yield h[least[first]], first + at, last + at, least[first] + at
 
 
 def _rows(batches: Iterable[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
-    names = ["uid", "gram", "whole", "first", "last"]
+    names = ["uid", "gram", "whole", "place"]
     for batch in batches:
-        out: list[list[np.ndarray]] = [[], [], [], [], []]
+        out: list[list[np.ndarray]] = [[], [], [], []]
         for uid, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             data = text.as_py()
-            for g, first, last in stretches(data, length, gram):
+            for g, first, last, anchor in stretches(data, length, gram):
                 whole = np.array([xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(first.tolist(), (last + length).tolist(), strict=True)], np.uint64)
-                for column, part in zip(out, (np.full(g.size, uid), g.view(np.int64), whole.view(np.int64), first, last), strict=True):
+                place = (((first << SPAN_BITS) | (last - first)) << SPAN_BITS) | (anchor - first)
+                for column, part in zip(out, (np.full(g.size, uid), g.view(np.int64), whole.view(np.int64), place), strict=True):
                     column.append(part)
         if out[0]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=names)
@@ -223,41 +226,62 @@ def runs(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
 
 
-def sections(data: bytes, first: int, last: int, length: int, gram: int) -> Iterator[tuple[bytes, int, list[int]]]:
-    """Windows first..last of one anchor in sections: (digest of section and core, first window, hashes of windows)."""
-    head = np.frombuffer(data[first : first + length], np.uint8)
-    anchor = first + int(sliding_least(gram_hashes(head, gram), length - gram + 1)[0])
-    for k in range((anchor - last) // SECTION, (anchor - first) // SECTION + 1):
-        near, far = k * SECTION, k * SECTION + SECTION - 1  # distances of windows before the anchor
-        core = data[anchor - near : anchor + length - far]
-        begin = max(first, anchor - far)
-        hashes = [xxhash.xxh3_64_intdigest(data[s : s + length]) for s in range(begin, min(last, anchor - near) + 1)]
-        yield xxhash.xxh3_128_digest(core + b"%d" % k), begin, hashes
+SECTIONS = pa.schema([(n, pa.int64()) for n in ("uid", "gram", "core", "first", "last")])
+FETCHED = pa.schema([("uid", pa.int64()), ("gram", pa.int64()), ("core", pa.int64()), ("first", pa.int64()), ("text", pa.binary()), ("windows", pa.list_(pa.int64()))])
 
 
-FETCHED = pa.schema([("uid", pa.int64()), ("gram", pa.int64()), ("first", pa.int64()), ("text", pa.binary()), ("core", pa.binary()), ("windows", pa.list_(pa.int64()))])
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
-def _fetch(batches: Iterable[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """Texts of the wanted stretches; the hot ones in sections."""
+def _sections(batches: Iterable[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """The sections of the wanted stretches: windows first..last and the hash of their core."""
+    mask, mixed = (1 << SPAN_BITS) - 1, xxhash.xxh3_64_intdigest
     for batch in batches:
         rows: list[tuple] = []
-        held = 0
         for uid, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
             data = text.as_py()
             for w in wanted:
+                place = w["place"]
+                first = place >> 2 * SPAN_BITS
+                last, anchor = first + ((place >> SPAN_BITS) & mask), first + (place & mask)
+                for k in range((anchor - last) // SECTION, (anchor - first) // SECTION + 1):
+                    near, far = anchor - k * SECTION, anchor - k * SECTION - SECTION + 1  # the section's windows, if all are there
+                    core = mixed(data[near : far + length], k)
+                    rows.append((uid, w["gram"], core - (core >> 63 << 64), max(first, far), min(last, near)))
+            if len(rows) > 1 << 16:
+                yield _batch(rows, SECTIONS)
+                rows = []
+        if rows:
+            yield _batch(rows, SECTIONS)
+
+
+def _fetch(batches: Iterable[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Texts of the wanted sections, neighbours together; hashes of the windows of hot ones."""
+    for batch in batches:
+        rows: list[tuple] = []
+        held = 0
+        for uid, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+            data = text.as_py()
+            cold: list[list[int]] = []
+            for w in sorted(wanted, key=lambda w: (w["gram"], w["first"])):
                 first, last = w["first"], w["last"]
                 if w["hot"]:
-                    rows += [(uid, w["gram"], f, None, core, np.array(h, np.uint64).view(np.int64)) for core, f, h in sections(data, first, last, length, gram)]
-                    held += 20 * (last + 1 - first)
+                    hashes = [xxhash.xxh3_64_intdigest(data[s : s + length]) for s in range(first, last + 1)]
+                    rows.append((uid, w["gram"], w["core"], first, None, np.array(hashes, np.uint64).view(np.int64)))
+                    held += 8 * len(hashes)
+                elif cold and cold[-1][0] == w["gram"] and cold[-1][2] + 1 == first:
+                    cold[-1][2] = last
                 else:
-                    rows.append((uid, w["gram"], first, data[first : last + length], None, None))
-                    held += last + length - first
-                if held > 4 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), FETCHED, strict=True)], schema=FETCHED)
-                    rows, held = [], 0
+                    cold.append([w["gram"], first, last])
+            for gram, first, last in cold:
+                rows.append((uid, gram, None, first, data[first : last + length], None))
+                held += last + length - first
+            if held > 4 << 20:
+                yield _batch(rows, FETCHED)
+                rows, held = [], 0
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), FETCHED, strict=True)], schema=FETCHED)
+            yield _batch(rows, FETCHED)
 
 
 def _shard(rows: pa.Table, length: int, shard_bytes: int) -> pa.Table:
@@ -278,32 +302,41 @@ def _shard(rows: pa.Table, length: int, shard_bytes: int) -> pa.Table:
     return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("uid", "first", "last"), zip(*out, strict=True) if out else ([], [], []), strict=True)})
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most_stretches: int = MOST_STRETCHES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most_sections: int = MOST_SECTIONS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """docs: uid (long), data (binary). Returns uid, first, last: runs of windows that occur again."""
-    rows = stored(docs.select("uid", "data").mapInArrow(lambda b: _rows(b, length, gram), "uid long, gram long, whole long, first long, last long"), "stretches")
+    if not (SECTION <= length < 1 << SPAN_BITS and 1 <= gram <= length):
+        raise ValueError(f"length {length} and gram {gram} are out of range")
+    docs = docs.select("uid", "data")
+    rows = stored(docs.mapInArrow(lambda b: _rows(b, length, gram), "uid long, gram long, whole long, place long"), "stretches")
     # By gram and text of the stretch: how often, and one place of it.
-    texts = rows.groupBy("gram", "whole").agg(F.count("*").alias("n"), F.min(F.struct("uid", "first", "last")).alias("one"))
+    texts = rows.groupBy("gram", "whole").agg(F.count("*").alias("n"))
     grams = texts.groupBy("gram").agg(F.count("*").alias("texts"), F.sum("n").alias("rows"), F.min("n").alias("least"))
     grams = stored(grams.where("rows > 1"), "grams")
-    whole = stored(rows.join(grams.select("gram"), "gram", "left_semi").groupBy("gram", "whole").agg(F.count("*").alias("n"), F.min(F.struct("uid", "first", "last")).alias("one")), "texts")
+    whole = stored(rows.join(grams.select("gram"), "gram", "left_semi").groupBy("gram", "whole").agg(F.count("*").alias("n"), F.min(F.struct("uid", "place")).alias("one")), "texts")
     again = stored(whole.where("n > 1").select("gram", "whole"), "again")
-    marks = rows.join(again, ["gram", "whole"]).select("uid", "first", "last")
+    first = F.shiftright("place", 2 * SPAN_BITS)
+    last = first + F.shiftright("place", SPAN_BITS).bitwiseAND(F.lit((1 << SPAN_BITS) - 1))
+    marks = rows.join(again, ["gram", "whole"]).select("uid", first.alias("first"), last.alias("last"))
     # Texts that occur once, of grams with several texts; the other texts of such grams come along.
-    open_grams = grams.where("texts > 1 AND least = 1").select("gram", (F.col("texts") > most_stretches).alias("hot"))
-    wanted = whole.join(open_grams, "gram").select(F.col("one.uid").alias("uid"), F.struct("gram", F.col("one.first").alias("first"), F.col("one.last").alias("last"), "hot").alias("w"))
+    open_grams = grams.where("texts > 1 AND least = 1").select("gram")
+    wanted = whole.join(open_grams, "gram").select(F.col("one.uid").alias("uid"), F.struct("gram", F.col("one.place").alias("place")).alias("w"))
+    wanted = stored(wanted.groupBy("uid").agg(F.collect_list("w").alias("wanted")), "wanted")
+    parts = stored(docs.join(wanted, "uid").select("uid", "data", "wanted").mapInArrow(lambda b: _sections(b, length), "uid long, gram long, core long, first long, last long"), "sections")
+    cores = stored(parts.groupBy("gram", "core").agg(F.count("*").alias("n")).where("n > 1").select("gram", "core"), "cores")
+    live = stored(parts.join(cores, ["gram", "core"]), "live")
+    hot = stored(live.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > most_sections).select("gram", F.lit(True).alias("hot")), "hot")
+    wanted = live.join(hot, "gram", "left").select("uid", F.struct("gram", "core", "first", "last", F.col("hot").isNotNull().alias("hot")).alias("w"))
     wanted = stored(wanted.groupBy("uid").agg(F.collect_list("w").alias("wanted")), "wanted")
-    fetched = docs.select("uid", "data").join(wanted, "uid").select("uid", "data", "wanted").mapInArrow(lambda b: _fetch(b, length, gram), "uid long, gram long, first long, text binary, core binary, windows array<long>")
+    fetched = docs.join(wanted, "uid").select("uid", "data", "wanted").mapInArrow(lambda b: _fetch(b, length), "uid long, gram long, core long, first long, text binary, windows array<long>")
     fetched = stored(fetched, "fetched")
     cold = fetched.where("text IS NOT NULL").select("uid", "gram", "first", "text")
     total = fetched.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     shards = max(1, -(-total // shard_bytes))
     sharded = cold.withColumn("shard", F.pmod(F.xxhash64("gram", F.lit(3)), F.lit(shards))).groupBy("shard").applyInArrow(lambda t: _shard(t, length, shard_bytes), "uid long, first long, last long")
-    sectioned = fetched.where("core IS NOT NULL").select("uid", "core", "first", "windows")
-    cores = stored(sectioned.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"), "cores")
-    live = stored(sectioned.join(cores, "core").select("uid", "core", "first", F.posexplode("windows").alias("at", "window")), "windows")
-    twice = stored(live.groupBy("core", "window").agg(F.count("*").alias("n")).where("n > 1").select("core", "window"), "twice")
-    hot = live.join(twice, ["core", "window"]).select("uid", (F.col("first") + F.col("at")).alias("first"), (F.col("first") + F.col("at")).alias("last"))
-    return marks.unionByName(sharded).unionByName(hot)
+    windows = stored(fetched.where("windows IS NOT NULL").select("uid", "gram", "core", "first", F.posexplode("windows").alias("at", "window")), "windows")
+    twice = stored(windows.groupBy("gram", "core", "window").agg(F.count("*").alias("n")).where("n > 1").select("gram", "core", "window"), "twice")
+    apart = windows.join(twice, ["gram", "core", "window"]).select("uid", (F.col("first") + F.col("at")).alias("first"), (F.col("first") + F.col("at")).alias("last"))
+    return marks.unionByName(sharded).unionByName(apart)
 
 
 def covered(wanted: list, length: int) -> list[tuple[int, int]]:

@@ -46,7 +46,7 @@ def test_long_prefixes_equal_those_of_sorted_suffixes():
         assert suffixes.long_prefixes(text, order, length).tolist() == want
 
 
-@pytest.mark.parametrize("options", [{}, {"most_stretches": 2}, {"shard_bytes": 2000}])
+@pytest.mark.parametrize("options", [{}, {"most_sections": 2}, {"shard_bytes": 2000}])
 def test_removals_equal_brute_force(spark, options):
     texts = corpus(random.Random(7))
     df = spark.createDataFrame([(i // 2 if i > 20 else i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, data string")
@@ -59,7 +59,7 @@ def test_pieces(spark, monkeypatch):
     texts = corpus(random.Random(8))
     data = [(t or "").encode() for t in texts]
     for d in data:
-        windows = [(int(f), int(e)) for _, first, last in suffixes.stretches(d, 60, 16) for f, e in zip(first, last, strict=True)]
+        windows = [(int(f), int(e)) for _, first, last, _ in suffixes.stretches(d, 60, 16) for f, e in zip(first, last, strict=True)]
         flat = [i for f, e in windows for i in range(f, e + 1)]
         assert flat == list(range(max(0, len(d) - 59)))
 
