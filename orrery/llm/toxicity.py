@@ -150,8 +150,8 @@ def fit(rows: list[np.ndarray], y: np.ndarray, changes: list[tuple[np.ndarray, n
         error = each * (1 / (1 + np.exp(-np.clip(s, -35, 35))) - y)
         gradient = np.bincount(j, error[i], w.size) + RIDGE * w / y.size**0.5
         if changes:
-            delta = np.bincount(ai, w[aj], len(changes)) - np.bincount(ri, w[rj], len(changes))
-            delta *= 2 * COUNTERFACTUAL / len(changes)
+            # bincount of nothing counts in integers
+            delta = (np.bincount(ai, w[aj], len(changes)) - np.bincount(ri, w[rj], len(changes))) * (2 * COUNTERFACTUAL / len(changes))
             gradient += np.bincount(aj, delta[ai], w.size) - np.bincount(rj, delta[ri], w.size)
         g = float(error.sum())
         m, v, mb, vb = 0.9 * m + 0.1 * gradient, 0.99 * v + 0.01 * gradient**2, 0.9 * mb + 0.1 * g, 0.99 * vb + 0.01 * g * g

@@ -73,6 +73,8 @@ def test_toxicity_and_counterfactuals():
     neutral = "ba do women ki lu me"
     assert fair.score(neutral) < 0.2 and fair.score(neutral) < blind.score(neutral)
     assert fair.score(None) == fair.score("") < 0.3
+    nowhere = toxicity.fit(x, y, [(of({1}), of({2})), (of(()), of(()))])  # swaps of no feature that has a weight
+    assert nowhere.score("what an Idiot!") >= 0.5 and nowhere.score(neutral) == blind.score(neutral)
     held = np.array([fair.score(t) for _, t, _ in rows])
     told = np.array([not b or "idiot" in t or "gruzel" in t for _, t, b in rows])
     assert auc(held[told], y[told]) > 0.99
