@@ -112,7 +112,8 @@ def fit(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, ridge: float = RIDGE,
             break
     model.weights = w
     s = z @ w
-    cuts = np.quantile(s, np.linspace(0, 1, 1001)[1:-1])
+    steps = np.unique(s)
+    cuts = (steps[1:] + steps[:-1]) / 2 if steps.size > 1 else steps  # all quantiles: one between any two strengths
     up, down = np.sort(s[y == 1]), np.sort(s[y == 0])
     balanced = 1 - np.searchsorted(up, cuts) / up.size + np.searchsorted(down, cuts) / down.size
     best = cuts[balanced >= balanced.max() - 1e-9]
