@@ -44,6 +44,8 @@ LENGTH, GRAM = 400, 64
 SECTION = 32
 #: Bytes of text aimed at in a shard; sections of one gram beyond which its windows are taken apart.
 SHARD_BYTES, MOST_SECTIONS = 1 << 20, 2048
+#: Texts of stretches that occur more often, and in more than that share of all stretches, are broadcast (under 20 MB).
+FREQUENT, MOST_FREQUENT = 64, 100_000
 #: Bytes of a text that are looked at together.
 PIECE = 1 << 20
 #: Bits of a stretch's place for its last window, and for its anchor, from its first window.
@@ -226,7 +228,7 @@ def runs(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
 
 
-SECTIONS = pa.schema([(n, pa.int64()) for n in ("uid", "gram", "core", "first", "last")])
+SECTIONS = pa.schema([*((n, pa.int64()) for n in ("uid", "gram", "stretch", "core", "first", "last")), ("text", pa.binary())])
 FETCHED = pa.schema([("uid", pa.int64()), ("gram", pa.int64()), ("core", pa.int64()), ("first", pa.int64()), ("text", pa.binary()), ("windows", pa.list_(pa.int64()))])
 
 
@@ -235,55 +237,67 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def _sections(batches: Iterable[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """The sections of the wanted stretches: windows first..last and the hash of their core."""
+    """The sections of the wanted stretches: windows first..last and the hash of their core; with the first its stretch's text."""
     mask, mixed = (1 << SPAN_BITS) - 1, xxhash.xxh3_64_intdigest
     for batch in batches:
         rows: list[tuple] = []
+        held = 0
         for uid, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
             data = text.as_py()
             for w in wanted:
                 place = w["place"]
                 first = place >> 2 * SPAN_BITS
                 last, anchor = first + ((place >> SPAN_BITS) & mask), first + (place & mask)
+                own = data[first : last + length]
+                held += len(own)
                 for k in range((anchor - last) // SECTION, (anchor - first) // SECTION + 1):
                     near, far = anchor - k * SECTION, anchor - k * SECTION - SECTION + 1  # the section's windows, if all are there
                     core = mixed(data[near : far + length], k)
-                    rows.append((uid, w["gram"], core - (core >> 63 << 64), max(first, far), min(last, near)))
-            if len(rows) > 1 << 16:
-                yield _batch(rows, SECTIONS)
-                rows = []
+                    rows.append((uid, w["gram"], first, core - (core >> 63 << 64), max(first, far), min(last, near), own))
+                    own = None
+                if held > 4 << 20:
+                    yield _batch(rows, SECTIONS)
+                    rows, held = [], 0
         if rows:
             yield _batch(rows, SECTIONS)
 
 
 def _fetch(batches: Iterable[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Texts of the wanted sections, neighbours together; hashes of the windows of hot ones."""
+    """Of stretches (uid, gram, stretch, text, wanted): texts of the wanted sections, neighbours together; hashes of the windows of hot ones."""
     for batch in batches:
         rows: list[tuple] = []
-        held = 0
-        for uid, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-            data = text.as_py()
+        for uid, gram, at, text, wanted in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
             cold: list[list[int]] = []
-            for w in sorted(wanted, key=lambda w: (w["gram"], w["first"])):
+            for w in sorted(wanted, key=lambda w: w["first"]):
                 first, last = w["first"], w["last"]
                 if w["hot"]:
-                    hashes = [xxhash.xxh3_64_intdigest(data[s : s + length]) for s in range(first, last + 1)]
-                    rows.append((uid, w["gram"], w["core"], first, None, np.array(hashes, np.uint64).view(np.int64)))
-                    held += 8 * len(hashes)
-                elif cold and cold[-1][0] == w["gram"] and cold[-1][2] + 1 == first:
-                    cold[-1][2] = last
+                    hashes = [xxhash.xxh3_64_intdigest(text[s - at : s - at + length]) for s in range(first, last + 1)]
+                    rows.append((uid, gram, w["core"], first, None, np.array(hashes, np.uint64).view(np.int64)))
+                elif cold and cold[-1][1] + 1 == first:
+                    cold[-1][1] = last
                 else:
-                    cold.append([w["gram"], first, last])
-            for gram, first, last in cold:
-                rows.append((uid, gram, None, first, data[first : last + length], None))
-                held += last + length - first
-            if held > 4 << 20:
-                yield _batch(rows, FETCHED)
-                rows, held = [], 0
+                    cold.append([first, last])
+            rows += [(uid, gram, None, first, text[first - at : last - at + length], None) for first, last in cold]
         if rows:
             yield _batch(rows, FETCHED)
 
 
+def _frequent(batches: Iterable[pa.RecordBatch], known: set[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+    """Of stretches (uid, gram, whole, place): those of known texts as runs of windows; neighbours in a document become one."""
+    wholes, mask = np.array(sorted({w for _, w in known}), np.int64), (1 << SPAN_BITS) - 1
+    for batch in batches:
+        at = np.flatnonzero(np.isin(batch.column(2).to_numpy(), wholes))
+        uid, gram, whole, place = (batch.column(k).to_numpy()[at] for k in range(4))
+        sure = np.fromiter((x in known for x in zip(gram.tolist(), whole.tolist(), strict=True)), bool, at.size)
+        uid, first = uid[sure], place[sure] >> 2 * SPAN_BITS
+        last = first + ((place[sure] >> SPAN_BITS) & mask)
+        if not uid.size:
+            continue
+        opens = np.concatenate([[True], (uid[1:] != uid[:-1]) | (first[1:] != last[:-1] + 1)])
+        closes = np.concatenate([opens[1:], [True]])
+        yield pa.RecordBatch.from_arrays([pa.array(uid[opens]), pa.array(first[opens]), pa.array(last[closes])], names=["uid", "first", "last"])
+
+
 def _shard(rows: pa.Table, length: int, shard_bytes: int) -> pa.Table:
     rows = rows.sort_by([("gram", "ascending"), ("uid", "ascending"), ("first", "ascending")])
     uids, grams, firsts, texts = (rows.column(c).to_pylist() for c in ("uid", "gram", "first", "text"))
@@ -313,21 +327,28 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most_sectio
     grams = texts.groupBy("gram").agg(F.count("*").alias("texts"), F.sum("n").alias("rows"), F.min("n").alias("least"))
     grams = stored(grams.where("rows > 1"), "grams")
     whole = stored(rows.join(grams.select("gram"), "gram", "left_semi").groupBy("gram", "whole").agg(F.count("*").alias("n"), F.min(F.struct("uid", "place")).alias("one")), "texts")
-    again = stored(whole.where("n > 1").select("gram", "whole"), "again")
+    again = stored(whole.where("n > 1").select("gram", "whole", "n"), "again")
+    # At most MOST_FREQUENT texts are that frequent: they are broadcast, so that a very common passage is marked without a shuffle.
+    bound = max(FREQUENT, rows.count() // MOST_FREQUENT)
+    common = again.where(F.col("n") > bound).select("gram", "whole").toArrow()
+    known = docs.sparkSession.sparkContext.broadcast(set(zip(common.column(0).to_pylist(), common.column(1).to_pylist(), strict=True)))
     first = F.shiftright("place", 2 * SPAN_BITS)
     last = first + F.shiftright("place", SPAN_BITS).bitwiseAND(F.lit((1 << SPAN_BITS) - 1))
-    marks = rows.join(again, ["gram", "whole"]).select("uid", first.alias("first"), last.alias("last"))
+    marks = rows.join(again.where(F.col("n") <= bound).drop("n"), ["gram", "whole"]).select("uid", first.alias("first"), last.alias("last"))
+    if common.num_rows:
+        marks = marks.unionByName(rows.select("uid", "gram", "whole", "place").mapInArrow(lambda b: _frequent(b, known.value), "uid long, first long, last long"))
     # Texts that occur once, of grams with several texts; the other texts of such grams come along.
     open_grams = grams.where("texts > 1 AND least = 1").select("gram")
     wanted = whole.join(open_grams, "gram").select(F.col("one.uid").alias("uid"), F.struct("gram", F.col("one.place").alias("place")).alias("w"))
     wanted = stored(wanted.groupBy("uid").agg(F.collect_list("w").alias("wanted")), "wanted")
-    parts = stored(docs.join(wanted, "uid").select("uid", "data", "wanted").mapInArrow(lambda b: _sections(b, length), "uid long, gram long, core long, first long, last long"), "sections")
+    parts = stored(docs.join(wanted, "uid").select("uid", "data", "wanted").mapInArrow(lambda b: _sections(b, length), "uid long, gram long, stretch long, core long, first long, last long, text binary"), "sections")
     cores = stored(parts.groupBy("gram", "core").agg(F.count("*").alias("n")).where("n > 1").select("gram", "core"), "cores")
-    live = stored(parts.join(cores, ["gram", "core"]), "live")
+    live = stored(parts.drop("text").join(cores, ["gram", "core"]), "live")
     hot = stored(live.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > most_sections).select("gram", F.lit(True).alias("hot")), "hot")
-    wanted = live.join(hot, "gram", "left").select("uid", F.struct("gram", "core", "first", "last", F.col("hot").isNotNull().alias("hot")).alias("w"))
-    wanted = stored(wanted.groupBy("uid").agg(F.collect_list("w").alias("wanted")), "wanted")
-    fetched = docs.join(wanted, "uid").select("uid", "data", "wanted").mapInArrow(lambda b: _fetch(b, length), "uid long, gram long, core long, first long, text binary, windows array<long>")
+    wanted = live.join(hot, "gram", "left").select("uid", "gram", "stretch", F.struct("core", "first", "last", F.col("hot").isNotNull().alias("hot")).alias("w"))
+    wanted = stored(wanted.groupBy("uid", "gram", "stretch").agg(F.collect_list("w").alias("wanted")), "wanted")
+    held = parts.where("text IS NOT NULL").select("uid", "gram", "stretch", "text").join(wanted, ["uid", "gram", "stretch"])
+    fetched = held.select("uid", "gram", "stretch", "text", "wanted").mapInArrow(lambda b: _fetch(b, length), "uid long, gram long, core long, first long, text binary, windows array<long>")
     fetched = stored(fetched, "fetched")
     cold = fetched.where("text IS NOT NULL").select("uid", "gram", "first", "text")
     total = fetched.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]

@@ -47,7 +47,9 @@ def test_long_prefixes_equal_those_of_sorted_suffixes():
 
 
 @pytest.mark.parametrize("options", [{}, {"most_sections": 2}, {"shard_bytes": 2000}])
-def test_removals_equal_brute_force(spark, options):
+@pytest.mark.parametrize("frequent", [64, 1])
+def test_removals_equal_brute_force(spark, monkeypatch, options, frequent):
+    monkeypatch.setattr(suffixes, "FREQUENT", frequent)
     texts = corpus(random.Random(7))
     df = spark.createDataFrame([(i // 2 if i > 20 else i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, data string")
     got = sorted(tuple(r) for r in suffixes.removals(df, length=60, gram=16, **options).collect())
