@@ -30,6 +30,8 @@ SHINGLE, DISTANCE, SEED = 3, 2, 42
 LEAF, DEPTH, SAMPLE_LEAF = 8192, 14, 16
 #: Pairs compared at once.
 BLOCK = 1 << 19
+#: Bits of the bitmap of rows that may have to go.
+SLOT_BITS = 24
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -188,10 +190,17 @@ def one_of_each(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGL
     own, of = _grouped(docs, distance, shingle, seed)
     rows = stored(own.join(of, "print").select("uid", "doc_id", "root"), "rows")
     first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "uid")).alias("first")).select(F.col("first.uid").alias("uid"))
-    # Few kept rows are repeated; only those go through another shuffle.
     keep = stored(rows.join(stored(first, "first"), "uid").groupBy("uid").agg(F.count("*").alias("n")), "keep")
-    marked = docs.withColumn("uid", F.xxhash64("doc_id", "text"))
-    kept = marked.join(keep.where("n = 1"), "uid", "left_semi").select(*docs.columns)
+    # Most rows are kept, once: a bitmap of the hashes of all others (bounded, 2 MB) lets them pass without a shuffle of texts.
+    slot = F.pmod(F.xxhash64("uid", F.lit(7)), F.lit(1 << SLOT_BITS))
+    doubtful = rows.join(keep.where("n = 1"), "uid", "left_anti").select(slot.alias("slot"))
+    words = stored(doubtful.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 as int)))").alias("bits")), "words")
+    marked = docs.withColumn("_uid", F.xxhash64("doc_id", "text")).withColumn("_slot", F.pmod(F.xxhash64("_uid", F.lit(7)), F.lit(1 << SLOT_BITS)))
+    marked = marked.join(F.broadcast(words.select(F.col("word").alias("_word"), F.col("bits").alias("_bits"))), F.shiftright("_slot", 6) == F.col("_word"), "left")
+    in_doubt = F.expr("coalesce(shiftright(_bits, cast(_slot & 63 as int)) & 1L, 0L) = 1")
+    sure = marked.where(~in_doubt).select(*docs.columns)
+    left = marked.where(in_doubt).join(keep.withColumnRenamed("uid", "_uid"), "_uid")
+    kept = sure.unionByName(left.where("n = 1").select(*docs.columns))
     if keep.where("n > 1").isEmpty():
         return kept
-    return kept.unionByName(marked.join(keep.where("n > 1"), "uid", "left_semi").dropDuplicates(["uid"]).select(*docs.columns))
+    return kept.unionByName(left.where("n > 1").dropDuplicates(["_uid"]).select(*docs.columns))

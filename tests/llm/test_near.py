@@ -90,6 +90,10 @@ def test_near_duplicates(spark, monkeypatch):
     assert got == {i: (f"{prints[i]:016x}", root[i]) for i in range(len(texts))}
     kept = [r.doc_id for r in simhash.one_of_each(df.union(df)).collect()]
     assert sorted(kept) == sorted(set(root))
+    for bits in (24, 6):  # with few bits many kept rows are in doubt
+        monkeypatch.setattr(simhash, "SLOT_BITS", bits)
+        assert sorted(r.doc_id for r in simhash.one_of_each(df).collect()) == sorted(set(root))
+    assert simhash.one_of_each(df.limit(0)).columns == df.columns and simhash.one_of_each(df.limit(0)).count() == 0
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
