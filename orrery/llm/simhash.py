@@ -182,25 +182,35 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SH
     return own.join(of, "print").select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """Of each component the row of the smallest doc_id (of equal ids that of the smallest hash of the text), all columns.
+def in_doubt_of(docs: DataFrame, uids: DataFrame) -> DataFrame:
+    """docs (with _uid) and _in_doubt: whether _uid may be among uids (by a bitmap of their hashes, bounded, 2 MB)."""
+    slot = lambda c: F.pmod(F.xxhash64(c, F.lit(7)), F.lit(1 << SLOT_BITS))
+    words = stored(uids.select(slot("uid").alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 as int)))").alias("bits")), "words")
+    marked = docs.withColumn("_slot", slot("_uid"))
+    marked = marked.join(F.broadcast(words.select(F.col("word").alias("_word"), F.col("bits").alias("_bits"))), F.shiftright("_slot", 6) == F.col("_word"), "left")
+    return marked.withColumn("_in_doubt", F.expr("coalesce(shiftright(_bits, cast(_slot & 63 as int)) & 1L, 0L) = 1"))
 
-    Of rows that are equal in id and text one is kept.
-    """
-    own, of = _grouped(docs, distance, shingle, seed)
-    rows = stored(own.join(of, "print").select("uid", "doc_id", "root"), "rows")
+
+def first_of_each(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """rows: uid, doc_id, root of each row of docs. Of each root the row of the smallest doc_id, see one_of_each."""
+    rows = stored(rows, "rows")
     first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "uid")).alias("first")).select(F.col("first.uid").alias("uid"))
     keep = stored(rows.join(stored(first, "first"), "uid").groupBy("uid").agg(F.count("*").alias("n")), "keep")
-    # Most rows are kept, once: a bitmap of the hashes of all others (bounded, 2 MB) lets them pass without a shuffle of texts.
-    slot = F.pmod(F.xxhash64("uid", F.lit(7)), F.lit(1 << SLOT_BITS))
-    doubtful = rows.join(keep.where("n = 1"), "uid", "left_anti").select(slot.alias("slot"))
-    words = stored(doubtful.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 as int)))").alias("bits")), "words")
-    marked = docs.withColumn("_uid", F.xxhash64("doc_id", "text")).withColumn("_slot", F.pmod(F.xxhash64("_uid", F.lit(7)), F.lit(1 << SLOT_BITS)))
-    marked = marked.join(F.broadcast(words.select(F.col("word").alias("_word"), F.col("bits").alias("_bits"))), F.shiftright("_slot", 6) == F.col("_word"), "left")
-    in_doubt = F.expr("coalesce(shiftright(_bits, cast(_slot & 63 as int)) & 1L, 0L) = 1")
-    sure = marked.where(~in_doubt).select(*docs.columns)
-    left = marked.where(in_doubt).join(keep.withColumnRenamed("uid", "_uid"), "_uid")
+    # Most rows are kept, once: a bitmap of all others lets them pass without a shuffle of texts.
+    doubtful = rows.join(keep.where("n = 1"), "uid", "left_anti").select("uid")
+    marked = in_doubt_of(docs.withColumn("_uid", F.xxhash64("doc_id", "text")), doubtful)
+    sure = marked.where("NOT _in_doubt").select(*docs.columns)
+    left = marked.where("_in_doubt").join(keep.withColumnRenamed("uid", "_uid"), "_uid")
     kept = sure.unionByName(left.where("n = 1").select(*docs.columns))
     if keep.where("n > 1").isEmpty():
         return kept
     return kept.unionByName(left.where("n > 1").dropDuplicates(["_uid"]).select(*docs.columns))
+
+
+def one_of_each(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """Of each component the row of the smallest doc_id (of equal ids that of the smallest hash of the text), all columns.
+
+    Of rows that are equal in id and text one is kept.
+    """
+    own, of = _grouped(docs, distance, shingle, seed)
+    return first_of_each(docs, own.join(of, "print").select("uid", "doc_id", "root"))
