@@ -22,12 +22,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 LENGTH = 2048
 END_ID = 1
 #: Documents to a group: a task packs one group at a time, in memory.
 GROUP = 2048
-#: Words whose ids a Python worker remembers; beyond that it starts anew.
-CACHE_WORDS = 600_000
+#: Bytes that a Python worker may take to remember the ids of words; beyond that it starts anew. A task forgets them at its end.
+CACHE_BYTES = 48 << 20
+#: Of an entry, besides word and ids.
+_ENTRY_BYTES = 170
 
 PIECE_NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
 PIECE = ", ".join(f"{n} long" for n in PIECE_NAMES)
@@ -58,19 +62,25 @@ class WordIds(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.held = 0
+
+    def clear(self) -> None:
+        super().clear()
+        self.held = 0
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= CACHE_WORDS:
+        if self.held >= CACHE_BYTES:
             self.clear()
         text = word.decode("utf-8")
         packed = self._letters(text) if text.isalpha() else None
         if packed is None:
             core = text.rstrip(SIGNS)
-            if len(core) < len(text) and core[-1:].isalpha() and b"<|" not in word:
+            if len(core) < len(text) and core[-1:].lower()[-1:].isalpha() and b"<|" not in word:
                 packed = self[core.encode()] + self[text[len(core) :].encode()]
             else:
                 packed = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         self[word] = packed
+        self.held += len(word) + len(packed) + _ENTRY_BYTES
         return packed
 
     def _letters(self, text: str) -> bytes | None:
@@ -147,6 +157,7 @@ def _cut(batches: Iterable[pa.RecordBatch], path: str, end_id: int, length: int)
                 piece = ids[4 * start : 4 * (start + length)]
                 rows.append((doc_id, start, len(piece) // 4, zlib.crc32(piece), total))
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*rows, strict=True) if rows else [[]] * 5)], names=PIECE_NAMES)
+    words.clear()
 
 
 def pack_group(pieces: list[tuple], length: int) -> list[tuple]:
@@ -165,8 +176,9 @@ def pack(docs: DataFrame, vocabulary: str, length: int = LENGTH, end_id: int = E
     """One row for each piece of each document: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     docs = docs.select("doc_id", "text")
     groups = max(1, math.ceil(docs.count() / group))
-    pieces = docs.mapInArrow(lambda batches: _cut(batches, vocabulary, end_id, length), PIECE)
-    pieces = pieces.withColumn("bin_group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
+    pieces = docs.mapInArrow(lean(lambda batches: _cut(batches, vocabulary, end_id, length)), PIECE)
+    # By partition too, so that rows that equal one another in everything do not all meet in one group.
+    pieces = pieces.withColumn("bin_group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.spark_partition_id()), F.lit(groups)))
 
     def packed(key: tuple, rows: pa.Table) -> pa.Table:
         order = sorted(zip(*(rows.column(n).to_pylist() for n in PIECE_NAMES), strict=True), key=lambda p: (-p[2], p[0] is None, p[0] or 0, p[1], p[3]))

@@ -25,7 +25,7 @@ def test_ids_by_word_are_those_of_the_text(text):
     assert np.frombuffer(WORDS.of(text), "<u4").tolist() == whole(text)
 
 
-@pytest.mark.parametrize("text", ["<|endoftext|> a<|ENDOFTEXT|>b", "It's DON'T we'll. 'S", "Ünïcode… end.), x"])
+@pytest.mark.parametrize("text", ["<|endoftext|> a<|ENDOFTEXT|>b", "It's DON'T we'll. 'S", "Ünïcode… end.), x", "İ:", "İ.", "BİLGİ:", "Ali’nin İ, x", "aİ!), İ", "Σ. ΑΣ, ΑΣ"])
 def test_special_texts(text):
     assert np.frombuffer(WORDS.of(text), "<u4").tolist() == whole(text)
 
