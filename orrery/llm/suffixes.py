@@ -1,29 +1,32 @@
 """Removal of long byte strings that occur more than once in a corpus.
 
+Hashes narrow the corpus down to windows that may occur again; the interval expansion decides on every one of them.
+
 1. Anchors. Each window of `length` bytes has an anchor, the place in it of the smallest hash of `gram` bytes
    (the leftmost of equals). Equal windows have equal anchors, so windows whose anchor's gram occurs once in
    the corpus are unique. Neighbouring windows with the same anchor form a stretch: one row of hashes for
    about 170 bytes of text. Rows are counted by (gram, whole stretch).
-2. A stretch whose text occurs again, whole, is repeated: all its windows count. A stretch of a gram with a
-   single stretch is unique. Only stretches that share their gram with other, different stretches are left:
-   they lie at the edges of repeated passages.
-3. Those stretches (one of each text) are dealt by the distance of their windows from the anchor into sections,
-   whose windows share a core of `length` - SECTION + 1 bytes. Equal windows have equal cores, so a section whose
-   core occurs once is unique; what is left lies beside the windows that are repeated.
-4. Texts of the sections left are fetched and put into shards by gram. Each shard is indexed: suffixes
-   sorted up to `length`, the Burrows-Wheeler transform, and a breadth-first backward extension of intervals,
-   which sets common prefixes by increasing value and stops at `length`; entries not set by then are longer.
-   A window is repeated if its suffix shares `length` bytes with a neighbour in the order.
-   A gram with more sections than a shard may hold is taken apart instead: its windows are counted by hashes,
-   formed before the shuffle, so that one very common passage is spread over all tasks.
+2. Stretches whose hash occurs again form a class. Two of its members, the first and the last, go to the shard of
+   the first one's block of 64 kB of its document; neighbouring stretches go as one run of text, so that little
+   is sent twice. The class is repeated if the expansion finds every window of its first member again.
+3. Stretches that share their gram with other, different ones lie at the edges of repeated passages. One of each
+   text is dealt by the distance of its windows from the anchor into sections, whose windows share a core of
+   `length` - SECTION + 1 bytes. Equal windows have equal cores, so a section whose core occurs once is unique.
+   Texts of the sections left go to shards by gram.
+   A gram with more sections than a shard may hold is taken apart: its windows are counted by hashes, formed
+   before the shuffle, so that one very common passage is spread over all tasks; those whose hash occurs again
+   form classes, of which two members each are compared as in 2.
+4. A shard is indexed: suffixes sorted up to `length`, the Burrows-Wheeler transform, and a breadth-first backward
+   extension of intervals, which sets common prefixes by increasing value and stops at `length`; entries not set by
+   then are longer. A window is repeated if its suffix shares `length` bytes with a neighbour in the order.
 5. Repeated windows by document give the bytes to remove.
 
-Windows never cross documents: a stretch lies within one. Stretches and windows are told apart by 128 bits of
-hash together with their gram.
+Windows never cross documents: a stretch lies within one. Documents are told apart by id and a hash of the text,
+members of a class from others by 128 bits of hash.
 
 Defined results: a null text is empty; texts of fewer than `length` bytes lose nothing; rows that repeat an id
 or whole rows count as documents of their own, so their text repeats; an empty table gives no rows; columns
-other than those named are ignored (`cut` keeps them).
+other than those named are ignored (`cut` keeps them, whatever their names).
 """
 
 from __future__ import annotations
@@ -34,10 +37,11 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import stored
+from .common import forget, give_back, in_doubt_of, lean, ragged, stored
 
 LENGTH, GRAM = 400, 64
 #: Windows that a section spans.
@@ -50,6 +54,8 @@ FREQUENT, MOST_FREQUENT = 64, 100_000
 PIECE = 1 << 20
 #: Bits of a stretch's place for its last window, and for its anchor, from its first window.
 SPAN_BITS = 12
+#: Bits of the windows of a document whose repeated stretches are decided together (64 kB).
+BLOCK_BITS = 16
 _B = 0x9E3779B97F4A7C15 | 1
 _BI = pow(_B, -1, 1 << 64)
 
@@ -106,55 +112,71 @@ def stretches(data: bytes, length: int, gram: int) -> Iterator[tuple[np.ndarray,
 
 
 def _rows(batches: Iterable[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
-    names = ["uid", "gram", "whole", "place"]
+    names = ["uid", "id", "gram", "whole", "place"]
+    digest = xxhash.xxh3_64_intdigest
     for batch in batches:
-        out: list[list[np.ndarray]] = [[], [], [], []]
-        for uid, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            data = text.as_py()
+        uids, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        out: list[list[np.ndarray]] = [[] for _ in names]
+        held = 0
+        for k in range(batch.num_rows):
+            data = batch.column(2)[k].as_buffer()
             for g, first, last, anchor in stretches(data, length, gram):
-                whole = np.array([xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(first.tolist(), (last + length).tolist(), strict=True)], np.uint64)
+                whole = np.fromiter((digest(data[a:b]) for a, b in zip(first.tolist(), (last + length).tolist(), strict=True)), np.uint64, g.size)
                 place = (((first << SPAN_BITS) | (last - first)) << SPAN_BITS) | (anchor - first)
-                for column, part in zip(out, (np.full(g.size, uid), g.view(np.int64), whole.view(np.int64), place), strict=True):
+                for column, part in zip(out, (np.full(g.size, uids[k]), np.full(g.size, ids[k]), g.view(np.int64), whole.view(np.int64), place), strict=True):
                     column.append(part)
-        if out[0]:
+                held += g.size
+            if held > 1 << 16 or (held and k == batch.num_rows - 1):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=names)
+                out, held = [[] for _ in names], 0
+        if held:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=names)
 
 
 def sort_suffixes(text: np.ndarray, length: int) -> np.ndarray:
-    """Suffixes of text in the order of their first `length` symbols (ties by position): prefix doubling."""
+    """Suffixes of text in the order of their first `length` symbols (ties in any order): prefix multiplying.
+
+    A key of 63 bits holds as many ranks as fit, so that each round of one sort lengthens the sorted prefix
+    several times.
+    """
     n = text.size
     if n == 0:
         return np.zeros(0, np.int64)
-    padded = np.concatenate([text.astype(np.uint64), np.zeros(8, np.uint64)])
+    present = np.bincount(text) > 0
+    code = (np.cumsum(present) - 1).astype(np.uint8 if present.sum() < 257 else np.uint16)[text]
+    wide = max(1, int(present.sum() - 1).bit_length())
+    h = 63 // wide
+    padded = np.concatenate([code, np.zeros(h, code.dtype)])
     key = np.zeros(n, np.uint64)
-    for k in range(7):
-        key = key * np.uint64(258) + padded[k : k + n]
-    order = np.argsort(key, kind="stable")
+    for k in range(h):
+        key <<= np.uint64(wide)
+        key |= padded[k : k + n]
+    order = np.argsort(key)
     ordered = key[order]
     new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+    del key, ordered, padded, code
     start = np.flatnonzero(new)
-    rank = np.empty(n, np.int64)
-    rank[order] = np.repeat(start, np.diff(np.concatenate([start, [n]])))  # of a group: its first place
-    h = 7
+    rank = np.zeros(n + 1, np.uint32)  # of a group: its first place, and one; 0 beyond the end
+    rank[order] = np.repeat(start + 1, np.diff(start, append=n))
+    bits = (n + 1).bit_length()
     while h < length:
-        size = np.diff(np.concatenate([start, [n]]))
-        tied = np.repeat(size > 1, size)
-        at = np.flatnonzero(tied)
+        size = np.diff(start, append=n)
+        at = np.flatnonzero(np.repeat(size > 1, size))
         if not at.size:
             break
         suffix = order[at]
-        beyond = suffix + h
-        nxt = np.where(beyond < n, rank[np.minimum(beyond, n - 1)] + 1, 0)
-        group = rank[suffix]
-        again = np.lexsort((nxt, group))
-        suffix, nxt, group = suffix[again], nxt[again], group[again]
+        key = rank[suffix].astype(np.uint64)
+        for k in range(1, 63 // bits):
+            key <<= np.uint64(bits)
+            key |= rank[np.minimum(suffix + k * h, n)]
+        by = np.argsort(key)
+        suffix, key = suffix[by], key[by]
         order[at] = suffix
-        head = np.concatenate([[True], (group[1:] != group[:-1]) | (nxt[1:] != nxt[:-1])])
+        head = np.concatenate([[True], key[1:] != key[:-1]])
         new[at] = head
-        places = at[head]
-        rank[suffix] = np.repeat(places, np.diff(np.concatenate([np.flatnonzero(head), [at.size]])))
+        rank[suffix] = np.repeat(at[head] + 1, np.diff(np.flatnonzero(head), append=at.size))
         start = np.flatnonzero(new)
-        h *= 2
+        h *= 63 // bits
     return order
 
 
@@ -171,7 +193,7 @@ def long_prefixes(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarra
         return np.zeros(0, bool)
     symbol = text[order - 1]  # the text is taken as a circle; its last symbol is the least and occurs once
     move = np.empty(n, np.int64)  # of a place in the order: that of the suffix one longer
-    move[np.argsort(symbol, kind="stable")] = np.arange(n)
+    move[np.argsort(symbol, kind="stable")] = np.arange(n)  # a radix sort, as symbols have 16 bits
     unset = np.ones(n + 1, bool)
     unset[0] = unset[n] = False
     left, right = np.zeros(1, np.int64), np.full(1, n)
@@ -191,7 +213,7 @@ def long_prefixes(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarra
             owner = np.repeat(np.arange(size.size), size)
             place = np.arange(total) - base[owner] + left[many][owner]
             to = move[place]
-            by = np.lexsort((to, owner)) if size.size > 1 else np.argsort(to)
+            by = np.argsort(owner * n + to)
             to, owner, sign = to[by], owner[by], symbol[place[by]]
             head = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (sign[1:] != sign[:-1])]))
             tail = np.concatenate([head[1:], [total]]) - 1
@@ -228,198 +250,327 @@ def runs(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
 
 
-SECTIONS = pa.schema([*((n, pa.int64()) for n in ("uid", "gram", "stretch", "core", "first", "last")), ("text", pa.binary())])
-FETCHED = pa.schema([("uid", pa.int64()), ("gram", pa.int64()), ("core", pa.int64()), ("first", pa.int64()), ("text", pa.binary()), ("windows", pa.list_(pa.int64()))])
+#: What a pass over texts cuts out. Sections (core not null): windows first..last and the hash of their core; the first of a
+#: stretch brings its text. Runs (block not null): text of a run of neighbouring stretches from window first on, and the grams,
+#: hashes and numbers of windows of those that are to be decided there (none in a run that is only compared with).
+PIECES = pa.schema(
+    [*((n, pa.int64()) for n in ("uid", "id", "gram", "stretch", "core", "first", "last", "block")), ("text", pa.binary()), *((n, pa.list_(pa.int64())) for n in ("grams", "wholes", "at", "windows"))]
+)
+PIECES_SQL = "uid long, id long, gram long, stretch long, core long, first long, last long, block long, text binary, grams array<long>, wholes array<long>, at array<long>, windows array<long>"
+RUNS_SQL = "block long, text binary, grams array<long>, wholes array<long>, at array<long>, windows array<long>"
+FETCHED = pa.schema([*((n, pa.int64()) for n in ("uid", "id", "gram", "core", "first")), ("text", pa.binary()), ("windows", pa.list_(pa.int64()))])
+FETCHED_SQL = "uid long, id long, gram long, core long, first long, text binary, windows array<long>"
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
-def _sections(batches: Iterable[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """The sections of the wanted stretches: windows first..last and the hash of their core; with the first its stretch's text."""
+def runs_of(role: np.ndarray, block: np.ndarray, first: np.ndarray, last: np.ndarray) -> Iterator[np.ndarray]:
+    """Which stretches of a document make a run: of one role and block, each where the one before ends."""
+    order = np.lexsort((first, block, role))
+    r, b, f, e = role[order], block[order], first[order], last[order]
+    opens = (r[1:] != r[:-1]) | (b[1:] != b[:-1]) | (f[1:] != e[:-1] + 1)
+    yield from np.split(order, np.flatnonzero(opens) + 1)
+
+
+def _cut_out(batches: Iterable[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Of texts (uid, id, data, wanted): sections of the wanted stretches of role 0, runs of those of roles 1 and 2."""
     mask, mixed = (1 << SPAN_BITS) - 1, xxhash.xxh3_64_intdigest
     for batch in batches:
+        uids, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        ends, of = ragged(batch.column(3))
+        first = of["place"] >> 2 * SPAN_BITS
+        last = first + ((of["place"] >> SPAN_BITS) & mask)
+        anchor = first + (of["place"] & mask)
         rows: list[tuple] = []
         held = 0
-        for uid, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-            data = text.as_py()
-            for w in wanted:
-                place = w["place"]
-                first = place >> 2 * SPAN_BITS
-                last, anchor = first + ((place >> SPAN_BITS) & mask), first + (place & mask)
-                own = data[first : last + length]
-                held += len(own)
-                for k in range((anchor - last) // SECTION, (anchor - first) // SECTION + 1):
-                    near, far = anchor - k * SECTION, anchor - k * SECTION - SECTION + 1  # the section's windows, if all are there
+        for i in range(batch.num_rows):
+            data = batch.column(2)[i].as_py()
+            own = slice(ends[i], ends[i + 1])
+            role = of["role"][own]
+            open_ = np.flatnonzero(role == 0) + ends[i]
+            for g, a, z, x in zip(of["gram"][open_].tolist(), first[open_].tolist(), last[open_].tolist(), anchor[open_].tolist(), strict=True):
+                text = data[a : z + length]
+                held += len(text)
+                for k in range((x - z) // SECTION, (x - a) // SECTION + 1):
+                    near, far = x - k * SECTION, x - k * SECTION - SECTION + 1  # the section's windows, if all are there
                     core = mixed(data[near : far + length], k)
-                    rows.append((uid, w["gram"], first, core - (core >> 63 << 64), max(first, far), min(last, near), own))
-                    own = None
-                if held > 4 << 20:
-                    yield _batch(rows, SECTIONS)
-                    rows, held = [], 0
+                    rows.append((uids[i], ids[i], g, a, core - (core >> 63 << 64), max(a, far), min(z, near), None, text, None, None, None, None))
+                    text = None
+            closed = np.flatnonzero(role > 0) + ends[i]
+            if closed.size:
+                for run in runs_of(of["role"][closed], of["block"][closed], first[closed], last[closed]):
+                    run = closed[run]
+                    a, z = int(first[run[0]]), int(last[run[-1]])
+                    held += z + length - a
+                    asked = run if of["role"][run[0]] == 1 else run[:0]
+                    rows.append((uids[i], ids[i], None, None, None, a, None, int(of["block"][run[0]]), data[a : z + length], of["gram"][asked], of["whole"][asked], first[asked] - a, last[asked] - first[asked] + 1))
+            if held > 2 << 20 or len(rows) > 1 << 14:
+                yield _batch(rows, PIECES)
+                rows, held = [], 0
         if rows:
-            yield _batch(rows, SECTIONS)
+            yield _batch(rows, PIECES)
 
 
 def _fetch(batches: Iterable[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Of stretches (uid, gram, stretch, text, wanted): texts of the wanted sections, neighbours together; hashes of the windows of hot ones."""
+    """Of stretches (uid, id, gram, stretch, text, wanted): texts of the wanted sections, neighbours together; of hot ones each, with hashes of its windows."""
+    digest = xxhash.xxh3_64_intdigest
     for batch in batches:
+        uids, ids, grams, starts = (batch.column(k).to_pylist() for k in range(4))
+        ends, of = ragged(batch.column(5))
         rows: list[tuple] = []
-        for uid, gram, at, text, wanted in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+        held = 0
+        for i in range(batch.num_rows):
+            own, text, at = slice(ends[i], ends[i + 1]), batch.column(4)[i].as_py(), starts[i]
             cold: list[list[int]] = []
-            for w in sorted(wanted, key=lambda w: w["first"]):
-                first, last = w["first"], w["last"]
-                if w["hot"]:
-                    hashes = [xxhash.xxh3_64_intdigest(text[s - at : s - at + length]) for s in range(first, last + 1)]
-                    rows.append((uid, gram, w["core"], first, None, np.array(hashes, np.uint64).view(np.int64)))
+            for first, last, core, hot in sorted(zip(*(of[n][own].tolist() for n in ("first", "last", "core", "hot")), strict=True)):
+                if hot:
+                    hashes = np.array([digest(text[s - at : s - at + length]) for s in range(first, last + 1)], np.uint64).view(np.int64)
+                    rows.append((uids[i], ids[i], grams[i], core, first, text[first - at : last - at + length], hashes))
                 elif cold and cold[-1][1] + 1 == first:
                     cold[-1][1] = last
                 else:
                     cold.append([first, last])
-            rows += [(uid, gram, None, first, text[first - at : last - at + length], None) for first, last in cold]
+            rows += [(uids[i], ids[i], grams[i], None, first, text[first - at : last - at + length], None) for first, last in cold]
+            held += len(text)
+            if held > 4 << 20:
+                yield _batch(rows, FETCHED)
+                rows, held = [], 0
         if rows:
             yield _batch(rows, FETCHED)
 
 
-def _frequent(batches: Iterable[pa.RecordBatch], known: set[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
-    """Of stretches (uid, gram, whole, place): those of known texts as runs of windows; neighbours in a document become one."""
-    wholes, mask = np.array(sorted({w for _, w in known}), np.int64), (1 << SPAN_BITS) - 1
+def _hot_runs(batches: Iterable[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Of hot sections (first, text, wanted): runs of the wanted windows, as _cut_out has them of stretches."""
+    schema = pa.schema([PIECES.field(n) for n in ("block", "text", "grams", "wholes", "at", "windows")])
     for batch in batches:
-        at = np.flatnonzero(np.isin(batch.column(2).to_numpy(), wholes))
-        uid, gram, whole, place = (batch.column(k).to_numpy()[at] for k in range(4))
-        sure = np.fromiter((x in known for x in zip(gram.tolist(), whole.tolist(), strict=True)), bool, at.size)
-        uid, first = uid[sure], place[sure] >> 2 * SPAN_BITS
+        firsts = batch.column(0).to_pylist()
+        ends, of = ragged(batch.column(2))
+        rows: list[tuple] = []
+        for i in range(batch.num_rows):
+            text, own = batch.column(1)[i].as_py(), np.arange(ends[i], ends[i + 1])
+            place = of["window_at"][own] - firsts[i]
+            for run in runs_of(of["role"][own], of["block"][own], place, place):
+                a, z = int(place[run[0]]), int(place[run[-1]])
+                asked = run if of["role"][own[run[0]]] == 1 else run[:0]
+                rows.append((int(of["block"][own[run[0]]]), text[a : z + length], of["gram"][own[asked]], of["whole"][own[asked]], place[asked] - a, np.ones(asked.size, np.int64)))
+            if len(rows) > 1 << 12:
+                yield _batch(rows, schema)
+                rows = []
+        if rows:
+            yield _batch(rows, schema)
+
+
+def _frequent(batches: Iterable[pa.RecordBatch], grams: np.ndarray, wholes: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Of stretches (uid, id, gram, whole, place): those of known texts as runs of windows; neighbours in a document become one."""
+    mask = (1 << SPAN_BITS) - 1
+    most = int(np.unique(wholes, return_counts=True)[1].max())
+    for batch in batches:
+        uid, id_, gram, whole, place = (batch.column(k).to_numpy() for k in range(5))
+        at = np.searchsorted(wholes, whole)
+        sure = np.zeros(whole.size, bool)
+        for k in range(most):  # 1, unless two grams have texts of one hash
+            near = np.minimum(at + k, wholes.size - 1)
+            sure |= (wholes[near] == whole) & (grams[near] == gram)
+        uid, id_, first = uid[sure], id_[sure], place[sure] >> 2 * SPAN_BITS
         last = first + ((place[sure] >> SPAN_BITS) & mask)
         if not uid.size:
             continue
-        opens = np.concatenate([[True], (uid[1:] != uid[:-1]) | (first[1:] != last[:-1] + 1)])
+        opens = np.concatenate([[True], (uid[1:] != uid[:-1]) | (id_[1:] != id_[:-1]) | (first[1:] != last[:-1] + 1)])
         closes = np.concatenate([opens[1:], [True]])
-        yield pa.RecordBatch.from_arrays([pa.array(uid[opens]), pa.array(first[opens]), pa.array(last[closes])], names=["uid", "first", "last"])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (uid[opens], id_[opens], first[opens], last[closes])], names=["uid", "id", "first", "last"])
+
+
+def _together(rows: pa.Table, key: str, shard_bytes: int) -> Iterator[tuple[int, pa.Table]]:
+    """Slices of rows (sorted by key) of whole keys, of about shard_bytes of text, and where each begins."""
+    keys, sizes = rows.column(key).to_numpy(), pa.compute.binary_length(rows.column("text")).to_numpy()
+    at, held = 0, 0
+    for end in np.flatnonzero(np.concatenate([keys[1:] != keys[:-1], [True]])).tolist() if keys.size else ():
+        held = int(sizes[at : end + 1].sum())
+        if held >= shard_bytes or end + 1 == keys.size:
+            yield at, rows.slice(at, end + 1 - at)
+            at = end + 1
+
+
+def _decided(rows: pa.Table, length: int) -> list[np.ndarray]:
+    """For each row's text, which of its windows occur again in these rows."""
+    texts = [t.as_buffer() for chunk in rows.column("text").chunks for t in chunk]
+    return repeated_windows(texts, [len(t) - length + 1 for t in texts], length)
 
 
 def _shard(rows: pa.Table, length: int, shard_bytes: int) -> pa.Table:
+    """Of texts (uid, id, gram, first, text): runs of windows that occur again under their gram."""
     rows = rows.sort_by([("gram", "ascending"), ("uid", "ascending"), ("first", "ascending")])
-    uids, grams, firsts, texts = (rows.column(c).to_pylist() for c in ("uid", "gram", "first", "text"))
-    out: list[tuple[int, int, int]] = []
-    at = 0
-    while at < len(texts):  # whole grams, up to a bound
-        end, size = at, 0
-        while end < len(texts) and (size < shard_bytes or grams[end] == grams[end - 1]):
-            size += len(texts[end])
-            end += 1
-        parts = texts[at:end]
-        for k, marks in enumerate(repeated_windows(parts, [len(p) - length + 1 for p in parts], length), at):
-            for a, b in zip(*runs(marks), strict=True):
-                out.append((uids[k], firsts[k] + int(a), firsts[k] + int(b)))
-        at = end
-    return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("uid", "first", "last"), zip(*out, strict=True) if out else ([], [], []), strict=True)})
+    uids, ids, firsts = (rows.column(c).to_numpy() for c in ("uid", "id", "first"))
+    out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(4)]
+    for at, part in _together(rows, "gram", shard_bytes):
+        for k, marks in enumerate(_decided(part, length), at):
+            a, b = runs(marks)
+            for column, x in zip(out, (np.full(a.size, uids[k]), np.full(a.size, ids[k]), a + firsts[k], b + firsts[k]), strict=True):
+                column.append(x)
+    give_back()
+    return pa.table({n: np.concatenate(c) for n, c in zip(("uid", "id", "first", "last"), out, strict=True)})
+
+
+def _shard_of_runs(rows: pa.Table, length: int, shard_bytes: int) -> pa.Table:
+    """Of runs: gram and hash of the stretches of which all windows occur again in their block."""
+    rows = rows.sort_by("block")
+    out: list[list[int]] = [[], []]
+    for _, part in _together(rows, "block", shard_bytes):
+        asked = zip(*(part.column(n).to_pylist() for n in ("grams", "wholes", "at", "windows")), strict=True)
+        for marks, of in zip(_decided(part, length), asked, strict=True):
+            for gram, whole, at, n in zip(*of, strict=True):
+                if marks[at : at + n].all():
+                    out[0].append(gram)
+                    out[1].append(whole)
+    give_back()
+    return pa.table({"gram": pa.array(out[0], pa.int64()), "whole": pa.array(out[1], pa.int64())})
+
+
+def _sharded(rows: DataFrame, key: str, work, schema: str, length: int, shard_bytes: int) -> DataFrame:
+    """Stored rows with texts, dealt by key to shards of about shard_bytes, each given to work."""
+    total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    shards = max(1, -(-total // shard_bytes))
+    return rows.withColumn("shard", F.pmod(F.xxhash64(key, F.lit(3)), F.lit(shards))).groupBy("shard").applyInArrow(lambda t: work(t, length, shard_bytes), schema)
+
+
+def _reps(classes: DataFrame, block: Column) -> Column:
+    """Two occurrences (one, two) of each class (gram, whole), to be compared in a block; an array of structs."""
+    at = lambda name, role: F.struct(F.col(f"{name}.uid").alias("uid"), F.col(f"{name}.id").alias("id"), F.struct(F.lit(role).cast("long").alias("role"), "gram", "whole", F.col(f"{name}.place").alias("place"), block.alias("block")).alias("w"))
+    return F.array(at("one", 1), at("two", 2))
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most_sections: int = MOST_SECTIONS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """docs: uid (long), data (binary). Returns uid, first, last: runs of windows that occur again."""
+    """docs: uid, id (long), data (binary); no two texts share both numbers. Returns uid, id, first, last: runs of windows that occur again."""
     if not (SECTION <= length < 1 << SPAN_BITS and 1 <= gram <= length):
         raise ValueError(f"length {length} and gram {gram} are out of range")
-    docs = docs.select("uid", "data")
-    rows = stored(docs.mapInArrow(lambda b: _rows(b, length, gram), "uid long, gram long, whole long, place long"), "stretches")
-    # By gram and text of the stretch: how often, and one place of it.
+    docs = docs.select("uid", "id", "data")
+    rows = stored(docs.mapInArrow(lean(lambda b: _rows(b, length, gram)), "uid long, id long, gram long, whole long, place long"), "stretches")
+    # By gram and text of the stretch: how often, and its first and last place.
     texts = rows.groupBy("gram", "whole").agg(F.count("*").alias("n"))
     grams = texts.groupBy("gram").agg(F.count("*").alias("texts"), F.sum("n").alias("rows"), F.min("n").alias("least"))
     grams = stored(grams.where("rows > 1"), "grams")
-    whole = stored(rows.join(grams.select("gram"), "gram", "left_semi").groupBy("gram", "whole").agg(F.count("*").alias("n"), F.min(F.struct("uid", "place")).alias("one")), "texts")
-    again = stored(whole.where("n > 1").select("gram", "whole", "n"), "again")
+    place = F.struct("uid", "id", "place")
+    whole = stored(rows.join(grams.select("gram"), "gram", "left_semi").groupBy("gram", "whole").agg(F.count("*").alias("n"), F.min(place).alias("one"), F.max(place).alias("two")), "texts")
+    # Texts that occur once, of grams with several texts, with the other texts of such grams: role 0. Of texts that occur again
+    # the first and the last: roles 1 and 2. All of a document go together.
+    open_grams = grams.where("texts > 1 AND least = 1").select("gram")
+    single = whole.join(open_grams, "gram").select(F.col("one.uid").alias("uid"), F.col("one.id").alias("id"), F.struct(F.lit(0).cast("long").alias("role"), "gram", "whole", F.col("one.place").alias("place"), F.lit(0).cast("long").alias("block")).alias("w"))
+    again = whole.where("n > 1")
+    block = F.xxhash64("one.uid", "one.id", F.shiftright("one.place", 2 * SPAN_BITS + BLOCK_BITS))
+    pairs = again.select(F.inline(_reps(again, block)))
+    wanted = stored(single.unionByName(pairs).groupBy("uid", "id").agg(F.collect_list("w").alias("wanted")), "wanted")
+    sought = in_doubt_of(docs, wanted.select("uid"), "uid").where("_in_doubt").join(wanted, ["uid", "id"])
+    pieces = stored(sought.select("uid", "id", "data", "wanted").mapInArrow(lean(lambda b: _cut_out(b, length)), PIECES_SQL), "pieces")
+    runs_ = pieces.where("block IS NOT NULL").select("block", "text", "grams", "wholes", "at", "windows")
+    sure = stored(_sharded(runs_, "block", _shard_of_runs, "gram long, whole long", length, shard_bytes), "sure")
     # At most MOST_FREQUENT texts are that frequent: they are broadcast, so that a very common passage is marked without a shuffle.
     bound = max(FREQUENT, rows.count() // MOST_FREQUENT)
-    common = again.where(F.col("n") > bound).select("gram", "whole").toArrow()
-    known = docs.sparkSession.sparkContext.broadcast(set(zip(common.column(0).to_pylist(), common.column(1).to_pylist(), strict=True)))
+    common = sure.join(again.where(F.col("n") > bound), ["gram", "whole"]).select("gram", "whole").toArrow().sort_by("whole")
+    known = docs.sparkSession.sparkContext.broadcast((common.column(0).to_numpy(), common.column(1).to_numpy()))
     first = F.shiftright("place", 2 * SPAN_BITS)
     last = first + F.shiftright("place", SPAN_BITS).bitwiseAND(F.lit((1 << SPAN_BITS) - 1))
-    marks = rows.join(again.where(F.col("n") <= bound).drop("n"), ["gram", "whole"]).select("uid", first.alias("first"), last.alias("last"))
+    rest = sure.join(again.where(F.col("n") <= bound).select("gram", "whole"), ["gram", "whole"])
+    marks = rows.join(rest, ["gram", "whole"]).select("uid", "id", first.alias("first"), last.alias("last"))
     if common.num_rows:
-        marks = marks.unionByName(rows.select("uid", "gram", "whole", "place").mapInArrow(lambda b: _frequent(b, known.value), "uid long, first long, last long"))
-    # Texts that occur once, of grams with several texts; the other texts of such grams come along.
-    open_grams = grams.where("texts > 1 AND least = 1").select("gram")
-    wanted = whole.join(open_grams, "gram").select(F.col("one.uid").alias("uid"), F.struct("gram", F.col("one.place").alias("place")).alias("w"))
-    wanted = stored(wanted.groupBy("uid").agg(F.collect_list("w").alias("wanted")), "wanted")
-    parts = stored(docs.join(wanted, "uid").select("uid", "data", "wanted").mapInArrow(lambda b: _sections(b, length), "uid long, gram long, stretch long, core long, first long, last long, text binary"), "sections")
+        marks = marks.unionByName(rows.select("uid", "id", "gram", "whole", "place").mapInArrow(lambda b: _frequent(b, *known.value), "uid long, id long, first long, last long"))
+    parts = pieces.where("core IS NOT NULL")
     cores = stored(parts.groupBy("gram", "core").agg(F.count("*").alias("n")).where("n > 1").select("gram", "core"), "cores")
-    live = stored(parts.drop("text").join(cores, ["gram", "core"]), "live")
-    hot = stored(live.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > most_sections).select("gram", F.lit(True).alias("hot")), "hot")
-    wanted = live.join(hot, "gram", "left").select("uid", "gram", "stretch", F.struct("core", "first", "last", F.col("hot").isNotNull().alias("hot")).alias("w"))
-    wanted = stored(wanted.groupBy("uid", "gram", "stretch").agg(F.collect_list("w").alias("wanted")), "wanted")
-    held = parts.where("text IS NOT NULL").select("uid", "gram", "stretch", "text").join(wanted, ["uid", "gram", "stretch"])
-    fetched = held.select("uid", "gram", "stretch", "text", "wanted").mapInArrow(lambda b: _fetch(b, length), "uid long, gram long, core long, first long, text binary, windows array<long>")
-    fetched = stored(fetched, "fetched")
-    cold = fetched.where("text IS NOT NULL").select("uid", "gram", "first", "text")
-    total = fetched.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    shards = max(1, -(-total // shard_bytes))
-    sharded = cold.withColumn("shard", F.pmod(F.xxhash64("gram", F.lit(3)), F.lit(shards))).groupBy("shard").applyInArrow(lambda t: _shard(t, length, shard_bytes), "uid long, first long, last long")
-    windows = stored(fetched.where("windows IS NOT NULL").select("uid", "gram", "core", "first", F.posexplode("windows").alias("at", "window")), "windows")
-    twice = stored(windows.groupBy("gram", "core", "window").agg(F.count("*").alias("n")).where("n > 1").select("gram", "core", "window"), "twice")
-    apart = windows.join(twice, ["gram", "core", "window"]).select("uid", (F.col("first") + F.col("at")).alias("first"), (F.col("first") + F.col("at")).alias("last"))
-    return marks.unionByName(sharded).unionByName(apart)
-
-
-def covered(wanted: list, length: int) -> list[tuple[int, int]]:
-    """Bytes of runs of windows as disjoint spans, start to end."""
-    spans: list[list[int]] = []
-    for w in sorted((w["first"], w["last"]) for w in wanted or ()):
-        if spans and w[0] <= spans[-1][1]:
-            spans[-1][1] = max(spans[-1][1], w[1] + length)
-        else:
-            spans.append([w[0], w[1] + length])
-    return [(a, b) for a, b in spans]
-
-
-def _uid(docs: DataFrame):
-    return F.xxhash64("doc_id", "text")
+    live = stored(parts.select("uid", "id", "gram", "stretch", "core", "first", "last").join(cores, ["gram", "core"]), "live")
+    hot = stored(live.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > most_sections).select("gram", F.lit(1).alias("hot")), "hot")
+    asked = live.join(hot, "gram", "left").select("uid", "id", "gram", "stretch", F.struct("core", "first", "last", F.coalesce("hot", F.lit(0)).cast("long").alias("hot")).alias("w"))
+    asked = asked.groupBy("uid", "id", "gram", "stretch").agg(F.collect_list("w").alias("wanted"))
+    held = parts.where("text IS NOT NULL").select("uid", "id", "gram", "stretch", "text").join(asked, ["uid", "id", "gram", "stretch"])
+    fetched = stored(held.select("uid", "id", "gram", "stretch", "text", "wanted").mapInArrow(lean(lambda b: _fetch(b, length)), FETCHED_SQL), "fetched")
+    cold = fetched.where("core IS NULL").select("uid", "id", "gram", "first", "text")
+    marks = marks.unionByName(_sharded(cold, "gram", _shard, "uid long, id long, first long, last long", length, shard_bytes))
+    # Hot grams: windows of equal hash, two of each, are compared like stretches.
+    windows = stored(fetched.where("core IS NOT NULL").select("uid", "id", "gram", "first", F.posexplode("windows").alias("at", "whole")).withColumn("place", F.col("first") + F.col("at")), "windows")
+    if not windows.isEmpty():
+        place = F.struct("uid", "id", "first", "place")
+        twice = stored(windows.groupBy("gram", "whole").agg(F.count("*").alias("n"), F.min(place).alias("one"), F.max(place).alias("two")).where("n > 1"), "twice")
+        pairs = twice.select(F.inline(_reps(twice, F.xxhash64("gram", "one.uid", "one.id", "one.first"))), "one", "two")
+        section = F.when(F.col("w.role") == 1, F.col("one.first")).otherwise(F.col("two.first")).alias("first")
+        pairs = pairs.select("uid", "id", F.col("w.gram").alias("gram"), section, F.struct("w.role", "w.gram", "w.whole", F.col("w.place").alias("window_at"), "w.block").alias("w"))
+        pairs = pairs.groupBy("uid", "id", "gram", "first").agg(F.collect_list("w").alias("wanted"))
+        runs_ = fetched.where("core IS NOT NULL").select("uid", "id", "gram", "first", "text").join(pairs, ["uid", "id", "gram", "first"])
+        runs_ = stored(runs_.select("first", "text", "wanted").mapInArrow(lambda b: _hot_runs(b, length), RUNS_SQL), "hot_runs")
+        found = stored(_sharded(runs_, "block", _shard_of_runs, "gram long, whole long", length, shard_bytes), "found")
+        marks = marks.unionByName(windows.join(found, ["gram", "whole"]).select("uid", "id", F.col("place").alias("first"), F.col("place").alias("last")))
+    marks = stored(marks.groupBy("uid", "id").agg(F.collect_list(F.struct("first", "last")).alias("marks")), "marks")
+    forget(rows, grams, whole, wanted, pieces, sure, cores, live, hot, fetched, windows)
+    return marks
+
+
+def covered(first: np.ndarray, last: np.ndarray, length: int) -> tuple[list[int], list[int]]:
+    """Bytes of runs of windows as disjoint spans: starts and ends."""
+    if not first.size:
+        return [], []
+    order = np.argsort(first, kind="stable")
+    first, ends = first[order], np.maximum.accumulate(last[order]) + length
+    opens = np.flatnonzero(np.concatenate([[True], first[1:] > ends[:-1]]))
+    return first[opens].tolist(), ends[np.concatenate([opens[1:] - 1, [first.size - 1]])].tolist()
+
+
+def _spans(column: pa.ListArray, length: int) -> Iterator[tuple[list[int], list[int]]]:
+    ends, of = ragged(column)
+    for a, b in zip(ends, ends[1:], strict=False):
+        yield covered(of["first"][a:b], of["last"][a:b], length)
 
 
 def with_marks(docs: DataFrame, **options) -> DataFrame:
-    """docs with data (the text as bytes) and marks (runs of repeated windows, or null)."""
-    given = docs.withColumn("uid", _uid(docs)).withColumn("data", F.coalesce(F.col("text").cast("binary"), F.lit(b"")))
-    marks = repeats(given, **options).groupBy("uid").agg(F.collect_list(F.struct("first", "last")).alias("marks"))
-    return given.join(stored(marks, "marks"), "uid", "left").drop("uid")
+    """docs with _data (the text as bytes) and _marks (runs of repeated windows, or null)."""
+    given = docs.withColumn("_data", F.coalesce(F.col("text").cast("binary"), F.lit(b""))).withColumn("_uid", F.xxhash64("doc_id", "text")).withColumn("_id", F.coalesce("doc_id", F.lit(0)).cast("long"))
+    marks = repeats(given.select(F.col("_uid").alias("uid"), F.col("_id").alias("id"), F.col("_data").alias("data")), **options)
+    # Texts that surely have no marks pass without a shuffle.
+    doubtful = in_doubt_of(given, marks.select("uid"))
+    sure = doubtful.where("NOT _in_doubt").withColumn("_marks", F.lit(None).cast("array<struct<first:bigint,last:bigint>>"))
+    left = doubtful.where("_in_doubt").join(marks.select(F.col("uid").alias("_uid"), F.col("id").alias("_id"), F.col("marks").alias("_marks")), ["_uid", "_id"], "left")
+    return sure.unionByName(left).select(*docs.columns, "_data", "_marks")
 
 
 def removals(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of docs."""
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
 
     def digested(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text, marks in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
-                data = text.as_py()
-                spans = covered(marks, length)
+            for text, (starts, ends) in zip(batch.column(1), _spans(batch.column(2), length), strict=True):
+                data = text.as_buffer()
                 kept, at = hashlib.sha256(), 0
-                for a, b in spans:
+                for a, b in zip(starts, ends, strict=True):
                     kept.update(data[at:a])
                     at = b
                 kept.update(data[at:])
-                rows.append((len(data), sum(b - a for a, b in spans), len(spans), kept.hexdigest()))
+                rows.append((len(data), sum(ends) - sum(starts), len(starts), kept.hexdigest()))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, (*[pa.int64()] * 3, pa.string()), strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, (*[pa.int64()] * 3, pa.string()), strict=True))], names=names)
 
     marked = with_marks(docs.select("doc_id", "text"), length=length, **options)
-    return marked.select("doc_id", "data", "marks").mapInArrow(digested, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return marked.select("doc_id", "_data", "_marks").mapInArrow(lean(digested), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def cut(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame:
-    """docs without the repeated strings; a character of which a byte goes, goes. n_chars is counted anew."""
+    """docs without the repeated strings; a character of which a byte goes, goes. n_chars, if there, is counted anew."""
     names = docs.columns
+    kinds = {"text": pa.string(), "n_chars": pa.int64()}
 
     def kept(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, marks in zip(batch.column(batch.schema.get_field_index("data")), batch.column(batch.schema.get_field_index("marks")).to_pylist(), strict=True):
+            for text, (starts, ends) in zip(batch.column(batch.num_columns - 2), _spans(batch.column(batch.num_columns - 1), length), strict=True):
                 data, parts, at = text.as_py(), [], 0
-                for a, b in covered(marks, length):
+                for a, b in zip(starts, ends, strict=True):
                     parts.append(data[at:a].decode("utf-8", "ignore"))
                     at = b
                 parts.append(data[at:].decode("utf-8", "ignore"))
                 out.append("".join(parts))
-            columns = {n: batch.column(batch.schema.get_field_index(n)) for n in names if n not in ("text", "n_chars")}
-            columns |= {"text": pa.array(out, pa.string()), "n_chars": pa.array([len(t) for t in out], pa.int64())}
-            yield pa.RecordBatch.from_arrays([columns[n] for n in names], names=names)
+            made = {"text": pa.array(out, pa.string()), "n_chars": pa.array([len(t) for t in out], pa.int64())}
+            given = iter(batch.columns)
+            yield pa.RecordBatch.from_arrays([made[n] if n in kinds else next(given) for n in names], names=names)
 
-    return with_marks(docs, length=length, **options).select(*[n for n in names if n not in ("text", "n_chars")], "data", "marks").mapInArrow(kept, docs.schema)
+    schema = StructType([StructField(f.name, LongType() if f.name == "n_chars" else f.dataType) for f in docs.schema.fields])
+    marked = with_marks(docs, length=length, **options)
+    return marked.select(*[n for n in names if n not in kinds], "_data", "_marks").mapInArrow(lean(kept), schema)
