@@ -113,3 +113,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def crc_of_id(column: str = "doc_id"):
     """crc32 of an id as text; null ids count as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))
+
+
+def renamed(docs: DataFrame, *needed: str) -> tuple[DataFrame, list[str]]:
+    """docs with all columns but the needed ones under names of our own (other_0, ...), and its own names, to be given back with toDF."""
+    first = {n: docs.columns.index(n) for n in needed}
+    return docs.toDF(*[n if first.get(n) == k else f"other_{k}" for k, n in enumerate(docs.columns)]), docs.columns
