@@ -9,7 +9,7 @@ spanning forest of its links, never the pairs; components of the forests are the
 
 Defined results: null and empty texts have the fingerprint zero and link like any other; repeated rows
 have the same fingerprint and one component; a null id is in no component's minimum; an empty table gives no
-rows; columns other than those named are ignored.
+rows; columns other than those named are ignored (`one_of_each` keeps them, whatever their names).
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import in_doubt_of, lean, renamed, stored
 from .components import components, forest
 
 SHINGLE, DISTANCE, SEED = 3, 2, 42
@@ -30,8 +30,6 @@ SHINGLE, DISTANCE, SEED = 3, 2, 42
 LEAF, DEPTH, SAMPLE_LEAF = 8192, 14, 16
 #: Pairs compared at once.
 BLOCK = 1 << 19
-#: Bits of the bitmap of rows that may have to go.
-SLOT_BITS = 24
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -54,8 +52,8 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
 
 def _fingerprints(batches: Iterable[pa.RecordBatch], shingle: int, seed: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        prints = np.array([fingerprint(t.as_py(), shingle, seed) for t in batch.column(2)], dtype=np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints.view(np.int64))], names=["uid", "doc_id", "print"])
+        prints = np.array([fingerprint(t.as_py(), shingle, seed) for t in batch.column(3)], dtype=np.uint64)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(prints.view(np.int64))], names=["uid", "id", "doc_id", "print"])
 
 
 class VantageTree:
@@ -164,8 +162,8 @@ def links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 
 def _grouped(docs: DataFrame, distance: int, shingle: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """uid, doc_id, print of each row; and print, root (of its component), component_id of each fingerprint."""
-    own = docs.select(F.xxhash64("doc_id", "text").alias("uid"), "doc_id", "text").mapInArrow(lambda batches: _fingerprints(batches, shingle, seed), "uid long, doc_id long, print long")
+    """uid, id, doc_id, print of each row; and print, root (of its component), component_id of each fingerprint."""
+    own = docs.select(*row_keys(), "doc_id", "text").mapInArrow(lean(lambda batches: _fingerprints(batches, shingle, seed)), "uid long, id long, doc_id long, print long")
     own = stored(own, "prints")
     distinct = stored(own.groupBy("print").agg(F.min("doc_id").alias("first")), "distinct")
     roots = components(links(distinct, distance))
@@ -182,29 +180,26 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SH
     return own.join(of, "print").select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def in_doubt_of(docs: DataFrame, uids: DataFrame) -> DataFrame:
-    """docs (with _uid) and _in_doubt: whether _uid may be among uids (by a bitmap of their hashes, bounded, 2 MB)."""
-    slot = lambda c: F.pmod(F.xxhash64(c, F.lit(7)), F.lit(1 << SLOT_BITS))
-    words = stored(uids.select(slot("uid").alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 as int)))").alias("bits")), "words")
-    marked = docs.withColumn("_slot", slot("_uid"))
-    marked = marked.join(F.broadcast(words.select(F.col("word").alias("_word"), F.col("bits").alias("_bits"))), F.shiftright("_slot", 6) == F.col("_word"), "left")
-    return marked.withColumn("_in_doubt", F.expr("coalesce(shiftright(_bits, cast(_slot & 63 as int)) & 1L, 0L) = 1"))
+def row_keys() -> list:
+    """What tells rows of docs apart: a hash of id and text, and the id beside it."""
+    return [F.xxhash64("doc_id", "text").alias("uid"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("id")]
 
 
 def first_of_each(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """rows: uid, doc_id, root of each row of docs. Of each root the row of the smallest doc_id, see one_of_each."""
+    """rows: uid, id, doc_id, root of each row of docs. Of each root the row of the smallest doc_id, see one_of_each."""
     rows = stored(rows, "rows")
-    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "uid")).alias("first")).select(F.col("first.uid").alias("uid"))
-    keep = stored(rows.join(stored(first, "first"), "uid").groupBy("uid").agg(F.count("*").alias("n")), "keep")
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "uid", "id")).alias("first")).select("first.uid", "first.id")
+    keep = stored(rows.join(stored(first, "first"), ["uid", "id"]).groupBy("uid", "id").agg(F.count("*").alias("n")), "keep")
     # Most rows are kept, once: a bitmap of all others lets them pass without a shuffle of texts.
-    doubtful = rows.join(keep.where("n = 1"), "uid", "left_anti").select("uid")
-    marked = in_doubt_of(docs.withColumn("_uid", F.xxhash64("doc_id", "text")), doubtful)
-    sure = marked.where("NOT _in_doubt").select(*docs.columns)
-    left = marked.where("_in_doubt").join(keep.withColumnRenamed("uid", "_uid"), "_uid")
-    kept = sure.unionByName(left.where("n = 1").select(*docs.columns))
-    if keep.where("n > 1").isEmpty():
-        return kept
-    return kept.unionByName(left.where("n > 1").dropDuplicates(["_uid"]).select(*docs.columns))
+    doubtful = rows.join(keep.where("n = 1"), ["uid", "id"], "left_anti").select("uid")
+    own, names = renamed(docs, "doc_id", "text")
+    marked = in_doubt_of(own.select("*", *row_keys()), doubtful, "uid")
+    sure = marked.where("NOT _in_doubt").select(*own.columns)
+    left = marked.where("_in_doubt").join(keep, ["uid", "id"])
+    kept = sure.unionByName(left.where("n = 1").select(*own.columns))
+    if not keep.where("n > 1").isEmpty():
+        kept = kept.unionByName(left.where("n > 1").dropDuplicates(["uid", "id"]).select(*own.columns))
+    return kept.toDF(*names)
 
 
 def one_of_each(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
@@ -213,4 +208,4 @@ def one_of_each(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGL
     Of rows that are equal in id and text one is kept.
     """
     own, of = _grouped(docs, distance, shingle, seed)
-    return first_of_each(docs, own.join(of, "print").select("uid", "doc_id", "root"))
+    return first_of_each(docs, own.join(of, "print").select("uid", "id", "doc_id", "root"))

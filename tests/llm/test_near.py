@@ -3,7 +3,7 @@ import random
 import numpy as np
 import xxhash
 
-from orrery.llm import components, embeddings, simhash
+from orrery.llm import common, components, embeddings, simhash
 
 
 def union(n, pairs):
@@ -91,7 +91,7 @@ def test_near_duplicates(spark, monkeypatch):
     kept = [r.doc_id for r in simhash.one_of_each(df.union(df)).collect()]
     assert sorted(kept) == sorted(set(root))
     for bits in (24, 6):  # with few bits many kept rows are in doubt
-        monkeypatch.setattr(simhash, "SLOT_BITS", bits)
+        monkeypatch.setattr(common, "SLOT_BITS", bits)
         assert sorted(r.doc_id for r in simhash.one_of_each(df).collect()) == sorted(set(root))
     assert simhash.one_of_each(df.limit(0)).columns == df.columns and simhash.one_of_each(df.limit(0)).count() == 0
     assert simhash.near_duplicates(df.limit(0)).count() == 0
