@@ -103,6 +103,22 @@ def test_lm_counts_and_scores(spark, monkeypatch):
         out = lm.score(df, crc_of_id() % 10 == 0, path, frequent=frequent).collect()
         assert sorted((-1 if r.doc_id is None else r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in out) == want
         assert all(math.isfinite(r.score) and r.score < 0 for r in out)
+        # The score by the formula of the docstring, text by text.
+        model = lm.fit(lm.pieces_of(df.where(~(crc_of_id() % 10 == 0)).where("text IS NOT NULL"), lm.SAMPLE), path)
+        spell = lm.speller(path)
+        d = min(0.9, max(0.1, sum(c == 1 for c in counts.values()) / v))
+        k = {w: max(c - d, 0) / n for w, c in counts.items()}
+        cls = lambda w: int(model.class_of[spell.spell(w)[0]])
+        share = collections.Counter()
+        for w in counts:
+            share[cls(w)] += k[w] / sum(k.values())
+        brute = []
+        for i, r in enumerate(rows):
+            flat, first = spell.flat(spell.of(split[i]))
+            p, a = model.word_log10(flat, first, np.array([len(split[i])]))
+            odds = [10**x / share[cls(w)] if share[cls(w)] else 0 for w, x in zip(split[i], a, strict=True)]
+            brute.append((-1 if r[0] is None else r[0], sum(math.log10((1 - lm.MIX) * (k.get(w, 0) * (lm.CONTEXT * o + 1 - lm.CONTEXT) + d * v / n * 10**x) + lm.MIX * 10**x) for w, o, x in zip(split[i], odds, p, strict=True))))
+        assert np.allclose(sorted(brute), sorted((-1 if r.doc_id is None else r.doc_id, r.score) for r in out), rtol=1e-4, atol=1e-4)
     assert lm.score(df.limit(0), crc_of_id() % 10 == 0, path).count() == 0
     assert lm.score(df, F.lit(True), path).count() == len(rows)
 
@@ -133,3 +149,18 @@ def test_attention_is_causal_and_sums_to_one():
     # Texts scored together or apart give the same.
     both = model.log_probabilities(np.concatenate([ids, ids[:30]]), np.array([ids.size, 30]))[0]
     assert np.allclose(both[: ids.size], a, atol=1e-5) and np.allclose(both[ids.size :], a[:30], atol=1e-5)
+
+
+def test_lm_beats_counts_alone(spark, sf):
+    out = queries.op7_lm(spark, sf.replace("0.001", "0.01")).where("held_out").toPandas()
+    assert out["score"].sum() > out["base_score"].sum() + 0.1 * out["n_tokens"].sum()
+    assert (out["score"] > out["base_score"]).mean() > 0.75
+
+
+def test_pieces_come_from_whole_texts(spark):
+    text = "".join(f"{i:07d} " for i in range(5000))
+    df = spark.createDataFrame([(1, text), (None, text), (2, ""), (3, "short")], "doc_id long, text string")
+    every = lm.pieces_of(df, 10**6)
+    assert sorted(every) == sorted({text[i : i + lm.PIECE_CHARS] for i in range(0, len(text), lm.PIECE_CHARS)} | {"short"})
+    few = lm.pieces_of(df, 10)
+    assert 0 < len(few) <= 20 and set(few) < set(every)
