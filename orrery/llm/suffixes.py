@@ -447,15 +447,13 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most_sectio
         raise ValueError(f"length {length} and gram {gram} are out of range")
     docs = docs.select("uid", "id", "data")
     rows = stored(docs.mapInArrow(lean(lambda b: _rows(b, length, gram)), "uid long, id long, gram long, whole long, place long"), "stretches")
-    # By gram and text of the stretch: how often, and its first and last place.
-    texts = rows.groupBy("gram", "whole").agg(F.count("*").alias("n"))
-    grams = texts.groupBy("gram").agg(F.count("*").alias("texts"), F.sum("n").alias("rows"), F.min("n").alias("least"))
-    grams = stored(grams.where("rows > 1"), "grams")
+    # By gram and text of the stretch, formed before any join: how often, and its first and last place.
     place = F.struct("uid", "id", "place")
-    whole = stored(rows.join(grams.select("gram"), "gram", "left_semi").groupBy("gram", "whole").agg(F.count("*").alias("n"), F.min(place).alias("one"), F.max(place).alias("two")), "texts")
+    whole = stored(rows.groupBy("gram", "whole").agg(F.count("*").alias("n"), F.min(place).alias("one"), F.max(place).alias("two")), "texts")
+    grams = whole.groupBy("gram").agg(F.count("*").alias("texts"), F.min("n").alias("least"))
+    open_grams = stored(grams.where("texts > 1 AND least = 1").select("gram"), "grams")
     # Texts that occur once, of grams with several texts, with the other texts of such grams: role 0. Of texts that occur again
     # the first and the last: roles 1 and 2. All of a document go together.
-    open_grams = grams.where("texts > 1 AND least = 1").select("gram")
     single = whole.join(open_grams, "gram").select(F.col("one.uid").alias("uid"), F.col("one.id").alias("id"), F.struct(F.lit(0).cast("long").alias("role"), "gram", "whole", F.col("one.place").alias("place"), F.lit(0).cast("long").alias("block")).alias("w"))
     again = whole.where("n > 1")
     block = F.xxhash64("one.uid", "one.id", F.shiftright("one.place", 2 * SPAN_BITS + BLOCK_BITS))
@@ -499,7 +497,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most_sectio
         found = stored(_sharded(runs_, "block", _shard_of_runs, "gram long, whole long", length, shard_bytes), "found")
         marks = marks.unionByName(windows.join(found, ["gram", "whole"]).select("uid", "id", F.col("place").alias("first"), F.col("place").alias("last")))
     marks = stored(marks.groupBy("uid", "id").agg(F.collect_list(F.struct("first", "last")).alias("marks")), "marks")
-    forget(rows, grams, whole, wanted, pieces, sure, cores, live, hot, fetched, windows)
+    forget(rows, open_grams, whole, wanted, pieces, sure, cores, live, hot, fetched, windows)
     return marks
 
 
