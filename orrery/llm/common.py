@@ -22,6 +22,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+#: Bytes of a batch for a Python worker.
+BATCH_BYTES = 4 << 20
 #: Bits of the bitmap that tells rows apart from those that are surely not wanted.
 SLOT_BITS = 24
 
@@ -50,8 +52,16 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/orrery/{name}-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the bytes of the batches that Python workers get, whatever the length of texts (in this session)."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(re.match(r"-?\d+", spark.conf.get(key, "-1"))[0]) not in range(1, BATCH_BYTES + 1):
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it again: cuts lineage, and survives the loss of executors."""
+    small_batches(df.sparkSession)
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
@@ -107,6 +117,7 @@ def in_doubt_of(docs: DataFrame, uids: DataFrame, key: str = "_uid") -> DataFram
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean
+from .common import lean, small_batches
 
 LENGTH = 2048
 END_ID = 1
@@ -174,6 +174,7 @@ def pack_group(pieces: list[tuple], length: int) -> list[tuple]:
 
 def pack(docs: DataFrame, vocabulary: str, length: int = LENGTH, end_id: int = END_ID, group: int = GROUP) -> DataFrame:
     """One row for each piece of each document: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+    small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     groups = max(1, math.ceil(docs.count() / group))
     pieces = docs.mapInArrow(lean(lambda batches: _cut(batches, vocabulary, end_id, length)), PIECE)

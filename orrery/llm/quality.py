@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean, small_batches
+
 SAMPLE, PAIRS, RIDGE, STEPS = 8_000, 40_000, 1e-3, 12
 _SIGNS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _CLASSES = np.zeros((256, 6))
@@ -128,13 +130,14 @@ def gather(docs: DataFrame, labels: DataFrame, label: str, trains: Column, of: C
     Half of each class; ids are chosen by a hash, so that the choice does not depend on the order of rows; the list of ids is
     at most `sample` long, and so is what is broadcast.
     """
+    small_batches(docs.sparkSession)
     known = labels.where(F.col(label).isin(0, 1) & trains).select("doc_id", F.col(label).cast("int").alias("y"))
     first = [F.xxhash64("doc_id", F.lit(5)), F.col("doc_id")]
     known = [r for y in (0, 1) for r in known.where(F.col("y") == y).orderBy(*first).limit(sample // 2).collect()]  # top-k: bounded by sample
     if not known:
         return pa.table({"y": pa.array([], pa.int32())})
     chosen = docs.sparkSession.createDataFrame([(r["doc_id"], r["y"]) for r in known], "doc_id long, y int")
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y").mapInArrow(of, schema).limit(2 * sample).toArrow()
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y").mapInArrow(lean(of), schema).limit(2 * sample).toArrow()
 
 
 def _sampled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +165,8 @@ def with_scores(docs: DataFrame, model, figures_of: Callable = figures) -> DataF
             out = [shared.value.score(np.stack([figures_of(t.as_py()) for t in batch.column(1).slice(at, 256)])) for at in range(0, batch.num_rows, 256)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out) if out else np.zeros(0))], names=["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(scored, "doc_id long, score double")
+    small_batches(docs.sparkSession)
+    return docs.select("doc_id", "text").mapInArrow(lean(scored), "doc_id long, score double")
 
 
 def only_good(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
@@ -176,4 +180,5 @@ def only_good(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
                 keep = np.concatenate([shared.value.score(np.stack([figures(t.as_py()) for t in texts.slice(at, 256)])) for at in range(0, batch.num_rows, 256)]) >= least
                 yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(good, docs.schema)
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(lean(good), docs.schema)

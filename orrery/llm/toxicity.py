@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean, small_batches
 from .quality import gather
 
 SAMPLE, LEAST_DOCUMENTS, LEAST_CHI2, MOST_FEATURES = 10_000, 4, 12.0, 20_000
@@ -194,4 +195,5 @@ def with_scores(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shared.value.score(t.as_py()) for t in batch.column(1)], pa.float64())], names=["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(scored, "doc_id long, score double")
+    small_batches(docs.sparkSession)
+    return docs.select("doc_id", "text").mapInArrow(lean(scored), "doc_id long, score double")
