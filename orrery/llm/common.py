@@ -55,7 +55,8 @@ def new_path(spark: SparkSession, name: str) -> str:
 def small_batches(spark: SparkSession) -> None:
     """Bound the bytes of the batches that Python workers get, whatever the length of texts (in this session)."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(re.match(r"-?\d+", spark.conf.get(key, "-1"))[0]) not in range(1, BATCH_BYTES + 1):
+    now = re.fullmatch(r"(\d+)b?", spark.conf.get(key, None) or "")
+    if not now or int(now[1]) > BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
