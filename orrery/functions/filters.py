@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -160,3 +160,21 @@ def parse_order(text: str) -> list[Column]:
             raise ValueError(f"cannot read the order {part!r}")
         out.append(F.col(name).desc() if direction.strip().lower() == "desc" else F.col(name).asc())
     return out
+
+
+def masked(df: DataFrame, mask: str) -> DataFrame:
+    """Only the fields of a read mask ("name,span.start_ms"; all for "" or "*"); parts of a struct stay in it, in its order."""
+    paths = [p.strip() for p in mask.split(",") if p.strip()]
+    if not paths or "*" in paths:
+        return df
+    parts: dict[str, list[str] | None] = {}
+    for path in paths:
+        top, _, rest = path.partition(".")
+        if top not in df.columns or (rest and rest not in getattr(df.schema[top].dataType, "names", [])):
+            raise ValueError(f"no such field: {path!r}")
+        if not rest or parts.get(top, []) is None:
+            parts[top] = None
+        else:
+            parts.setdefault(top, []).append(rest)
+    whole = lambda n: F.col(n) if parts[n] is None else F.when(F.col(n).isNotNull(), F.struct(*[F.col(n)[x].alias(x) for x in df.schema[n].dataType.names if x in parts[n]])).alias(n)
+    return df.select(*[whole(n) for n in df.columns if n in parts])

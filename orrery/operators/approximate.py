@@ -5,7 +5,7 @@ from __future__ import annotations
 import heapq
 import io
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,15 +14,15 @@ from pyspark.sql import functions as F
 
 from orrery.functions import vectors as V
 from orrery.operators import quantize as Q
-from orrery.operators.flat import _queries, rank_by, rerank
+from orrery.operators.flat import batch_topk, by_blocks, rank_by, rerank
 
 # Two tiers ---------------------------------------------------------------------------------------------
 
 
-def coarse(codes: DataFrame, queries: DataFrame, n: int, score_rows, metric: str, tie: str = "row") -> DataFrame:
+@by_blocks
+def coarse(codes: DataFrame, queries, n: int, score_rows, metric: str, tie: str = "row") -> DataFrame:
     """query_id, row, score, rank by a numpy scorer of codes: score_rows(list of binary, query) -> scores."""
-    ids, q = _queries(queries)
-    shared = codes.sparkSession.sparkContext.broadcast((ids, q))
+    shared = codes.sparkSession.sparkContext.broadcast(queries)
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q = shared.value
@@ -41,17 +41,34 @@ def coarse(codes: DataFrame, queries: DataFrame, n: int, score_rows, metric: str
     return rank_by(codes.select(F.col(tie).cast("long").alias(tie), "codes").mapInArrow(scan, f"query_id long, {tie} long, score double"), "query_id", n, metric, tie)
 
 
+def scorer(codec: str, metric: str, book: Q.Codebook | None = None) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Scores of a codec's rows (bytes) for a query."""
+    plain = lambda x, q: x @ q if metric != "l2" else ((x - q) ** 2).sum(axis=1)
+    sign = -1.0 if V.higher_is_nearer(metric) else 1.0
+    return {
+        "f16": lambda data, q: plain(data.view("<f2").astype(np.float64), q),
+        "int8": lambda data, q: plain(Q.int8_rows(data), q),
+        "binary": lambda data, q: sign * np.bitwise_count(data ^ np.packbits(q >= 0)[None, :]).sum(axis=1, dtype=np.int64),
+        "pq": lambda data, q: book.scores(data, q, metric),
+    }[codec]
+
+
+def encoded(rows: DataFrame, codec: str, book: Q.Codebook | None = None) -> DataFrame:
+    """row, codes of a codec."""
+    return Q.with_pq_codes(rows, book) if codec == "pq" else Q.with_codes(rows, codec)
+
+
+def two_tier(rows: DataFrame, codes: DataFrame, queries: DataFrame, k: int, codec: str, metric: str = "cosine", n: int | None = None, book: Q.Codebook | None = None) -> DataFrame:
+    """A scan of codes for n candidates of each query, then their exact scores from rows."""
+    return rerank(coarse(codes, queries, n or V.over_fetch(k), scorer(codec, metric, book), metric), rows, queries, k, metric)
+
+
 def two_tier_pq(rows: DataFrame, queries: DataFrame, k: int, book: Q.Codebook, metric: str = "cosine", ratio: float | None = None) -> DataFrame:
-    found = coarse(Q.with_pq_codes(rows, book), queries, V.over_fetch(k, ratio), lambda c, q: book.scores(c, q, metric), metric)
-    return rerank(found, rows, queries, k, metric)
+    return two_tier(rows, encoded(rows, "pq", book), queries, k, "pq", metric, V.over_fetch(k, ratio), book)
 
 
 def two_tier_f16(rows: DataFrame, queries: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
-    def score(data: np.ndarray, q: np.ndarray) -> np.ndarray:
-        x = data.view("<f2").astype(np.float64)
-        return x @ q if metric != "l2" else ((x - q) ** 2).sum(axis=1)
-
-    return rerank(coarse(Q.with_f16(rows), queries, V.over_fetch(k), score, metric), rows, queries, k, metric)
+    return two_tier(rows, encoded(rows, "f16"), queries, k, "f16", metric)
 
 
 def two_tier_columns(rows: DataFrame, query: list[float], k: int, codec: str, metric: str = "cosine", ratio: float | None = None, tie: str = "row") -> DataFrame:
@@ -82,7 +99,7 @@ def probes_for(lists: int) -> int:
     return max(lists // 16, 1)
 
 
-def fit_lists(rows: DataFrame, lists: int | None = None, seed: int = 0x5EED1F5F) -> np.ndarray:
+def fit_lists(rows: DataFrame, lists: int | None = None, seed: int = 11) -> np.ndarray:
     x = Q.sample(rows)
     return Q.kmeans(x, lists or lists_for(rows.count()), seed=seed)
 
@@ -112,9 +129,10 @@ def probe(centroids: np.ndarray, q: np.ndarray, nprobe: int, metric: str) -> np.
     return np.argsort(key, axis=1, kind="stable")[:, : min(nprobe, centroids.shape[0])]
 
 
-def ivf_search(assigned: DataFrame, centroids: np.ndarray, queries: DataFrame, k: int, nprobe: int, metric: str = "cosine", tie: str = "row") -> DataFrame:
+@by_blocks
+def ivf_search(assigned: DataFrame, centroids: np.ndarray, queries, k: int, nprobe: int, metric: str = "cosine", tie: str = "row") -> DataFrame:
     """Exact scores in the probed lists only."""
-    ids, q = _queries(queries)
+    ids, q = queries
     near = probe(centroids, q, nprobe, metric)
     wanted = sorted({int(x) for x in near.ravel()})
     shared = assigned.sparkSession.sparkContext.broadcast((ids, q, near))
@@ -139,18 +157,43 @@ def ivf_search(assigned: DataFrame, centroids: np.ndarray, queries: DataFrame, k
     return rank_by(found, "query_id", k, metric, tie)
 
 
-def ivfpq_search(assigned: DataFrame, centroids: np.ndarray, queries: DataFrame, k: int, nprobe: int, parts: int = 8, metric: str = "cosine", tie: str = "row") -> DataFrame:
-    """Codes of what rows differ from their centroid; candidates by codes in the probed lists, then exact scores.
+def residual_book(assigned: DataFrame, centroids: np.ndarray, parts: int = 8, tie: str = "row") -> Q.Codebook:
+    """A codebook of what rows differ from their centroid, fitted on a bounded sample by a hash of the row."""
+    shared = assigned.sparkSession.sparkContext.broadcast(centroids)
+
+    def less(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                left = (Q.matrix(batch.column(1)) - shared.value[batch.column(2).to_numpy()]).astype(np.float32)
+                lists = pa.FixedSizeListArray.from_arrays(pa.array(left.ravel()), left.shape[1]).cast(pa.list_(pa.float32()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=[tie, "vec"])
+
+    return Q.train_pq(Q.sample(assigned.select(tie, "vec", "list").mapInArrow(less, f"{tie} long, vec array<float>"), key=tie), parts)
+
 
-    For dot and cosine a candidate's rough score is that of the centroid plus that of the difference, so that
-    lists can be compared.
+def residual_codes(assigned: DataFrame, centroids: np.ndarray, book: Q.Codebook, tie: str = "row") -> DataFrame:
+    """row, codes, list: written once, at build, and read by every search."""
+    shared = assigned.sparkSession.sparkContext.broadcast((centroids, book))
+
+    def encoded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centroids, book = shared.value
+        for batch in batches:
+            if batch.num_rows:
+                codes = book.encode(Q.matrix(batch.column(1)) - centroids[batch.column(2).to_numpy()])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), batch.column(2)], names=[tie, "codes", "list"])
+
+    return assigned.select(tie, "vec", "list").mapInArrow(encoded, f"{tie} long, codes binary, list int")
+
+
+@by_blocks
+def code_search(coded: DataFrame, centroids: np.ndarray, book: Q.Codebook, queries, n: int, nprobe: int, metric: str = "cosine", tie: str = "row") -> DataFrame:
+    """query_id, row, score, rank: the n best of the probed lists by codes (row, codes, list).
+
+    For dot and cosine a row's rough score is that of its centroid plus that of the difference, so that lists can be compared.
     """
-    some = assigned.select(tie, "vec", "list").limit(Q.SAMPLE).toArrow().sort_by(tie)
-    book = Q.train_pq(Q.matrix(some.column("vec")) - centroids[some.column("list").to_numpy()], parts)
-    ids, q = _queries(queries)
+    ids, q = queries
     near = probe(centroids, q, nprobe, metric)
-    shared = assigned.sparkSession.sparkContext.broadcast((ids, q, near, centroids, book))
-    n = V.over_fetch(k)
+    shared = coded.sparkSession.sparkContext.broadcast((ids, q, near, centroids, book))
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q, near, centroids, book = shared.value
@@ -158,7 +201,7 @@ def ivfpq_search(assigned: DataFrame, centroids: np.ndarray, queries: DataFrame,
             if not batch.num_rows:
                 continue
             own, lists = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-            codes = book.encode(Q.matrix(batch.column(1)) - centroids[lists])
+            codes = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
             for i, query, probed in zip(ids, q, near, strict=True):
                 rows, scores = [], []
                 for c in probed:
@@ -174,8 +217,64 @@ def ivfpq_search(assigned: DataFrame, centroids: np.ndarray, queries: DataFrame,
                 j = np.flatnonzero(key <= np.partition(key, m - 1)[m - 1])
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(j.size, i)), pa.array(own[at[j]]), pa.array(s[j])], names=["query_id", tie, "score"])
 
-    found = assigned.where(F.col("list").isin(sorted({int(x) for x in near.ravel()}))).select(tie, "vec", "list").mapInArrow(scan, f"query_id long, {tie} long, score double")
-    return rerank(rank_by(found, "query_id", n, metric, tie), assigned.select(tie, "vec"), queries, k, metric, tie)
+    found = coded.where(F.col("list").isin(sorted({int(x) for x in near.ravel()}))).select(tie, "codes", "list").mapInArrow(scan, f"query_id long, {tie} long, score double")
+    return rank_by(found, "query_id", n, metric, tie)
+
+
+def ivfpq_search(assigned: DataFrame, centroids: np.ndarray, queries: DataFrame, k: int, nprobe: int, parts: int = 8, metric: str = "cosine", tie: str = "row", n: int | None = None) -> DataFrame:
+    """Candidates by codes of residuals in the probed lists, then exact scores. For tables that keep no codes; an index keeps them."""
+    book = residual_book(assigned, centroids, parts, tie)
+    found = code_search(residual_codes(assigned, centroids, book, tie), centroids, book, queries, n or V.over_fetch(k), nprobe, metric, tie)
+    return rerank(found, assigned.select(tie, "vec"), queries, k, metric, tie)
+
+
+# Settings by measured recall ---------------------------------------------------------------------------
+
+#: Rows that stand for queries when settings are measured, and the recall aimed at.
+TRIALS, AIM = 64, 0.95
+
+
+def trials(rows: DataFrame, tie: str = "row") -> DataFrame:
+    """A bounded number of rows, by a hash, as queries."""
+    own = rows.where(F.col("vec").isNotNull()).select(F.col(tie).alias("query_id"), "vec")
+    return own.orderBy(F.xxhash64("query_id", F.lit(17)), "query_id").limit(TRIALS)
+
+
+def _neighbours(rows: DataFrame, tried: DataFrame, k: int, metric: str, tie: str) -> DataFrame:
+    """The true k nearest others of the trials: that a row finds itself says nothing of queries."""
+    return batch_topk(rows, tried, k + 1, metric, tie=tie).where(F.col("query_id") != F.col(tie)).select("query_id", tie)
+
+
+def enough(places: DataFrame, aim: float = AIM) -> int | None:
+    """places: a row for each true neighbour of the trials, with its place (from 1) in a rough order, or null. The place that reaches the aim."""
+    found = sorted(r[0] if r[0] is not None else math.inf for r in places.select("place").collect())  # TRIALS times k at most
+    at = found[max(0, math.ceil(aim * len(found)) - 1)] if found else 1
+    return None if at == math.inf else int(at)
+
+
+def probes_by_recall(assigned: DataFrame, centroids: np.ndarray, k: int, metric: str = "cosine", tie: str = "row") -> int:
+    """The least number of lists to probe so that the trials find AIM of their true neighbours."""
+    tried = trials(assigned, tie).toArrow()
+    order = probe(centroids, np.array(tried.column("vec").to_pylist(), np.float64).reshape(tried.num_rows, -1), len(centroids), metric) if tried.num_rows else np.zeros((0, 0), int)
+    truth = _neighbours(assigned, assigned.sparkSession.createDataFrame(tried), k, metric, tie).join(assigned.select(tie, "list"), tie)
+    place = {(i, int(c)): p + 1 for i, lists in zip(tried.column("query_id").to_pylist(), order, strict=True) for p, c in enumerate(lists)}
+    found = sorted(place[r["query_id"], r["list"]] for r in truth.select("query_id", "list").collect())
+    return found[max(0, math.ceil(AIM * len(found)) - 1)] if found else 1
+
+
+def candidates_by_recall(rows: DataFrame, rough: Callable[[DataFrame, int], DataFrame], k: int, metric: str = "cosine", tie: str = "row") -> int:
+    """How many rough candidates the trials need to keep AIM of their true neighbours. rough(queries, n): query_id, row, rank."""
+    total, tried = max(1, rows.count()), trials(rows, tie)
+    truth = _neighbours(rows, tried, k, metric, tie)
+    n = V.over_fetch(k)
+    while True:
+        places = truth.join(rough(tried, n).select("query_id", tie, F.col("rank").alias("place")), ["query_id", tie], "left")
+        need = enough(places)
+        if need is not None:
+            return max(need, k)
+        if n >= total:
+            return total
+        n = min(4 * n, total)
 
 
 # Small-world graphs ------------------------------------------------------------------------------------
@@ -184,14 +283,21 @@ def ivfpq_search(assigned: DataFrame, centroids: np.ndarray, queries: DataFrame,
 class SmallWorld:
     """A navigable small world in layers, over the rows of one partition."""
 
-    def __init__(self, x: np.ndarray, metric: str, m: int = 16, ef_build: int = 200, seed: int = 0x5EED1234):
+    def __init__(self, x: np.ndarray, metric: str, m: int = 16, ef_build: int = 200, seed: int = 5, batch: int = 128):
+        """batch: rows that look for neighbours in one snapshot, all at once; 1 inserts row by row."""
         self.x, self.metric, self.m = x.astype(np.float32), metric, m
         rnd = np.random.default_rng(seed)
         self.levels = np.minimum((-np.log(rnd.uniform(1e-12, 1, len(x))) / math.log(m)).astype(int), 12)
         self.near: list[dict[int, list[int]]] = [{} for _ in range(int(self.levels.max(initial=0)) + 1)]
         self.entry = -1
-        for row in range(len(x)):
-            self._insert(row, ef_build)
+        for at in range(0, len(x), batch):
+            rows = range(at, min(at + batch, len(x)))
+            if at == 0 or batch == 1:  # a graph to look in comes first
+                for row in rows:
+                    self._link(row, self._plan(row, ef_build))
+            else:
+                for row, plan in zip(rows, self._plans(rows, ef_build), strict=True):
+                    self._link(row, plan)
 
     def _far(self, q: np.ndarray, rows: list[int]) -> np.ndarray:
         x = self.x[rows]
@@ -223,41 +329,66 @@ class SmallWorld:
 
     def _choose(self, found: list[tuple[float, int]], m: int) -> list[int]:
         """Keep a row only if no kept one is nearer to it than the query is; then fill up."""
+        rows = [r for _, r in found]
+        x = self.x[rows]
+        apart = -(x @ x.T) if self.metric != "l2" else (x * x).sum(axis=1)[:, None] - 2 * (x @ x.T) + (x * x).sum(axis=1)[None, :]
+        nearest = np.full(len(rows), np.inf, np.float32)  # of the kept ones, to each row
         kept: list[int] = []
         left: list[int] = []
-        for d, r in found:
+        for i, (d, r) in enumerate(found):
             if len(kept) >= m:
                 break
-            if kept and self._far(self.x[r], kept).min() < d:
+            if nearest[i] < d:
                 left.append(r)
             else:
                 kept.append(r)
+                np.minimum(nearest, apart[i], out=nearest)
         return kept + left[: m - len(kept)]
 
-    def _insert(self, row: int, ef: int) -> None:
-        q, top = self.x[row], int(self.levels[row])
+    def _plan(self, row: int, ef: int) -> list[list[int]]:
+        """Neighbours of a row at each level from 0 up, by walks in the graph as it is."""
         if self.entry < 0:
-            self.entry = row
-            for level in range(top + 1):
-                self.near[level][row] = []
-            return
+            return []
+        q, top = self.x[row], int(self.levels[row])
         at = [(float(self._far(q, [self.entry])[0]), self.entry)]
         high = int(self.levels[self.entry])
         for level in range(high, top, -1):
             at = self._walk(q, at, 1, level)[:1]
+        plan = []
         for level in range(min(top, high), -1, -1):
             at = self._walk(q, at, ef, level)
-            most = self.m * 2 if level == 0 else self.m
-            own = self._choose(at, self.m)
+            plan.append(self._choose(at, self.m))
+        return plan[::-1]
+
+    def _plans(self, rows: range, ef: int) -> list[list[list[int]]]:
+        """Plans of a batch in one snapshot, in which all rows before it are searched by one product of matrices."""
+        before = self.x[: rows[0]]
+        far = -(self.x[rows] @ before.T)
+        if self.metric == "l2":
+            far = (self.x[rows] ** 2).sum(axis=1)[:, None] + 2 * far + (before**2).sum(axis=1)[None, :]
+        plans = []
+        for row, d in zip(rows, far, strict=True):
+            plan = []
+            for level in range(min(int(self.levels[row]), int(self.levels[self.entry])) + 1):
+                there = np.flatnonzero(self.levels[: rows[0]] >= level) if level else np.arange(rows[0])
+                best = there[np.argpartition(d[there], ef)[:ef]] if there.size > ef else there
+                best = best[np.lexsort((best, d[best]))]
+                plan.append(self._choose(list(zip(d[best].tolist(), best.tolist(), strict=True)), self.m))
+            plans.append(plan)
+        return plans
+
+    def _link(self, row: int, plan: list[list[int]]) -> None:
+        top, high = int(self.levels[row]), int(self.levels[self.entry]) if self.entry >= 0 else -1
+        for level in range(top + 1):
+            own = plan[level] if level < len(plan) else []
             self.near[level][row] = own
+            most = self.m * 2 if level == 0 else self.m
             for n in own:
                 back = self.near[level].setdefault(n, [])
                 back.append(row)
                 if len(back) > most:
                     d = self._far(self.x[n], back)
                     self.near[level][n] = self._choose(sorted(zip(d.tolist(), back, strict=True)), most)
-        for level in range(high + 1, top + 1):
-            self.near[level][row] = []
         if top > high:
             self.entry = row
 
@@ -305,18 +436,26 @@ def build_graphs(rows: DataFrame, metric: str, parts: int, m: int = 16, ef_build
     return dealt.groupBy("part").applyInArrow(built, "part int, rows array<long>, graph binary")
 
 
-def graph_search(graphs: DataFrame, queries: DataFrame, k: int, ef: int = 64, metric: str = "cosine", hidden: frozenset[int] = frozenset(), tie: str = "row") -> DataFrame:
-    """The k nearest of each part's graph, merged. hidden: a bounded set of rows that lead on but are no results."""
-    ids, q = _queries(queries)
-    shared = graphs.sparkSession.sparkContext.broadcast((ids, q, hidden))
+def hidden_by_part(graphs: DataFrame, hidden: DataFrame, tie: str = "row") -> DataFrame:
+    """graphs with gone: those of its rows that are hidden (row)."""
+    rows = graphs.select("part", F.explode("rows").alias(tie))
+    gone = rows.join(hidden.select(F.col(tie)).distinct(), tie).groupBy("part").agg(F.collect_list(tie).alias("gone"))
+    return graphs.join(gone, "part", "left")
+
+
+@by_blocks
+def graph_search(graphs: DataFrame, queries, k: int, ef: int = 64, metric: str = "cosine", hidden: DataFrame | None = None, tie: str = "row") -> DataFrame:
+    """The k nearest of each part's graph, merged. hidden (row): rows that lead on but are no results."""
+    shared = graphs.sparkSession.sparkContext.broadcast(queries)
 
     def searched(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q, hidden = shared.value
+        ids, q = shared.value
         for batch in batches:
-            for rows, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                graph = SmallWorld.load(data.as_py())
-                mask = np.array([r not in hidden for r in rows]) if hidden else None
+            for rows, data, gone in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
+                graph, rows = SmallWorld.load(data.as_py()), rows.values.to_numpy()
+                mask = None if not gone.is_valid else ~np.isin(rows, gone.values.to_numpy())
                 out = [(i, rows[r], d if metric == "l2" else -d) for i, query in zip(ids.tolist(), q, strict=True) for d, r in graph.search(query, k, ef, mask)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else ([], [], []), (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", tie, "score"])
 
-    return rank_by(graphs.select("rows", "graph").mapInArrow(searched, f"query_id long, {tie} long, score double"), "query_id", k, metric, tie)
+    own = graphs.withColumn("gone", F.lit(None).cast("array<long>")) if hidden is None else hidden_by_part(graphs, hidden, tie)
+    return rank_by(own.select("rows", "graph", "gone").mapInArrow(searched, f"query_id long, {tie} long, score double"), "query_id", k, metric, tie)

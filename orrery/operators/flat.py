@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import reduce, wraps
+from inspect import signature
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions import vectors as V
 
-#: Queries of one batch; they are broadcast (at 1024 dimensions 32 MB in doubles) and more are refused.
+#: Queries broadcast at once (at 1024 dimensions 32 MB in doubles); more are taken in blocks, each with its own scan.
 MOST_QUERIES = 4096
 
 
@@ -31,10 +33,28 @@ def topk(rows: DataFrame, query: list[float], k: int, metric: str = "cosine", al
     return best.withColumn("rank", F.row_number().over(Window.orderBy(*V.nearest_first("score", tie, metric))).cast("long"))  # k rows
 
 
-def _queries(queries: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    found = queries.select("query_id", "vec").limit(MOST_QUERIES + 1).toArrow().sort_by("query_id")
-    if found.num_rows > MOST_QUERIES:
-        raise ValueError(f"a batch has at most {MOST_QUERIES} queries")
+def by_blocks(search: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Gives search(..., queries, ...) its queries as (ids, matrix), in blocks of at most MOST_QUERIES; the answers of all blocks."""
+    place = list(signature(search).parameters).index("queries")
+
+    @wraps(search)
+    def in_blocks(*args, **named) -> DataFrame:
+        args = list(args)
+        queries = (args.pop(place) if len(args) > place else named.pop("queries")).select("query_id", "vec")
+        call = lambda block: search(*args[:place], block, *args[place:], **named)
+        found = queries.limit(MOST_QUERIES + 1).toArrow()
+        if found.num_rows <= MOST_QUERIES:
+            return call(_matrix(found))
+        # Blocks by a hash of the id, three quarters full on average.
+        parts = -(-4 * queries.count() // (3 * MOST_QUERIES))
+        out = [call(_matrix(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i).toArrow())) for i in range(parts)]
+        return reduce(DataFrame.unionByName, out)
+
+    return in_blocks
+
+
+def _matrix(found: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    found = found.sort_by("query_id")
     q = np.array(found.column("vec").to_pylist(), np.float64)
     return found.column("query_id").to_numpy(), q.reshape(found.num_rows, -1)
 
@@ -51,14 +71,16 @@ def rank_by(df: DataFrame, by: str, k: int, metric: str, tie: str) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
-def batch_topk(rows: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", vec: str = "vec", tie: str = "row") -> DataFrame:
+@by_blocks
+def batch_topk(rows: DataFrame, queries, k: int, metric: str = "cosine", vec: str = "vec", tie: str = "row", digits: int | None = None) -> DataFrame:
     """query_id, row, score, rank for many queries at once.
 
+    digits: scores are rounded to so many places before they are ranked, so that equal vectors tie whatever the order of sums.
+
     One matrix product for each Arrow batch and the k best of the batch for each query; only those are
     shuffled. rows: tie (long), vec; queries: query_id (long), vec.
     """
-    ids, q = _queries(queries)
-    shared = rows.sparkSession.sparkContext.broadcast((ids, q))
+    shared = rows.sparkSession.sparkContext.broadcast(queries)
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q = shared.value
@@ -70,6 +92,7 @@ def batch_topk(rows: DataFrame, queries: DataFrame, k: int, metric: str = "cosin
             if x.shape[1] != q.shape[1]:
                 raise ValueError(f"rows have {x.shape[1]} dimensions, queries {q.shape[1]}")
             s = scores(q, x, metric)
+            s = s if digits is None else np.round(s, digits)
             key = -s if V.higher_is_nearer(metric) else s
             n = min(k, own.size)
             # All that reach the k-th best: ties are settled by the final ranking.

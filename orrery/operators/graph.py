@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.functions.vectors import higher_is_nearer
+from orrery.sources.files import kept
 
 HOPS, DECAY, BUDGET = 1, 0.65, 64
 FLOAT_MAX = 3.4028234663852886e38
@@ -39,13 +40,15 @@ def _followed(edges: DataFrame, edge_types: list[str] | None, visible: DataFrame
 def k_hop(seeds: DataFrame, edges: DataFrame, hops: int, edge_type: str | None = None, visible: DataFrame | None = None) -> DataFrame:
     """seed, name, hops (the least) of all that outgoing edges reach; never the seed. Hidden nodes are not passed through."""
     steps = _followed(edges, None if edge_type is None else [edge_type], visible).select("src", "dst").distinct()
+    if hops > 1:  # read once for each hop
+        steps = kept(steps, "steps")
     frontier = seeds.select(F.col("name").alias("seed"), "name", F.lit(0).alias("hops")).distinct()
     found = frontier
     for hop in range(1, hops + 1):
         reached = frontier.join(steps, F.col("name") == F.col("src")).select("seed", F.col("dst").alias("name")).distinct()
         frontier = reached.join(found.select("seed", "name"), ["seed", "name"], "left_anti").withColumn("hops", F.lit(hop))
-        if hop > 3:  # keep plans short
-            frontier = frontier.checkpoint() if frontier.sparkSession.sparkContext.getCheckpointDir() else frontier
+        if hop < hops:  # read by the next hop and by the answer
+            frontier = kept(frontier, "frontier")
         found = found.unionByName(frontier)
     return found.where("hops > 0")
 
@@ -90,6 +93,8 @@ def traverse(start: DataFrame, edges: DataFrame, hops: int, decay: float = 1.0,
     if suppressed is not None:
         edges = edges.where(~suppressed)
     steps = edges.groupBy("src", "dst").agg(F.max(F.col("weight").cast("double")).alias("weight"))
+    if hops > 1:
+        steps = kept(steps, "steps")
     front = start.select("name", F.lit(1.0).alias("score"), F.lit(0).cast("long").alias("hops"), F.array("name").alias("path"))
     found = front
     for hop in range(1, hops + 1):
@@ -97,6 +102,8 @@ def traverse(start: DataFrame, edges: DataFrame, hops: int, decay: float = 1.0,
         on = on.select(F.col("dst").alias("name"), (F.col("score") * F.col("weight") * decay).alias("score"), F.lit(hop).cast("long").alias("hops"), F.array_append("path", F.col("dst")).alias("path"))
         best = F.min_by(F.struct("score", "hops", "path"), F.struct(-F.col("score"), F.col("path")))
         front = on.groupBy("name").agg(best.alias("b")).select("name", "b.*")
+        if hop < hops:
+            front = kept(front, "front")
         found = found.unionByName(front)
     best = F.min_by(F.struct("score", "hops", "path"), F.struct(-F.col("score"), "hops", "path"))
     out = found.groupBy("name").agg(best.alias("b")).select("name", "b.*").where("hops > 0")
@@ -115,19 +122,38 @@ def strengths(travels: DataFrame, edges: DataFrame, now: Column, half_life_s: fl
     return edges.join(sums, ["src", "edge_type", "dst"], "left").withColumn("strength", F.coalesce("strength", F.lit(prior)))
 
 
-def fuse(lists: DataFrame, constant: int = 60) -> DataFrame:
-    """Reciprocal rank fusion of lists (name, rank; any number of lists in one table)."""
-    return lists.groupBy("name").agg(F.sum(1.0 / (constant + F.col("rank"))).alias("score"))
+def fuse(lists: DataFrame, constant: int = 60, by: str | None = None) -> DataFrame:
+    """Reciprocal rank fusion of lists (name, rank; any number of lists in one table), for each value of by."""
+    return lists.groupBy(*([by] if by else []), "name").agg(F.sum(1.0 / (constant + F.col("rank"))).alias("score"))
 
 
 def within_budget(ranked: DataFrame, tokens: str, most_tokens: int, most_fragments: int, order: list[Column], by: str | None = None) -> DataFrame:
     """The longest beginning of ranked rows (in each group of by) within both budgets."""
-    w = Window.partitionBy(by) if by else Window.partitionBy()
-    w = w.orderBy(*order)
+    if by is None:  # no more than that many rows can be within the budget
+        ranked = ranked.orderBy(*order).limit(most_fragments)
+    w = (Window.partitionBy(by) if by else Window.partitionBy()).orderBy(*order)
     out = ranked.withColumn("position", F.row_number().over(w).cast("long")).withColumn("running_tokens", F.sum(tokens).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return out.where((F.col("running_tokens") <= most_tokens) & (F.col("position") <= most_fragments))
 
 
+def assemble(
+    seeds: DataFrame, edges: DataFrame, fragments: DataFrame, most_tokens: int, most_fragments: int, hops: int = HOPS, metric: str = "cosine", visible: DataFrame | None = None, suppressed: Column | None = None
+) -> DataFrame:
+    """Context for a question: what a search found (seeds: name, score), expanded along edges, with texts, within both budgets.
+
+    fragments: name, text, tokens. name, text, score, hops, via, position, running_tokens and region_suppressed: whether
+    suppressed edges, which are not followed, leave anything that was reached, so that the context may lack a region.
+    """
+    open_edges = edges if suppressed is None else edges.where(~suppressed)
+    reached = kept(expand(seeds, open_edges, hops, metric=metric, visible=visible), "reached")
+    missing = F.lit(False)
+    if suppressed is not None:
+        missing = F.lit(suppressed_beside(reached, edges, suppressed).first()["suppressed"] > 0)
+    order = [F.col("score").desc() if higher_is_nearer(metric) else F.col("score").asc(), F.col("name").asc()]
+    found = reached.join(fragments.select("name", "text", "tokens"), "name")
+    return within_budget(found, "tokens", most_tokens, most_fragments, order).drop("tokens").withColumn("region_suppressed", missing)
+
+
 def prompt(passages: DataFrame, by: str, text: str, order: str, question: Column) -> DataFrame:
     """Numbered passages and the question; one text for each group."""
     rows = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t"))))

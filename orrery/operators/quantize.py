@@ -34,7 +34,7 @@ def nearest(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     return np.argmin((centroids * centroids).sum(axis=1)[None, :] - 2 * x @ centroids.T, axis=1)
 
 
-def kmeans(x: np.ndarray, k: int, iterations: int = 12, seed: int = 0x5EED) -> np.ndarray:
+def kmeans(x: np.ndarray, k: int, iterations: int = 12, seed: int = 3) -> np.ndarray:
     """Seeded by squared distance; an empty cluster starts again at a random row; stops when no row moves."""
     rnd = np.random.default_rng(seed)
     n = x.shape[0]
@@ -100,7 +100,7 @@ class Codebook:
         return cls(np.frombuffer(data[12:], "<f4").reshape(shape).astype(np.float64))
 
 
-def train_pq(x: np.ndarray, parts: int, iterations: int = 25, seed: int = 0x9E37) -> Codebook:
+def train_pq(x: np.ndarray, parts: int, iterations: int = 25, seed: int = 7) -> Codebook:
     if x.shape[1] % parts:
         raise ValueError(f"{x.shape[1]} dimensions do not divide into {parts} parts")
     if x.shape[0] < 256:
@@ -122,14 +122,39 @@ def with_pq_codes(rows: DataFrame, book: Codebook, key: str = "row", vec: str =
     return rows.where(F.col(vec).isNotNull()).select(F.col(key).cast("long").alias(key), vec).mapInArrow(encoded, f"{key} long, codes binary")
 
 
-def with_f16(rows: DataFrame, key: str = "row", vec: str = "vec") -> DataFrame:
-    """key, codes: rows as half floats, little-endian; what is too large becomes infinite."""
+def int8_codes(x: np.ndarray) -> np.ndarray:
+    """Rows of scale and offset (doubles, little-endian) and a byte for each component; a constant or non-finite row has scale 0."""
+    sound = np.isfinite(x).all(axis=1)
+    x = np.where(sound[:, None], x, 0.0)
+    low = x.min(axis=1)
+    scale = (x.max(axis=1) - low) / 255
+    with np.errstate(divide="ignore", invalid="ignore"):
+        codes = np.where(scale[:, None] > 0, np.clip(np.floor((x - low[:, None]) / scale[:, None] + 0.5), 0, 255), 0).astype(np.uint8)
+    return np.concatenate([np.stack([scale, low], axis=1).astype("<f8").view(np.uint8).reshape(len(x), 16), codes], axis=1)
 
-    def encoded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def int8_rows(data: np.ndarray) -> np.ndarray:
+    head = np.ascontiguousarray(data[:, :16]).view("<f8")
+    return data[:, 16:] * head[:, :1] + head[:, 1:]
+
+
+def half_floats(x: np.ndarray) -> np.ndarray:
+    """Half floats, little-endian; what is too large becomes infinite."""
+    with np.errstate(over="ignore"):
+        return x.astype("<f2").view(np.uint8)
+
+
+#: Bytes of rows by codec; "pq" needs a codebook besides.
+CODECS = {"f16": half_floats, "int8": int8_codes, "binary": lambda x: np.packbits(x >= 0, axis=1)}
+
+
+def with_codes(rows: DataFrame, codec: str, key: str = "row", vec: str = "vec") -> DataFrame:
+    """key, codes (binary)."""
+    code = CODECS[codec]
+
+    def coded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                with np.errstate(over="ignore"):
-                    codes = matrix(batch.column(1)).astype("<f2")
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.tobytes() for c in codes], pa.binary())], names=[key, "codes"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.tobytes() for c in code(matrix(batch.column(1)))], pa.binary())], names=[key, "codes"])
 
-    return rows.where(F.col(vec).isNotNull()).select(F.col(key).cast("long").alias(key), vec).mapInArrow(encoded, f"{key} long, codes binary")
+    return rows.where(F.col(vec).isNotNull()).select(F.col(key).cast("long").alias(key), vec).mapInArrow(coded, f"{key} long, codes binary")

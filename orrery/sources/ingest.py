@@ -73,12 +73,30 @@ def embed(df: DataFrame, text: str = "text", dim: int = 64, task: str = "") -> D
     task: a prefix for queries or documents, as encoders take.
     """
     words = F.filter(F.split(F.lower(F.concat(F.lit(task), F.col(text))), r"\W+"), lambda w: F.length(w) > 0)
-    df = df.withColumn("_h", F.transform(words, lambda w: F.xxhash64(w)))
-    at = F.transform("_h", lambda h: F.pmod(h, F.lit(dim)).cast("int"))
-    df = df.withColumn("_at", at)
-    signs = F.transform(F.col("_h"), lambda h: F.when(F.shiftright(h, 40).bitwiseAND(F.lit(1)) == 1, 1.0).otherwise(-1.0))
-    pairs = F.arrays_zip(F.col("_at").alias("at"), signs.alias("sign"))
-    sums = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: F.aggregate(F.filter(pairs, lambda p: p["at"] == d), F.lit(0.0), lambda s, p: s + p["sign"]))
-    df = df.withColumn("_sums", sums)
-    n = F.sqrt(F.aggregate("_sums", F.lit(0.0), lambda s, x: s + x * x))
-    return df.withColumn("vec", F.transform("_sums", lambda x: F.when(n > 0, x / n).otherwise(x).cast("float"))).drop("_h", "_at", "_sums")
+    # One pass over the words, so that each is hashed once.
+    number = lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("long")
+    sign = lambda h: F.when(F.shiftright(h, 20).bitwiseAND(F.lit(1)) == 1, 1.0).otherwise(-1.0)
+    add = lambda sums, h: F.transform(sums, lambda x, i: F.when(F.pmod(h, F.lit(dim)) == i, x + sign(h)).otherwise(x))
+    unit = lambda sums, n: F.transform(sums, lambda x: F.when(n > 0, x / n).otherwise(x).cast("float"))
+    length = lambda sums: F.sqrt(F.aggregate(sums, F.lit(0.0), lambda s, x: s + x * x))
+    return df.withColumn("vec", F.aggregate(F.transform(words, number), F.array_repeat(F.lit(0.0), dim), add, lambda sums: unit(sums, length(sums))))
+
+
+def bulk_export(df: DataFrame, path: str, kind: str = "parquet") -> None:
+    """Rows to files of a kind: parquet, json (lines) or csv (with a header; columns of simple types)."""
+    _bulk(kind)(df.write, path)
+
+
+def bulk_import(spark: SparkSession, path: str, kind: str, schema: str) -> DataFrame:
+    """Rows of files that bulk_export wrote, or others like them; a row that does not fit the schema is an error."""
+    if kind == "parquet":
+        return spark.read.schema(schema).parquet(path)
+    reader = spark.read.schema(schema).option("mode", "FAILFAST")
+    return reader.json(path) if kind == "json" else reader.csv(path, header=True, multiLine=True, quote='"', escape='"')
+
+
+def _bulk(kind: str):
+    ways = {"parquet": lambda w, p: w.parquet(p), "json": lambda w, p: w.json(p), "csv": lambda w, p: w.csv(p, header=True, quote='"', escape='"')}
+    if kind not in ways:
+        raise ValueError(f"kind is one of {sorted(ways)}, not {kind!r}")
+    return ways[kind]

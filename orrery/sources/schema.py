@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from orrery.functions.vectors import check_metric
 
-INDEXES = ("flat", "hnsw", "ivf", "ivfpq")
+INDEXES = ("flat", "hnsw", "ivf", "ivfpq", "int8", "f16", "binary", "pq")
+CODECS = ("none", "int8", "f16", "binary", "pq")
 
 
 @dataclass(frozen=True)
@@ -23,6 +24,8 @@ class VectorField:
     model: str = ""
     query_encoder: str = ""
     permission: str = ""
+    #: Codes that are written beside sealed segments.
+    codec: str = "none"
 
     def __post_init__(self):
         check_metric(self.metric)
@@ -30,6 +33,8 @@ class VectorField:
             raise ValueError(f"field {self.name!r} needs a positive width")
         if self.index not in INDEXES:
             raise ValueError(f"index is one of {INDEXES}, not {self.index!r}")
+        if self.codec not in CODECS:
+            raise ValueError(f"codec is one of {CODECS}, not {self.codec!r}")
 
 
 @dataclass(frozen=True)

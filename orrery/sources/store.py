@@ -1,14 +1,18 @@
-"""Collections on files: points, vectors in segments, tombstones, and a manifest.
-
-A write makes a segment of its own (the buffer) and then a new manifest; a manifest is a numbered file that
-is created once, so two writers cannot both publish a generation, and a reader always sees a whole one. Seal
-merges buffer segments into one, compact rewrites segments without deleted rows. Vectors lie in a long table
-(field, row, name, vec); cosine fields are stored at unit length. Row numbers are dense for each field and
-given by the one writer that publishes.
+"""Collections on files: points, vectors in segments, tombstones, a log, and a manifest.
+
+A write is logged whole (its rows, then a marker with their number and checksum), makes a segment of its own (the
+buffer) and then a new manifest. A manifest is a numbered file with a checksum that is created once, so two
+writers cannot both publish a generation, and a reader takes the newest one that is whole. What was logged but
+not published, as a writer died, `recover` applies; a torn entry and all after it are dropped. Seal merges
+buffer segments into one and writes codes of declared fields beside it; compact rewrites segments without deleted rows. Vectors lie in a
+long table (field, row, name, vec); cosine fields are stored at unit length. Row numbers are dense for each field
+and given by the one writer that publishes; they are counted by partition, so that no task sees all rows.
 """
 
 from __future__ import annotations
 
+import base64
+import hashlib
 import json
 import uuid
 
@@ -16,7 +20,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orrery.functions import vectors as V
-from orrery.operators.flat import batch_topk, merge_sources
+from orrery.functions.filters import masked
+from orrery.operators import approximate as A
+from orrery.operators import quantize as Q
+from orrery.operators.flat import batch_topk, merge_sources, recall, recall_report
 from orrery.operators.index import INDEXES, prefers_exact
 from orrery.sources import files
 from orrery.sources.schema import Collection
@@ -37,9 +44,24 @@ def without_deleted(rows: DataFrame, tombstones: DataFrame, key: str = "name") -
 
 
 def renumbered(rows: DataFrame, live: Column, order: list[str], by: str | None = None) -> DataFrame:
-    """Live rows in input order with new dense row numbers; absent but live rows stay."""
-    w = Window.partitionBy(by).orderBy(*order) if by else Window.orderBy(*order)
-    return rows.where(live).withColumn("new_row", (F.row_number().over(w) - 1).cast("long"))
+    """Live rows in input order with new dense row numbers (new_row) in each group of by; absent but live rows stay.
+
+    Rows are sorted into ranges, which are written; a row's number is what the ranges before hold of its group, and
+    its place in its own. The driver sees a count for each range and group.
+    """
+    keys = [*([by] if by else []), *order]
+    ranges = files.kept(rows.where(live).repartitionByRange(*keys).withColumn("_range", F.spark_partition_id()), "ranges")
+    group = F.col(by) if by else F.lit(0)
+    sizes = ranges.groupBy(group.alias("_group"), "_range").agg(F.count("*").alias("n")).orderBy("_group", "_range").collect()
+    before, starts = {}, []
+    for r in sizes:
+        starts.append((r["_group"], r["_range"], before.get(r["_group"], 0)))
+        before[r["_group"]] = before.get(r["_group"], 0) + r["n"]
+    kind = ranges.select(group.alias("_group")).schema["_group"].dataType.simpleString()
+    offsets = rows.sparkSession.createDataFrame(starts, f"_group {kind}, _range int, _before long")
+    numbered = ranges.withColumn("_group", group).withColumn("_place", F.row_number().over(Window.partitionBy("_group", "_range").orderBy(*order)) - 1)
+    joined = numbered.join(F.broadcast(offsets), numbered["_group"].eqNullSafe(offsets["_group"]) & (numbered["_range"] == offsets["_range"]))
+    return joined.select(*[numbered[c] for c in rows.columns], (F.col("_before") + F.col("_place")).cast("long").alias("new_row"))
 
 
 def compaction_plan(segments: DataFrame, ratio: float = TOMBSTONE_RATIO, small: int = SMALL_ROWS, least: int = SMALL_SEGMENTS, most: int = MOST_INPUTS) -> DataFrame:
@@ -63,7 +85,7 @@ class Store:
 
     def create(self, collection: Collection) -> Collection:
         files.write_text(self.spark, f"{self._at(collection.name)}/collection.json", collection.to_json())
-        self._publish(collection.name, {"generation": 0, "segments": [], "points": [], "tombstones": [], "next_row": {}})
+        self._publish(collection.name, {"generation": 0, "segments": [], "points": [], "tombstones": [], "next_row": {}, "logged": 0})
         return collection
 
     def get(self, name: str) -> Collection | None:
@@ -80,12 +102,20 @@ class Store:
     # Manifest
 
     def manifest(self, name: str) -> dict:
-        found = files.names(self.spark, f"{self._at(name)}/manifest")
-        last = max((n for n in found if n.endswith(".json")), key=lambda n: int(n[:-5]))
-        return json.loads(files.read_text(self.spark, f"{self._at(name)}/manifest/{last}"))
+        """The newest one whose checksum holds."""
+        found = [n for n in files.names(self.spark, f"{self._at(name)}/manifest") if n.endswith(".json")]
+        for n in sorted(found, key=lambda n: -int(n[:-5])):
+            try:
+                sealed = json.loads(files.read_text(self.spark, f"{self._at(name)}/manifest/{n}"))
+                if hashlib.sha256(sealed["body"].encode()).hexdigest() == sealed["sha256"]:
+                    return json.loads(sealed["body"])
+            except (ValueError, KeyError, TypeError):
+                continue  # torn
+        raise ValueError(f"{name} has no whole manifest")
 
     def _publish(self, name: str, manifest: dict) -> None:
-        files.write_text(self.spark, f"{self._at(name)}/manifest/{manifest['generation']}.json", json.dumps(manifest))
+        body = json.dumps(manifest)
+        files.write_text(self.spark, f"{self._at(name)}/manifest/{manifest['generation']}.json", json.dumps({"body": body, "sha256": hashlib.sha256(body.encode()).hexdigest()}))
 
     def _next(self, name: str, old: dict, **changes) -> None:
         self._publish(name, {**old, **changes, "generation": old["generation"] + 1})
@@ -119,35 +149,93 @@ class Store:
 
     # Writes
 
-    def append(self, name: str, points: DataFrame) -> int:
-        """points: name, span, content_ref, vectors map<string, array<float>>. Whole or not at all; the number written."""
-        collection, m = self.get(name), self.manifest(name)
+    def checked(self, name: str, points: DataFrame) -> DataFrame:
+        """points with fault: why a row may not be written, or null."""
+        collection = self.get(name)
         if collection is None:
             raise KeyError(name)
         widths = F.create_map(*[F.lit(x) for f in collection.fields for x in (f.name, f.dim)])
         entries = F.map_entries("vectors")
-        good = F.forall(entries, lambda e: F.element_at(widths, e["key"]).isNotNull() & V.finite(e["value"]) & (F.size(e["value"]) == F.element_at(widths, e["key"])))
-        span_ok = F.col("span").isNull() | ((F.col("span.start_ms") >= 0) & (F.col("span.start_ms") <= F.col("span.end_ms")))
-        bad = points.where(~F.coalesce(good & span_ok, F.lit(False)) | ~F.col("name").rlike(f"^{name}/points/[^/]+$")).select("name").limit(1).collect()
+        width = lambda e: F.element_at(widths, e["key"])
+        fault = (
+            F.when(~F.coalesce(F.col("name").rlike(f"^{name}/points/[^/]+$"), F.lit(False)), "foreign parent")
+            .when(F.exists(entries, lambda e: width(e).isNull()), "undeclared field")
+            .when(F.exists(entries, lambda e: F.coalesce(F.size(e["value"]), F.lit(-1)) != F.coalesce(width(e), F.lit(-1))), "wrong width")
+            .when(F.exists(entries, lambda e: ~F.coalesce(V.finite(e["value"]), F.lit(False))), "component that is not finite")
+            .when(F.col("span").isNotNull() & ~F.coalesce((F.col("span.start_ms") >= 0) & (F.col("span.start_ms") <= F.col("span.end_ms")), F.lit(False)), "inverted span")
+        )
+        return points.withColumn("fault", fault)
+
+    def append(self, name: str, points: DataFrame) -> int:
+        """points: name, span, content_ref, vectors map<string, array<float>>. Whole or not at all; the number written."""
+        bad = self.checked(name, points).where("fault IS NOT NULL").select("name", "fault").limit(1).collect()
         if bad:
-            raise ValueError(f"{bad[0][0]!r}: foreign parent, undeclared field, wrong width, component that is not finite, or inverted span")
-        fresh = new_only(points, self.points(name, m)).dropDuplicates(["name"])
-        wide = self._write(name, "staged", fresh)
-        fresh = self.spark.read.parquet(f"{self._at(name)}/{wide}")
-        n = fresh.count()
+            raise ValueError(f"{bad[0][0]!r}: {bad[0][1]}")
+        self.recover(name)
+        return self._apply(name, self.log(name, points))
+
+    # Log
+
+    @staticmethod
+    def _sum(rows: DataFrame) -> tuple[int, int]:
+        """Number of rows and a checksum that does not depend on their order."""
+        text = F.to_json(F.struct("name", "span", "content_ref", F.array_sort(F.map_entries("vectors")).alias("vectors")))
+        return tuple(rows.agg(F.count("*"), F.coalesce(F.sum(F.crc32(text.cast("binary"))), F.lit(0))).first())
+
+    def log(self, name: str, points: DataFrame) -> int:
+        """Write a batch to the log; its number. It counts as written once its marker is there."""
+        numbers = [int(n) for n in files.names(self.spark, f"{self._at(name)}/log") if n.isdigit()]
+        number = max([self.manifest(name)["logged"], *numbers]) + 1
+        own = f"{self._at(name)}/log/{number}"
+        points.select("name", F.col("span").cast("struct<start_ms:bigint,end_ms:bigint>").alias("span"), "content_ref", "vectors").write.parquet(f"{own}/rows")
+        rows, checksum = self._sum(self.spark.read.parquet(f"{own}/rows"))
+        files.write_text(self.spark, f"{own}/whole.json", json.dumps({"rows": rows, "sum": checksum}))
+        return number
+
+    def _entry(self, name: str, number: int) -> DataFrame | None:
+        """A log entry's rows; None if it is torn."""
+        own = f"{self._at(name)}/log/{number}"
+        if not files.exists(self.spark, f"{own}/whole.json"):
+            return None
+        try:
+            marker, rows = json.loads(files.read_text(self.spark, f"{own}/whole.json")), self.spark.read.parquet(f"{own}/rows")
+            return rows if self._sum(rows) == (marker["rows"], marker["sum"]) else None
+        except Exception as torn:  # a file of it is cut short or gone
+            if "FAILED_READ_FILE" in str(torn) or "PATH_NOT_FOUND" in str(torn) or isinstance(torn, (ValueError, KeyError)) or "UNABLE_TO_INFER_SCHEMA" in str(torn) or "CANNOT_READ_FILE_FOOTER" in str(torn):
+                return None
+            raise
+
+    def recover(self, name: str) -> int:
+        """Apply what was logged and not published; drop the first torn entry and all after it. Entries applied."""
+        numbers = sorted(n for n in map(int, filter(str.isdigit, files.names(self.spark, f"{self._at(name)}/log"))) if n > self.manifest(name)["logged"])
+        applied, torn = 0, False
+        for number in numbers:
+            torn = torn or self._entry(name, number) is None
+            if torn:
+                files.delete(self.spark, f"{self._at(name)}/log/{number}")
+            else:
+                self._apply(name, number)
+                applied += 1
+        return applied
+
+    def _apply(self, name: str, number: int) -> int:
+        collection, m = self.get(name), self.manifest(name)
+        fresh = new_only(self._entry(name, number), self.points(name, m)).dropDuplicates(["name"])
+        numbered = files.kept(renumbered(fresh, F.lit(True), ["name"]), "numbered")
+        n = numbered.count()
+        changes = {}
         if n:
             unit = [f.name for f in collection.fields if f.metric == "cosine"]
             start = F.create_map(*[F.lit(x) for f in collection.fields for x in (f.name, m["next_row"].get(f.name, 0))])
-            fields = self.spark.createDataFrame([(f.name,) for f in collection.fields], "field string")
             # A field's rows stay dense: points without its vector take a row too.
-            long = fresh.select("name", "vectors").join(F.broadcast(fields)).select("field", "name", F.element_at("vectors", F.col("field")).alias("vec"))
-            numbered = long.withColumn("row", F.element_at(start, F.col("field")) + F.row_number().over(Window.partitionBy("field").orderBy("name")) - 1)
-            vec = F.when(F.col("field").isin(unit), V.normalise(F.col("vec")).cast("array<float>")).otherwise(F.col("vec"))
-            segment = self._write(name, "buffer", numbered.select("field", "row", "name", vec.alias("vec")))
-            point_path = self._write(name, "points", fresh.select("name", F.col("span").cast("struct<start_ms:bigint,end_ms:bigint>").alias("span"), "content_ref"))
+            long = numbered.withColumn("field", F.explode(F.array(*[F.lit(f.name) for f in collection.fields])))
+            vec = F.element_at("vectors", F.col("field"))
+            vec = F.when(F.col("field").isin(unit), V.normalise(vec).cast("array<float>")).otherwise(vec)
+            segment = self._write(name, "buffer", long.select("field", (F.element_at(start, F.col("field")) + F.col("new_row")).alias("row"), "name", vec.alias("vec")))
             entry = {"id": max([s["id"] for s in m["segments"]], default=-1) + 1, "path": segment, "sealed": False, "rows": n * len(collection.fields)}
-            self._next(name, m, segments=[*m["segments"], entry], points=[*m["points"], point_path], next_row={f.name: m["next_row"].get(f.name, 0) + n for f in collection.fields})
-        files.delete(self.spark, f"{self._at(name)}/{wide}")
+            changes = {"segments": [*m["segments"], entry], "points": [*m["points"], self._write(name, "points", numbered.select("name", "span", "content_ref"))], "next_row": {f.name: m["next_row"].get(f.name, 0) + n for f in collection.fields}}
+        self._next(name, m, logged=number, **changes)
+        files.delete(self.spark, f"{self._at(name)}/log/{number}")
         return n
 
     def delete(self, name: str, names: list[str] | DataFrame) -> None:
@@ -156,14 +244,30 @@ class Store:
         self._next(name, m, tombstones=[*m["tombstones"], self._write(name, "tombstones", gone.select("name").distinct())])
 
     def seal(self, name: str) -> None:
-        """Buffer segments become one sealed segment."""
+        """Buffer segments become one sealed segment, with codes of the fields that declare a codec."""
         m = self.manifest(name)
         buffered = [s for s in m["segments"] if not s["sealed"]]
         if buffered:
             path = self._write(name, "segment", self._read(name, [s["path"] for s in buffered], VECTORS))
-            entry = {"id": max(s["id"] for s in m["segments"]) + 1, "path": path, "sealed": True, "rows": sum(s["rows"] for s in buffered)}
+            entry = {"id": max(s["id"] for s in m["segments"]) + 1, "path": path, "sealed": True, "rows": sum(s["rows"] for s in buffered), "codes": self._write_codes(name, path)}
             self._next(name, m, segments=[s for s in m["segments"] if s["sealed"]] + [entry])
 
+    def _write_codes(self, name: str, path: str) -> dict:
+        """Of each field with a codec: where its codes lie, and its codebook if it has one."""
+        out = {}
+        for f in self.get(name).fields:
+            rows = self._read(name, [path], VECTORS).where((F.col("field") == f.name) & F.col("vec").isNotNull()).select("row", "vec")
+            book = None
+            if f.codec == "pq":
+                sample = Q.sample(rows)
+                parts = next(p for p in (8, 4, 2, 1) if f.dim % p == 0)
+                if len(sample) < 256:  # too few rows for a codebook: searched exactly
+                    continue
+                book = Q.train_pq(sample, parts)
+            if f.codec != "none":
+                out[f.name] = {"path": self._write(name, "codes", A.encoded(rows, f.codec, book)), "codec": f.codec, "book": None if book is None else base64.b64encode(book.dump()).decode()}
+        return out
+
     def compact(self, name: str) -> None:
         """One segment of live rows with new numbers; tombstones are then no longer needed."""
         m = self.manifest(name)
@@ -172,7 +276,7 @@ class Store:
         path = self._write(name, "segment", rows)
         counts = {r["field"]: r["n"] for r in self._read(name, [path], VECTORS).groupBy("field").agg((F.max("row") + 1).alias("n")).collect()}
         points = self._write(name, "points", self.points(name, m))
-        entry = {"id": max([s["id"] for s in m["segments"]], default=-1) + 1, "path": path, "sealed": True, "rows": sum(counts.values())}
+        entry = {"id": max([s["id"] for s in m["segments"]], default=-1) + 1, "path": path, "sealed": True, "rows": sum(counts.values()), "codes": self._write_codes(name, path)}
         self._next(name, m, segments=[entry], points=[points], tombstones=[], next_row=counts, indexes={})
 
     # Search
@@ -194,26 +298,66 @@ class Store:
         built = m.get("indexes", {}).get(field)
         if built is None:
             return batch_topk(rows, queries, k, spec.metric)
-        every = self._read(name, [s["path"] for s in m["segments"]], VECTORS).where((F.col("field") == field) & (F.col("row") < built["rows"])).select("row")
-        hidden = every.join(rows.select("row"), "row", "left_anti") if allowed is not None or m["tombstones"] else None
-        if allowed is not None and prefers_exact(rows.count(), built["rows"]):
+        if allowed is not None and prefers_exact(rows.limit(built["rows"] // 100 + 1).count(), built["rows"]):
             return batch_topk(rows, queries, k, spec.metric)
+        hidden = None
+        if allowed is not None or m["tombstones"]:
+            every = self._read(name, [s["path"] for s in m["segments"]], VECTORS).where((F.col("field") == field) & (F.col("row") < built["rows"])).select("row")
+            hidden = every.join(rows.select("row"), "row", "left_anti")
         old = INDEXES[built["kind"]].search(self.spark, f"{self._at(name)}/{built['path']}", queries, k, spec.metric, hidden)
-        if old is None:
-            return batch_topk(rows, queries, k, spec.metric)
         new = batch_topk(rows.where(F.col("row") >= built["rows"]), queries, k, spec.metric)
         both = old.select("query_id", "row", "score").withColumn("source", F.lit("index")).unionByName(new.drop("rank").withColumn("source", F.lit("later")))
         return merge_sources(both, k, spec.metric, "row").drop("source")
 
-    def search(self, name: str, field: str, query: list[float], k: int = 10, allowed: DataFrame | None = None) -> DataFrame:
-        """name, score, rank and the point's columns. Deleted and hidden rows never take a place."""
+    def search_coded(self, name: str, field: str, queries: DataFrame, k: int, n: int | None = None) -> DataFrame:
+        """query_id, row, score, rank: candidates by the codes beside sealed segments, exact scores; segments without codes exactly."""
+        m, spec = self.manifest(name), self.get(name).get(field)
+        rows, parts = self.vectors(name, field, m), []
+        for s in m["segments"]:
+            own = rows if len(m["segments"]) == 1 else rows.join(self._read(name, [s["path"]], VECTORS).where(F.col("field") == field).select("row"), "row", "left_semi")
+            codes = s.get("codes", {}).get(field)
+            if codes is None:
+                parts.append(batch_topk(own, queries, k, spec.metric))
+                continue
+            book = Q.Codebook.load(base64.b64decode(codes["book"])) if codes["book"] else None
+            live = self._read(name, [codes["path"]], "row long, codes binary")
+            live = live.join(own.select("row"), "row", "left_semi") if m["tombstones"] else live
+            parts.append(A.two_tier(own.select("row", "vec"), live, queries, k, codes["codec"], spec.metric, n, book))
+        out = None
+        for i, p in enumerate(parts):
+            p = p.select("query_id", "row", "score").withColumn("source", F.lit(str(i)))
+            out = p if out is None else out.unionByName(p)
+        return self.spark.createDataFrame([], "query_id long, row long, score double, rank long") if out is None else merge_sources(out, k, spec.metric, "row").drop("source")
+
+    def search(self, name: str, field: str, query: list[float], k: int = 10, allowed: DataFrame | None = None, mask: str = "", skip: int = 0) -> DataFrame:
+        """name, score, rank, source and the point's columns under the mask. Deleted and hidden rows never take a place.
+
+        skip: answers of earlier pages; ranks go on counting. An unknown field has no answers.
+        """
+        if field not in {f.name for f in self.get(name).fields}:
+            return self.spark.createDataFrame([], f"name string, score double, rank long, source string, {POINTS[POINTS.index('span'):]}")
         spec = self.get(name).get(field)
         if len(query) != spec.dim:
             raise ValueError(f"{field} has {spec.dim} dimensions, the query {len(query)}")
         one = self.spark.createDataFrame([(0, [float(x) for x in query])], "query_id long, vec array<double>")
-        owners = self.vectors(name, field).select("row", "name", "source")
-        best = self._near(name, field, one, k, allowed).select("row", "score", "rank").join(owners, "row")
-        return best.select("name", "score", "rank", "source").join(self.points(name), "name").orderBy("rank")
+        best = self._near(name, field, one, k + skip, allowed).where(F.col("rank") > skip).select("row", "score", "rank")  # k rows
+        owners = self.vectors(name, field).select("row", "name", "source").join(F.broadcast(best), "row")
+        found = self.points(name).join(F.broadcast(owners.select("name", "score", "rank", "source")), "name")
+        found = found.select("name", "score", "rank", "source", "span", "content_ref").orderBy("rank")
+        return found if not mask else masked(found, f"score,rank,source,{mask}")
+
+    def search_many(self, name: str, field: str, queries: DataFrame, k: int = 10, allowed: DataFrame | None = None) -> DataFrame:
+        return self._near(name, field, queries, k, allowed)
+
+    def merged(self, name: str, field: str, queries: DataFrame, k: int = 10) -> DataFrame:
+        """query_id, name, source, score, rank: exact answers of sealed segments and the buffer, merged."""
+        rows, spec, parts = self.vectors(name, field), self.get(name).get(field), []
+        for source in ("sealed", "buffer"):
+            parts.append(batch_topk(rows.where(F.col("source") == source), queries, k, spec.metric).drop("rank").withColumn("source", F.lit(source)))
+        return merge_sources(parts[0].unionByName(parts[1]), k, spec.metric, "row").join(rows.select("row", "name"), "row").select("query_id", "name", "source", "score", "rank")
 
-    def search_many(self, name: str, field: str, queries: DataFrame, k: int = 10) -> DataFrame:
-        return self._near(name, field, queries, k, None)
+    def sampled_recall(self, name: str, field: str, queries: DataFrame, k: int = 10, one_in: int = 100) -> DataFrame:
+        """queries, mean_recall, worst_recall of one in so many queries (by a hash of the id), held against exact search as they are served."""
+        m, spec = self.manifest(name), self.get(name).get(field)
+        some = files.kept(queries.where(F.pmod(F.xxhash64("query_id", F.lit(23)), F.lit(one_in)) == 0), "sampled")
+        return recall_report(recall(batch_topk(self.vectors(name, field, m), some, k, spec.metric), self._near(name, field, some, k, None), k))

@@ -61,14 +61,21 @@ def test_recall_of_approximate_search(spark, corpus, metric):
     graphs = A.build_graphs(rows.where("row < 1200"), metric, 2, 12, 60)
     some = flat.batch_topk(rows.where("row < 1200"), queries, 10, metric)
     got = flat.recall_report(flat.recall(some, A.graph_search(graphs, queries, 10, 64, metric), 10)).first()
-    assert not any(r.row < 600 for r in A.graph_search(graphs, queries, 5, 64, metric, frozenset(range(600))).collect())
+    assert not any(r.row < 600 for r in A.graph_search(graphs, queries, 5, 64, metric, spark.range(600).withColumnRenamed("id", "row")).collect())
     assert got.mean_recall >= 0.95 and got.worst_recall >= 0.5
     centroids = A.fit_lists(rows, 16)
     assigned = A.assign(rows, centroids)
     assert as_set(A.ivf_search(assigned, centroids, queries, 10, 16, metric)) == as_set(truth)
     few, more = (mean(A.ivf_search(assigned, centroids, queries, 10, n, metric)).mean_recall for n in (1, 6))
     assert few <= more and more >= 0.9
-    assert mean(A.ivfpq_search(assigned, centroids, queries, 10, 16, 8, metric)).mean_recall >= 0.6
+    probes = A.probes_by_recall(assigned, centroids, 10, metric)
+    alike = rows.where("row % 40 = 7").select(F.col("row").alias("query_id"), "vec")
+    mean_alike = lambda found: flat.recall_report(flat.recall(flat.batch_topk(rows, alike, 10, metric), found, 10)).first().mean_recall
+    assert mean_alike(A.ivf_search(assigned, centroids, alike, 10, probes, metric)) >= 0.9
+    book = A.residual_book(assigned, centroids)
+    codes = A.residual_codes(assigned, centroids, book).cache()
+    n = A.candidates_by_recall(rows, lambda q, n: A.code_search(codes, centroids, book, q, n, 16, metric), 10, metric)
+    assert mean_alike(A.ivfpq_search(assigned, centroids, alike, 10, 16, 8, metric, n=n)) >= 0.9
     assert mean(A.two_tier_f16(rows, queries, 10, metric)).mean_recall >= 0.99
     assert mean(A.two_tier_pq(rows, queries, 10, Q.train_pq(Q.sample(rows), 8, 6), metric, 32.0)).mean_recall >= 0.85
 
@@ -223,7 +230,7 @@ def test_laws(spark, corpus):
     assert [(r.id, r.reason) for r in plan.collect()] == [(1, "tombstones")]
 
 
-@pytest.mark.parametrize("kind", ["flat", "ivf", "ivfpq", "hnsw"])
+@pytest.mark.parametrize("kind", ["flat", "ivf", "ivfpq", "hnsw", "int8", "f16", "binary", "pq"])
 def test_declared_indexes(spark, tmp_path, kind):
     client = connect(spark, f"file://{tmp_path}/store")
     c = client.create_collection("s").field("v", 8, "cosine", kind).create()
