@@ -3,7 +3,8 @@
 Unit vectors with cosine c lie sqrt(2 - 2c) apart, and a projection never moves points apart. Vectors are
 projected on the leading principal dimensions (fitted on a bounded sample), put into a grid with cells of
 that width and sorted by label and cells. The sequence is cut into segments of bounded size; intervals of
-segments are joined recursively, skipping those whose boxes lie further apart than the width, and the
+segments are joined recursively, skipping those whose boxes lie further apart than the width: intervals of some
+hundreds of segments on the driver, segments within two such intervals in a task for each. The
 segment pairs that are left are joined block by block, by the same rule, with exact cosines in doubles.
 A pair task returns link counts and a spanning forest, never the pairs. Equal vectors are joined once.
 
@@ -27,8 +28,8 @@ from .components import components, local_roots
 COSINE = 0.93
 #: Principal dimensions of boxes, and of cells; rows sampled to fit them; rows aimed at in a segment, and in a block of it.
 BOX_DIMS, CELL_DIMS, SAMPLE, SEGMENT, BLOCK = 12, 4, 8192, 2048, 256
-#: Most segments; beyond, they grow. Bounds what the driver plans with.
-SEGMENTS = 1 << 16
+#: Most ranges that the sequence is dealt to (each is cut into segments); segments in an interval that the driver plans with.
+RANGES, INTERVAL = 1 << 16, 256
 #: Up to so many segment pairs their list is broadcast (under 2 MB).
 BROADCAST_PAIRS = 50_000
 
@@ -40,8 +41,8 @@ def unit(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def plan_pairs(low: np.ndarray, high: np.ndarray, width: float) -> list[tuple[int, int]]:
-    """Of segments with boxes low..high, in sequence: pairs (i <= j) whose boxes are within width of one another."""
+def plan_pairs(low: np.ndarray, high: np.ndarray, width: float, first: int | None = None) -> list[tuple[int, int]]:
+    """Of boxes low..high, in sequence: pairs (i <= j) within width of one another; given first, only of i < first with j >= first."""
     n = low.shape[0]
     boxes: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
 
@@ -50,7 +51,7 @@ def plan_pairs(low: np.ndarray, high: np.ndarray, width: float) -> list[tuple[in
             boxes[a, b] = low[a:b].min(axis=0), high[a:b].max(axis=0)
         return boxes[a, b]
 
-    out, stack = [], [(0, n, 0, n)]
+    out, stack = [], [(0, n, 0, n) if first is None else (0, first, first, n)]
     while stack:
         a, b, c, d = stack.pop()
         (l1, h1), (l2, h2) = box(a, b), box(c, d)
@@ -94,6 +95,36 @@ def join_segments(x: np.ndarray, y: np.ndarray | None, px: np.ndarray, py: np.nd
                 yield i, j
 
 
+def _segment_pairs(placed: DataFrame, width: float, ranges: int) -> DataFrame:
+    """a, b: segments that may hold near vectors; a = b for a segment with itself. ranges: of the sequence, to an interval."""
+    bounds = [(f, f"{name}{k}") for k in range(BOX_DIMS) for name, f in (("l", F.min), ("h", F.max))]
+    segments = placed.groupBy("label", "dim", "place", "segment").agg(*[f(F.col("p")[int(c[1:])]).alias(c) for f, c in bounds])
+    segments = stored(segments.withColumn("interval", F.floor(F.shiftright("place", 24) / ranges)), "segments")
+    own = ["label", "dim"]
+    intervals = stored(segments.groupBy(*own, "interval").agg(*[f(c).alias(c) for f, c in bounds]), "intervals")
+    # Labels of one interval need no plan.
+    alone = intervals.groupBy(*own).agg(F.count("*").alias("n"), F.min("interval").alias("i")).where("n = 1").select(*own, F.col("i").alias("i"), F.col("i").alias("j"))
+    several = intervals.join(alone.select(*own), own, "left_anti").toPandas().sort_values([*own, "interval"])
+    near = []
+    for (label, dim), each in several.groupby(own):
+        low, high = (each[[f"{s}{k}" for k in range(BOX_DIMS)]].to_numpy(np.float64) for s in "lh")
+        ids = each["interval"].tolist()
+        near += [(label, int(dim), ids[i], ids[j]) for i, j in plan_pairs(low, high, width)]
+    tasks = stored(alone.unionByName(placed.sparkSession.createDataFrame(near, "label string, dim int, i long, j long")), "tasks")
+    one = segments.join(tasks, own).where("interval = i").withColumn("side", F.lit(0))
+    other = segments.join(tasks.where("i < j"), own).where("interval = j").withColumn("side", F.lit(1))
+
+    def planned(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("side", "ascending"), ("place", "ascending")])
+        low, high = (np.stack([rows.column(f"{s}{k}").to_numpy() for k in range(BOX_DIMS)], axis=1) for s in "lh")
+        second = int(np.asarray(rows.column("side").to_numpy()).sum())
+        found = np.array(plan_pairs(low, high, width, rows.num_rows - second if second else None), np.int64).reshape(-1, 2)
+        ids = rows.column("segment").to_numpy()
+        return pa.table({"a": ids[found[:, 0]], "b": ids[found[:, 1]]})
+
+    return one.unionByName(other).groupBy(*own, "i", "j").applyInArrow(planned, "a long, b long")
+
+
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """vec_id, n_links, component_id, kept; a row for each row of vectors (vec_id, embedding, label)."""
     width = float(np.sqrt(2 - 2 * cosine)) + 1e-9
@@ -133,20 +164,16 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
 
     kind = distinct.schema["embedding"].dataType.simpleString()
     placed = distinct.select(*names).mapInArrow(projected, f"node long, label string, dim int, first long, copies long, embedding {kind}, cells array<int>, p array<double>")
-    # Sorted by grid cells; each range is a stretch of the sequence, and each label and length in it a segment.
-    count = min(SEGMENTS, max(1, -(-n // SEGMENT)))
-    placed = placed.repartitionByRange(count, "label", "dim", "cells", "node").withColumn("stretch", F.spark_partition_id())
-    placed = stored(placed.withColumn("segment", F.xxhash64("stretch", "label", "dim")), "placed")
-    box = [f(F.col("p")[k]).alias(f"{name}{k}") for name, f in (("l", F.min), ("h", F.max)) for k in range(BOX_DIMS)]
-    segments = placed.groupBy("label", "dim", "stretch", "segment").agg(*box).toPandas().sort_values(["label", "dim", "stretch"])
-    pairs: list[tuple[int, int, bool]] = []
-    for _, own in segments.groupby(["label", "dim"]):
-        ids = own["segment"].tolist()
-        low, high = (own[[f"{s}{k}" for k in range(BOX_DIMS)]].to_numpy(np.float64) for s in "lh")
-        pairs += [(ids[i], ids[j], i == j) for i, j in plan_pairs(low, high, width)]
-    spark = distinct.sparkSession
-    sides = spark.createDataFrame([(s, k, side) for k, (a, b, same) in enumerate(pairs) for s, side in ([(a, 0)] if same else [(a, 0), (b, 1)])], "segment long, pair long, side int")
-    dealt = placed.select("segment", "node", "dim", "copies", "embedding", "p").join(F.broadcast(sides) if len(pairs) <= BROADCAST_PAIRS else sides, "segment")
+    # Sorted by grid cells; each range is a stretch of the sequence, and each label and length in a piece of it a segment.
+    count = min(RANGES, max(1, -(-n // SEGMENT)))
+    placed = placed.repartitionByRange(count, "label", "dim", "cells", "node").sortWithinPartitions("label", "dim", "cells", "node")
+    piece = F.floor(F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) / SEGMENT)
+    placed = placed.withColumn("place", F.shiftleft(F.spark_partition_id().cast("long"), 24) + piece)
+    placed = stored(placed.withColumn("segment", F.xxhash64("place", "label", "dim")), "placed")
+    pairs = stored(_segment_pairs(placed, width, max(1, INTERVAL * count * SEGMENT // max(n, count * SEGMENT))), "pairs")
+    few = pairs.limit(BROADCAST_PAIRS + 1).count() <= BROADCAST_PAIRS
+    sides = pairs.select("a", "b", F.inline(F.when(F.col("a") == F.col("b"), F.array(F.struct(F.col("a").alias("segment"), F.lit(0).alias("side")))).otherwise(F.array(F.struct(F.col("a").alias("segment"), F.lit(0).alias("side")), F.struct(F.col("b").alias("segment"), F.lit(1).alias("side"))))))
+    dealt = placed.select("segment", "node", "dim", "copies", "embedding", "p").join(F.broadcast(sides) if few else sides, "segment")
 
     def compared(rows: pa.Table) -> pa.Table:
         dim = rows.column("dim")[0].as_py()
@@ -167,7 +194,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
         has = links > 0
         return pa.table({"node": node[has], "links": links[has], "root": node[root[has]]})
 
-    linked = stored(dealt.groupBy("pair").applyInArrow(compared, "node long, links long, root long"), "linked")
+    linked = stored(dealt.groupBy("a", "b").applyInArrow(compared, "node long, links long, root long"), "linked")
     counts = stored(linked.groupBy("node").agg(F.sum("links").alias("links")), "counts")
     roots = components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")))
     whole = stored(distinct.select("node", "first", "copies").join(roots, "node", "left").select("node", "first", "copies", F.coalesce("root", "node").alias("root")), "whole")

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 
 from orrery.llm import common, components, embeddings, simhash
@@ -97,9 +98,12 @@ def test_near_duplicates(spark, monkeypatch):
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
-def test_vectors(spark, monkeypatch):
+@pytest.mark.parametrize(("interval", "ranges"), [(256, 1 << 16), (2, 1 << 16), (4, 3)])
+def test_vectors(spark, monkeypatch, interval, ranges):
     monkeypatch.setattr(embeddings, "SEGMENT", 40)
     monkeypatch.setattr(embeddings, "BLOCK", 16)
+    monkeypatch.setattr(embeddings, "INTERVAL", interval)
+    monkeypatch.setattr(embeddings, "RANGES", ranges)
     rnd = np.random.default_rng(6)
     centres = rnd.normal(size=(30, 16))
     rows = [(i, (centres[i % 30] * rnd.uniform(0.5, 2) + rnd.normal(0, 0.18, 16)).astype(np.float32).tolist(), int(i % 30 % 3)) for i in range(400)]
@@ -126,3 +130,4 @@ def test_plan_of_pairs_loses_none():
     gap = np.maximum(0, np.maximum(low[:, None] - high[None], low[None] - high[:, None]))
     want = {(i, j) for i, j in zip(*np.nonzero((gap**2).sum(axis=2) <= 4), strict=True) if i <= j}
     assert set(embeddings.plan_pairs(low, high, 2.0)) == want
+    assert set(embeddings.plan_pairs(low, high, 2.0, 25)) == {(i, j) for i, j in want if i < 25 <= j}
