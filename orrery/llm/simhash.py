@@ -26,8 +26,10 @@ from .common import in_doubt_of, lean, renamed, stored
 from .components import components, forest
 
 SHINGLE, DISTANCE, SEED = 3, 2, 42
-#: Fingerprints aimed at in a shard; the tree's depth, which bounds sample and broadcast (2 MB); sampled for a leaf.
-LEAF, DEPTH, SAMPLE_LEAF = 8192, 14, 16
+#: Fingerprints aimed at in a shard; the tree's depth, which bounds sample (32 MB) and broadcast (4 MB); sampled for a leaf.
+LEAF, DEPTH, SAMPLE_LEAF = 8192, 18, 16
+#: Vantage points tried at a node.
+TRIED = 16
 #: Pairs compared at once.
 BLOCK = 1 << 19
 
@@ -59,14 +61,18 @@ def _fingerprints(batches: Iterable[pa.RecordBatch], shingle: int, seed: int) ->
 class VantageTree:
     """Vantage points and radii as heap-ordered arrays; node k has children 2k and 2k+1, leaves begin at 2**depth."""
 
-    def __init__(self, sample: np.ndarray, depth: int):
+    def __init__(self, sample: np.ndarray, depth: int, distance: int = DISTANCE):
+        """Of several vantage points that with the fewest fingerprints near its radius is taken, as those visit both sides."""
         self.depth = depth
         self.points, self.radii = np.zeros(1 << depth, np.uint64), np.zeros(1 << depth, np.int64)
         inside = {1: sample}
         for k in range(1, 1 << depth):
             own = inside.pop(k, sample[:0])
             if own.size:
-                self.points[k], self.radii[k], near = split(own)
+                some = own[:: -(-own.size // TRIED)]
+                splits = [split(own, x) for x in some]
+                layer = [np.count_nonzero(np.abs(np.bitwise_count(own ^ x).astype(np.int64) - r) <= distance) for x, r, _ in splits]
+                self.points[k], self.radii[k], near = splits[int(np.argmin(layer))]
                 inside[2 * k], inside[2 * k + 1] = own[near], own[~near]
 
     def route(self, prints: np.ndarray, distance: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -85,9 +91,9 @@ class VantageTree:
             stack.append((2 * k + 1, home[d > 0], np.concatenate([home[(d <= 0) & (d > -distance)], guest[g > -distance]])))
 
 
-def split(prints: np.ndarray) -> tuple[np.uint64, int, np.ndarray]:
+def split(prints: np.ndarray, point: np.uint64 | None = None) -> tuple[np.uint64, int, np.ndarray]:
     """A vantage point, the median distance from it, and which fingerprints lie within."""
-    point = prints[prints.size // 2]
+    point = prints[prints.size // 2] if point is None else point
     d = np.bitwise_count(prints ^ point)
     radius = int(np.partition(d, (d.size - 1) // 2)[(d.size - 1) // 2])
     if radius == d.max():
@@ -135,7 +141,7 @@ def links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     depth = min(DEPTH, max(0, (n // LEAF).bit_length()))
     each = max(1, n // (SAMPLE_LEAF << depth))
     sample = prints.where(F.pmod(F.xxhash64("print", F.lit(1)), F.lit(each)) == 0).limit(4 * SAMPLE_LEAF << depth) if depth else prints.limit(0)
-    tree = prints.sparkSession.sparkContext.broadcast(VantageTree(np.array(sorted(r[0] for r in sample.collect()), np.int64).view(np.uint64), depth))
+    tree = prints.sparkSession.sparkContext.broadcast(VantageTree(np.array(sorted(r[0] for r in sample.collect()), np.int64).view(np.uint64), depth, distance))
 
     def routed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
