@@ -128,7 +128,8 @@ def gather(docs: DataFrame, labels: DataFrame, label: str, trains: Column, of: C
     """What `of` makes of a bounded number of labelled documents, with their labels (column y), on the driver.
 
     Half of each class; ids are chosen by a hash, so that the choice does not depend on the order of rows; the list of ids is
-    at most `sample` long, and so is what is broadcast.
+    at most `sample` long, and so is what is broadcast. Where rows repeat their ids, the first 2 * sample rows by id and what
+    `of` makes of them (column x) are taken.
     """
     small_batches(docs.sparkSession)
     known = labels.where(F.col(label).isin(0, 1) & trains).select("doc_id", F.col(label).cast("int").alias("y"))
@@ -137,7 +138,7 @@ def gather(docs: DataFrame, labels: DataFrame, label: str, trains: Column, of: C
     if not known:
         return pa.table({"y": pa.array([], pa.int32())})
     chosen = docs.sparkSession.createDataFrame([(r["doc_id"], r["y"]) for r in known], "doc_id long, y int")
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y").mapInArrow(lean(of), schema).limit(2 * sample).toArrow()
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y").mapInArrow(lean(of), schema).orderBy("doc_id", "y", "x").limit(2 * sample).toArrow()
 
 
 def _sampled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

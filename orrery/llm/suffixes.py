@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import forget, give_back, in_doubt_of, lean, ragged, stored
+from .common import forget, give_back, in_doubt_of, lean, ragged, renamed, stored
 
 LENGTH, GRAM = 400, 64
 #: Windows that a section spans.
@@ -552,6 +552,7 @@ def removals(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame:
 
 def cut(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame:
     """docs without the repeated strings; a character of which a byte goes, goes. n_chars, if there, is counted anew."""
+    docs, given_names = renamed(docs, *[n for n in ("doc_id", "text", "n_chars") if n in docs.columns])
     names = docs.columns
     kinds = {"text": pa.string(), "n_chars": pa.int64()}
 
@@ -571,4 +572,4 @@ def cut(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame:
 
     schema = StructType([StructField(f.name, LongType() if f.name == "n_chars" else f.dataType) for f in docs.schema.fields])
     marked = with_marks(docs, length=length, **options)
-    return marked.select(*[n for n in names if n not in kinds], "_data", "_marks").mapInArrow(lean(kept), schema)
+    return marked.select(*[n for n in names if n not in kinds], "_data", "_marks").mapInArrow(lean(kept), schema).toDF(*given_names)

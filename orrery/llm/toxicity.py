@@ -61,16 +61,12 @@ def features(text: str | None) -> set[int]:
     return out
 
 
-def swaps(text: str | None, per_text: int = 4, per_sentence: int = 3) -> Iterator[tuple[set[int], set[int]]]:
-    """For labelled sentences that name groups: the features that a swap adds and takes away."""
-    n = 0
-    for sentence in _SENTENCE.findall((text or "").lower()):
-        if n >= per_text:
-            return
+def swaps(text: str | None, per_sentence: int = 3) -> Iterator[tuple[set[int], set[int]]]:
+    """For each different sentence that names groups, wherever it stands: the features that a swap adds and takes away."""
+    for sentence in dict.fromkeys(_SENTENCE.findall((text or "").lower())):
         named = _NAMED.findall(sentence)
         if not named:
             continue
-        n += 1
         before = features(sentence)
         for k in range(1, per_sentence + 1):
             after = features(_NAMED.sub(lambda m, k=k: IDENTITIES[(IDENTITIES.index(m[1]) + 37 * k + len(named)) % len(IDENTITIES)], sentence))

@@ -1,11 +1,15 @@
+import functools
 import hashlib
 import random
+import re
+from collections import Counter
 
 import pytest
+import xxhash
 
 import corpus_pipeline
-from orrery.llm import bottomk, mixing, queries
-from orrery.llm.common import stored, table
+from orrery.llm import bottomk, mixing, packing, quality, queries
+from orrery.llm.common import crc_of_id, stored, table
 
 
 def brute_targets(sizes, weights):
@@ -104,20 +108,85 @@ def test_edits(spark, monkeypatch, size):
     assert bottomk.edits(same).count() == 4
 
 
+def brute_hashes(text):
+    """Shingle hashes of a text: XXH64 chained over the hashes of five words, upper 48 bits."""
+    words = [xxhash.xxh64_intdigest(w.encode(), 42) for w in re.split(r"[\x20\x09-\x0D]+", text.strip(" \t\n\x0b\x0c\r")) if w]
+    chain = lambda ws: functools.reduce(lambda h, w: xxhash.xxh64_intdigest(w.to_bytes(8, "little"), h), ws, 42) >> 16
+    return {chain(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_edits_equal_brute_force(spark):
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choice("abcdé") for _ in range(3))
+    base = [word() for _ in range(400)]
+    texts = [None, "", "one two", "\x0b a  b\tc d e f \r", "x" * 50_000, " ".join(word() for _ in range(30_000))]
+    texts += [" ".join(base[:n] + [word() for _ in range(m)]) for n, m in ((400, 0), (400, 0), (390, 10), (300, 100), (200, 200), (50, 350))] * 2
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts)], "doc_id long, text string, h string, range int")
+    out = {r.doc_id: r for r in bottomk.edits(df).collect()}
+    sketch = lambda hashes: sorted(hashes)[:128]
+
+    def alike(a, b):
+        both = sketch(a | b)
+        return sum(x in a and x in b for x in both) / len(both) if both else 1.0
+
+    for i, t in enumerate(texts):
+        t, nxt = t or "", texts[i - 1] or ""
+        half = len(t) // 2
+        own, edited, following = (brute_hashes(x) for x in (t, t[: len(t) - half] + nxt[:half], nxt))
+        own_s, edited_s, next_s = (set(sketch(x)) for x in (own, edited, following))
+        r = out[i]
+        assert r.fingerprint == "".join(f"{x:012x}" for x in sketch(own)) and r.edited_fingerprint == "".join(f"{x:012x}" for x in sketch(edited))
+        assert (r.near_edited, r.near_next) == (pytest.approx(alike(own_s, edited_s)), pytest.approx(alike(own_s, next_s)))
+
+
 def test_pipeline(spark, sf):
+    """Each stage on its own input against what it must do, and the whole against its stages."""
     docs = table(spark, sf, "documents")
-    before = docs
+    inputs = [docs]
     for name, stage in corpus_pipeline.STAGES:
-        after = stored(stage(spark, before, sf), "test")
+        inputs.append(stored(stage(spark, inputs[-1], sf), "test"))
         if name != "packing":
-            assert after.columns == docs.columns and 0 < after.count()
-            known = {r[0] for r in before.select("doc_id").collect()}
-            assert {r[0] for r in after.select("doc_id").collect()} <= known
-        before = after
-    # Each stage against its brute force: what is left has no near copies, no repeated passage, and packs whole.
-    assert before.count() > 0
-    once = sorted(map(tuple, corpus_pipeline.run(spark, sf).select("doc_id", "start", "length", "ids_crc32").collect()))
-    assert once == sorted(map(tuple, before.select("doc_id", "start", "length", "ids_crc32").collect()))
+            assert inputs[-1].columns == docs.columns
+    rows = [x.collect() for x in inputs]
+    # Quality: whole rows, those of a score of at least one half.
+    model = quality.train(docs, table(spark, sf, "labels"), crc_of_id() % 3 != 1)
+    good = {r.doc_id for r in rows[0] if float(model.score(quality.figures(r.text)[None, :])[0]) >= 0.5}
+    assert {r.doc_id for r in rows[1]} == good and set(rows[1]) <= set(rows[0])
+    # Near duplicates: of each component by exact similarity the smallest id.
+    sets = {r.doc_id: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (r.text or "").lower().split()) else set() for r in rows[1]}
+    root = {i: i for i in sets}
+    for i in sorted(sets):
+        for j in sorted(sets):
+            if j < i and root[i] != root[j] and (sets[i] or not sets[j]) and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                low, high = sorted((root[i], root[j]))
+                root = {k: low if r == high else r for k, r in root.items()}
+    assert {r.doc_id for r in rows[2]} == set(root.values()) and set(rows[2]) <= set(rows[1])
+    # Repeated passages: each byte in a window of 400 that occurs again goes.
+    data = {r.doc_id: (r.text or "").encode() for r in rows[2]}
+    seen = Counter(d[i : i + 400] for d in data.values() for i in range(len(d) - 399))
+    left = {}
+    for i, d in data.items():
+        gone = set()
+        for at in range(len(d) - 399):
+            if seen[d[at : at + 400]] > 1:
+                gone.update(range(at, at + 400))
+        left[i] = bytes(b for at, b in enumerate(d) if at not in gone).decode("utf-8", "ignore")
+    assert {r.doc_id: r.text or "" for r in rows[3]} == {i: t for i, t in left.items() if t or not data[i]}
+    # Mixture: whole rows, each three times at most, sources as near to their targets as their documents allow.
+    taken = Counter(rows[4])
+    assert set(taken) <= set(rows[3]) and max(taken.values()) <= 3
+    size = Counter()
+    for r in rows[3]:
+        size[r.source] += len((r.text or "").split())
+    names = sorted(size, key=lambda s: (s is None, s or ""))
+    for name, aim in zip(names, brute_targets([size[n] for n in names], [1 + i % 3 for i in range(len(names))]), strict=True):
+        got = sum(n * len((r.text or "").split()) for r, n in taken.items() if r.source == name)
+        again = [len((r.text or "").split()) for r in rows[3] if r.source == name and taken[r] < 3]
+        assert abs(got - aim) <= max(1, mixing.TOLERANCE * aim, min(filter(None, again), default=0) / 2 + 1, 0.05 * aim)
+    # Packing: each id of each row once.
+    assert sum(r.length for r in rows[5]) == sum(len(packing.word_ids(queries.vocabulary("word_bpe_49k.json")).of(r.text)) // 4 + 1 for r in rows[4])
+    once = sorted((r.doc_id, r.start, r.length, r.ids_crc32) for r in corpus_pipeline.run(spark, sf).collect())
+    assert once == sorted((r.doc_id, r.start, r.length, r.ids_crc32) for r in rows[5])
 
 
 def test_queries_are_named():
