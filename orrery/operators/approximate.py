@@ -124,6 +124,8 @@ def write_lists(assigned: DataFrame, path: str) -> None:
 
 def probe(centroids: np.ndarray, q: np.ndarray, nprobe: int, metric: str) -> np.ndarray:
     """The nearest lists of each query, by the field's metric."""
+    if not len(q):
+        return np.zeros((0, 0), int)
     s = q @ centroids.T
     key = (centroids * centroids).sum(axis=1)[None, :] - 2 * s if metric == "l2" else -s
     return np.argsort(key, axis=1, kind="stable")[:, : min(nprobe, centroids.shape[0])]

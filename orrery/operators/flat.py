@@ -56,7 +56,7 @@ def by_blocks(search: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
 def _matrix(found: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     found = found.sort_by("query_id")
     q = np.array(found.column("vec").to_pylist(), np.float64)
-    return found.column("query_id").to_numpy(), q.reshape(found.num_rows, -1)
+    return found.column("query_id").to_numpy(), q.reshape(found.num_rows, -1 if found.num_rows else 0)
 
 
 def scores(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
