@@ -1,10 +1,12 @@
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from orrery.llm import suffixes
 
 
@@ -72,3 +74,52 @@ def test_cut_keeps_columns_and_characters(spark):
     out = {r.doc_id: r for r in suffixes.cut(df, length=60, gram=16).collect()}
     assert out[1].text == "xtail" and out[2].text == "yy" and out[3].text == "" and out[1].n_chars == 5
     assert suffixes.cut(df.limit(0), length=60, gram=16).count() == 0
+
+
+def brute_passages(texts, words, length):
+    """Spans left by the rule of passages, from all windows of words and all strings of length bytes that surely hold fewer whole words."""
+    data = [(t or "").encode() for t in texts]
+    edges = [[(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", d)] for d in data]
+    tokens = [[d[a:b] for a, b in e] for d, e in zip(data, edges, strict=True)]
+    by_words = Counter(tuple(t[i : i + words]) for t in tokens for i in range(len(t) - words + 1))
+    by_bytes = Counter(d[i : i + length] for d in data for i in range(len(d) - length + 1))
+    out = []
+    for d, e, t in zip(data, edges, tokens, strict=True):
+        gone = np.zeros(len(d), bool)
+        for i in range(len(t) - words + 1):
+            if by_words[tuple(t[i : i + words])] > 1:
+                gone[e[i][0] : e[i + words - 1][1]] = True
+        for i in range(len(d) - length + 1):
+            if by_bytes[d[i : i + length]] > 1 and len(d[i : i + length].split()) < words + 2:
+                gone[i : i + length] = True
+        out.append(bytes(np.frombuffer(d, np.uint8)[~gone]).decode() if d else "")
+    return out
+
+
+def test_passages_of_words_equal_brute_force(spark):
+    rnd = random.Random(12)
+    word = lambda n: "".join(rnd.choice("abcdefgh") for _ in range(n))
+    line = lambda n, size, gap=" ": gap.join(word(rnd.choice(size)) for _ in range(n))
+    short, long, solid, few = line(12, (1, 2)), line(12, (12, 15)), word(150), line(8, (12, 15))
+    texts = [None, "", "a " * 40, "a" * 130, short, long, solid, few, word(3) + few, line(30, (2, 3)) + " " + few, solid[20:] + word(4), short.replace(" ", "\n ")]
+    for k in range(24):
+        own = line(20, (2, 3, 9), rnd.choice([" ", "  ", "\t"]))
+        texts.append(f"{own} {rnd.choice([short, long, solid, few, short[3:], few[5:]])}{rnd.choice(['', ' ', 'x'])}{line(k, (2, 5))}")
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in suffixes.cut(df, length=80, words=10).collect()}
+    want = dict(enumerate(brute_passages(texts, 10, 80)))
+    assert got == want
+    assert want[4] == "" and len(short) < 80  # too short for the rule of bytes
+    assert want[9] != texts[9] and len(few.split()) < 10  # and the other way about
+    one = spark.createDataFrame([(1, "one two"), (2, None)], "doc_id long, text string")
+    assert {r.text for r in suffixes.cut(one, words=10).collect()} == {"one two", ""} and suffixes.cut(one.limit(0), words=10).count() == 0
+
+
+def test_pipeline_cuts_passages_of_over_fifty_words_that_are_shorter_than_400_bytes(spark):
+    rnd = random.Random(13)
+    line = lambda n: " ".join("".join(rnd.choice("abcdefg") for _ in range(5)) for _ in range(n))
+    passage, near = line(51), line(49)
+    texts = [f"{line(30)} {passage if k < 4 else near} {line(30)}" for k in range(8)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in corpus_pipeline.without_repeats(spark, df, "").collect()}
+    assert len(passage) < 400 and got == {k: t.replace(passage, "") for k, t in enumerate(texts)}
