@@ -11,9 +11,14 @@ Attention model. One causal self-attention layer in numpy: subwords are read thr
 value, scores get a bias by distance, and the sum over the values moves the logits that the last subword
 gives. Outputs are classes of subwords (the most frequent have one each) with subword shares within a
 class. Contexts are windows of 32 subwords that overlap by half; in each the second half is scored, so that
-each subword is scored once, with 16 to 31 before it, in batches with a causal mask. Its parameters are fitted
-on the driver on `sample` pieces of training texts. Texts are cut into pieces of `PIECE_CHARS`, and pieces are
-chosen by a hash, so that every part of every training text is as likely to be learnt from.
+each subword is scored once, with 16 to 31 before it, in batches with a causal mask.
+
+It learns from all training texts. What follows what is counted in all of them: that gives its inputs, its
+classes, the shares within a class and where the table of the last subword begins. Its parameters are first fitted on
+the driver on `sample` pieces (texts are cut into pieces of `PIECE_CHARS`, chosen by a hash), which is only where they
+start from: each task then goes on from there through every window of its texts, and the mean of what the tasks
+learnt, weighted by their windows, is the model. A corpus of fewer than twice `sample` pieces is fitted on the driver,
+on all of its pieces. Which texts a task reads depends on the partitions of the table; reruns on the same agree.
 
 A word is scored by its count within the class of its first subword, and that class by the attention model:
 with A the model's probability of the class given that a word starts, K the class's share of all counts and p the
@@ -34,6 +39,7 @@ table gives no rows; columns other than those named are ignored.
 from __future__ import annotations
 
 import base64
+import copy
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -50,6 +56,8 @@ HALF, DIM, CLASSES, INPUTS = 16, 16, 128, 1024
 SAMPLE, PIECE_CHARS, EPOCHS, BATCH = 3000, 2000, 2, 256
 FREQUENT, MIX, CONTEXT, ADD = 2.5e-7, 0.4, 0.95, 0.1
 CACHE_WORDS, COUNTED_WORDS = 300_000, 400_000
+#: Rate of learning in tasks; pairs counted together, and numbers of a parameter that are averaged together.
+RATE, COUNTED_PAIRS, CHUNK = 0.003, 1 << 20, 1 << 13
 #: Bounds of parameters: scores stay within 16 * 4 + 6, logits within 20 + 16 * 2.
 LIMITS = {"q": 2.0, "k": 2.0, "v": 2.0, "far": 6.0, "out": 1.0, "last": 20.0}
 #: Words scored together, and windows.
@@ -183,6 +191,20 @@ class Attention:
     def names(self) -> tuple[str, ...]:
         return ("q", "k", "v", "far", "out", "last")
 
+    def moments(self) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+        return {n: (np.zeros_like(getattr(self, n)), np.zeros_like(getattr(self, n))) for n in self.names()}
+
+    def update(self, grads: dict[str, np.ndarray], moments: dict[str, tuple[np.ndarray, np.ndarray]], done: int, rate: float) -> None:
+        """Adam's step number `done`; the table of the last subword moves at half the rate."""
+        for name, g in grads.items():
+            m, v = moments[name]
+            m += 0.1 * (g - m)
+            v += 0.01 * (g * g - v)
+            own = rate if name != "last" else rate / 2
+            table = getattr(self, name)
+            table -= (own * (m / (1 - 0.9**done)) / (np.sqrt(v / (1 - 0.99**done)) + 1e-8)).astype(np.float32)
+            np.clip(table, -LIMITS[name], LIMITS[name], out=table)
+
     def forward(self, window: np.ndarray) -> tuple:
         """window: inputs, (n, 2 * HALF). Logits of what follows places HALF - 1 to 2 * HALF - 2."""
         n = window.shape[0]
@@ -291,8 +313,48 @@ def _groups(rows: np.ndarray, n: int, rnd: np.random.Generator) -> np.ndarray:
     return near
 
 
-def fit(texts: list[str], path: str, classes: int = CLASSES, inputs: int = INPUTS, epochs: int = EPOCHS, seed: int = 1) -> Attention:
-    """Fit on texts; each ends with the end."""
+class Follow:
+    """What follows what in a whole corpus, from a stored table: before (a subword, or -1 for none), after, c."""
+
+    def __init__(self, pairs: DataFrame, size: int):
+        self.pairs, self.size = pairs, size
+
+    def counts(self) -> np.ndarray:
+        found = self.pairs.groupBy("after").agg(F.sum("c").alias("c")).toArrow()  # a row for each subword
+        out = np.zeros(self.size, np.int64)
+        out[found.column("after").to_numpy()] = found.column("c").to_numpy()
+        return out
+
+    def before(self, slot: np.ndarray) -> np.ndarray:
+        """Of each subword, how often it follows each slot."""
+        out = np.zeros((self.size, int(slot.max()) + 1), np.float32)
+        (x, y), c = self._summed(slot, np.arange(self.size))
+        out[y, x] = c
+        return out
+
+    def classes(self, input_of: np.ndarray, class_of: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
+        out = np.zeros(shape, np.float64)
+        at, c = self._summed(input_of, class_of)
+        out[at] = c
+        return out
+
+    def _summed(self, first: np.ndarray, second: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
+        known = self.pairs.sparkSession.sparkContext.broadcast((first, second))
+
+        def mapped(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            first, second = known.value
+            for batch in batches:
+                before = batch.column(0).to_numpy()
+                x = np.where(before < 0, 0, first[before])  # input and slot 0: nothing before
+                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)), pa.array(second[batch.column(1).to_numpy()].astype(np.int64)), batch.column(2)], names=["x", "y", "c"])
+
+        found = self.pairs.mapInArrow(lean(mapped), "x long, y long, c long").groupBy("x", "y").agg(F.sum("c").alias("c")).toArrow()
+        x, y, c = (found.column(n).to_numpy() for n in ("x", "y", "c"))
+        return (x, y), c
+
+
+def fit(texts: list[str], path: str, classes: int = CLASSES, inputs: int = INPUTS, epochs: int = EPOCHS, seed: int = 1, follow: Follow | None = None) -> Attention:
+    """Fit on texts; each ends with the end. With follow, counts are those of a whole corpus and texts are where parameters start."""
     spell = speller(path)
     rnd = np.random.default_rng(seed)
     words = [words_of(t) for t in texts]
@@ -300,7 +362,7 @@ def fit(texts: list[str], path: str, classes: int = CLASSES, inputs: int = INPUT
         return Attention((3, 2), spell.starts)
     at = spell.of([w for ws in words for w in ws])
     ids, first = spell.flat(at)
-    counts = np.bincount(ids, minlength=spell.size)
+    counts = follow.counts() if follow else np.bincount(ids, minlength=spell.size)
     seen = np.argsort(-counts, kind="stable")[: int((counts > 0).sum())]
     sizes = np.add.reduceat(np.diff(np.concatenate([first, [ids.size]])), np.cumsum([0, *map(len, words[:-1])]))
 
@@ -312,8 +374,8 @@ def fit(texts: list[str], path: str, classes: int = CLASSES, inputs: int = INPUT
     rest = seen[single.size :]
     slot = np.zeros(spell.size, np.int64)
     slot[single] = 1 + np.arange(single.size)
-    before = np.zeros((spell.size if rest.size else 1, single.size + 1), np.float32)
-    if rest.size:
+    before = follow.before(slot) if follow else np.zeros((spell.size if rest.size else 1, single.size + 1), np.float32)
+    if rest.size and not follow:
         np.add.at(before, (ids[1:], slot[ids[:-1]]), 1)
     groups: list[np.ndarray] = []
     left = classes - single.size
@@ -346,11 +408,15 @@ def fit(texts: list[str], path: str, classes: int = CLASSES, inputs: int = INPUT
     places, windows, total = lay_out(sizes)
     tape, target, weight = np.zeros(total, np.int64), np.zeros(total, np.int64), np.zeros(total, np.float32)
     tape[places], target[places], weight[places] = model.input_of[ids], model.class_of[ids], 1
-    share = np.bincount(target[places], minlength=classes) + 0.1
-    pairs = np.zeros((inputs, classes), np.float64)
-    np.add.at(pairs, (tape[places - 1], target[places]), 1)
+    if follow:
+        pairs = follow.classes(model.input_of, model.class_of, (inputs, classes))
+        share = pairs.sum(axis=0) + 0.1
+    else:
+        share = np.bincount(target[places], minlength=classes) + 0.1
+        pairs = np.zeros((inputs, classes), np.float64)
+        np.add.at(pairs, (tape[places - 1], target[places]), 1)
     model.last = np.log((pairs + 8 * share / share.sum()) / (pairs.sum(axis=1, keepdims=True) + 8)).astype(np.float32)
-    moments = {n: (np.zeros_like(getattr(model, n)), np.zeros_like(getattr(model, n))) for n in model.names()}
+    moments = model.moments()
     steps = epochs * -(-windows.size // BATCH)
     done = 0
     for _ in range(epochs):
@@ -360,14 +426,100 @@ def fit(texts: list[str], path: str, classes: int = CLASSES, inputs: int = INPUT
             scored = here[:, HALF:].ravel()
             grads = model.step(tape[here], target[scored], weight[scored])
             done += 1
-            for name, g in grads.items():
-                m, v = moments[name]
-                m += 0.1 * (g - m)
-                v += 0.01 * (g * g - v)
-                rate = (0.02 if name != "last" else 0.01) * (1 - done / (steps + 1))
-                table = getattr(model, name)
-                table -= (rate * (m / (1 - 0.9**done)) / (np.sqrt(v / (1 - 0.99**done)) + 1e-8)).astype(np.float32)
-                np.clip(table, -LIMITS[name], LIMITS[name], out=table)
+            model.update(grads, moments, done, 0.02 * (1 - done / (steps + 1)))
+    return model
+
+
+def _follow(batches: Iterable[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    """Of texts: how often a subword comes after another, or after none."""
+    spell = speller(path)
+    held: list[np.ndarray] = []
+
+    def out() -> pa.RecordBatch:
+        both, c = np.unique(np.concatenate(held), return_counts=True)
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(both // spell.size - 1), pa.array(both % spell.size), pa.array(c)], names=["before", "after", "c"])
+
+    for flat, sizes, _ in _spelt(batches, spell):
+        before = np.concatenate([[0], flat[:-1].astype(np.int64) + 1])
+        before[np.cumsum(sizes) - sizes] = 0
+        held.append(before * spell.size + flat)
+        if sum(h.size for h in held) > COUNTED_PAIRS:
+            yield out()
+    if held:
+        yield out()
+    spell.reset()
+
+
+def _spelt(batches: Iterable[pa.RecordBatch], spell: Speller) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Ids of texts (the first column), many texts at a time, how many ids each has, and how many words."""
+    words: list[bytes] = []
+    counts: list[int] = []
+
+    def out() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        flat, first = spell.flat(spell.of(words))
+        of_text = np.array(counts)
+        sizes = np.add.reduceat(np.diff(np.concatenate([first, [flat.size]])), np.cumsum(of_text) - of_text)
+        words.clear()
+        counts.clear()
+        return flat, sizes, of_text
+
+    for batch in batches:
+        for text in batch.column(0):
+            own = words_of(text.as_py())
+            words.extend(own)
+            counts.append(len(own))
+            if len(words) > WORDS_AT_ONCE:
+                yield out()
+    if words:
+        yield out()
+
+
+def _learn(batches: Iterable[pa.RecordBatch], path: str, start: Attention) -> Iterator[pa.RecordBatch]:
+    """Go on from start through all windows of a task's texts, each once; chunks of the parameters, and the number of windows."""
+    model, spell, part = copy.deepcopy(start), speller(path), TaskContext.get().partitionId()
+    moments, rnd, done, seen = model.moments(), np.random.default_rng(part), 0, 0
+    for ids, sizes, _ in _spelt(batches, spell):
+        places, windows, total = lay_out(sizes)
+        tape, target, weight = np.zeros(total, np.int64), np.zeros(total, np.int64), np.zeros(total, np.float32)
+        tape[places], target[places], weight[places] = model.input_of[ids], model.class_of[ids], 1
+        order = rnd.permutation(windows)
+        for b in range(0, order.size, BATCH):
+            here = order[b : b + BATCH, None] * HALF + np.arange(2 * HALF)
+            scored = here[:, HALF:].ravel()
+            done += 1
+            # The last steps of a block may hold few windows; their rate is less.
+            model.update(model.step(tape[here], target[scored], weight[scored]), moments, done, RATE * len(here) / BATCH)
+        seen += windows.size
+    spell.reset()
+    if seen:
+        numbers = np.concatenate([getattr(model, n).ravel() for n in model.names()])
+        chunks = [numbers[at : at + CHUNK].tobytes() for at in range(0, numbers.size, CHUNK)]
+        yield pa.RecordBatch.from_arrays([pa.array([part] * len(chunks)), pa.array(range(len(chunks))), pa.array([seen] * len(chunks)), pa.array(chunks, pa.binary())], names=["part", "chunk", "windows", "numbers"])
+
+
+def _mean(rows: pa.Table) -> pa.Table:
+    rows = rows.sort_by("part")  # sums in one order
+    windows = rows.column("windows").to_numpy()
+    mean = sum(w * np.frombuffer(x.as_buffer(), np.float32).astype(np.float64) for w, x in zip(windows, (x for c in rows.column("numbers").chunks for x in c), strict=True)) / windows.sum()
+    return pa.table({"chunk": rows.column("chunk")[:1], "windows": pa.array([int(windows.sum())]), "numbers": pa.array([mean.astype(np.float32).tobytes()], pa.binary())})
+
+
+def learn(texts: DataFrame, pieces: list[str], path: str) -> Attention:
+    """The model of all texts (text); pieces of them are where its parameters start."""
+    context = texts.sparkSession.sparkContext
+    pairs = texts.select("text").mapInArrow(lean(lambda batches: _follow(batches, path)), "before long, after long, c long")
+    pairs = stored(pairs.groupBy("before", "after").agg(F.sum("c").alias("c")), "follow")
+    model = fit(pieces, path, follow=Follow(pairs, speller(path).size))
+    start = context.broadcast(model)
+    each = texts.select("text").mapInArrow(lean(lambda batches: _learn(batches, path, start.value)), "part long, chunk long, windows long, numbers binary")
+    mean = stored(each.groupBy("chunk").applyInArrow(_mean, "chunk long, windows long, numbers binary"), "learnt").orderBy("chunk").collect()
+    numbers = np.frombuffer(b"".join(r["numbers"] for r in mean), np.float32)
+    at = 0
+    for name in model.names():
+        table = getattr(model, name)
+        setattr(model, name, numbers[at : at + table.size].reshape(table.shape).copy())
+        at += table.size
     return model
 
 
@@ -403,10 +555,18 @@ def count_words(docs: DataFrame, path: str, class_of) -> DataFrame:
     return counted.mapInArrow(lean(lambda batches: _classified(batches, path, class_of.value)), "word long, c long, class int")
 
 
-def pieces_of(texts: DataFrame, sample: int) -> list[str]:
+def _pieces() -> Column:
+    return F.floor((F.length("text") + (PIECE_CHARS - 1)) / PIECE_CHARS).cast("int")
+
+
+def count_pieces(texts: DataFrame) -> int:
+    return texts.agg(F.coalesce(F.sum(_pieces()), F.lit(0))).first()[0]
+
+
+def pieces_of(texts: DataFrame, sample: int, total: int | None = None) -> list[str]:
     """About `sample` different pieces of the texts (text, not null), at most twice as many; chosen by a hash of the piece and its place."""
-    count = F.floor((F.length("text") + (PIECE_CHARS - 1)) / PIECE_CHARS).cast("int")
-    total = texts.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+    count = _pieces()
+    total = count_pieces(texts) if total is None else total
     own = texts.where("text <> ''").withColumn("h", F.xxhash64("text"))
     chosen = F.filter(F.sequence(F.lit(0), count - 1), lambda k: F.pmod(F.xxhash64("h", k), F.lit(max(1, total // sample))) == 0)
     each = own.select(F.explode(F.transform(chosen, lambda k: F.substring(F.col("text"), k * PIECE_CHARS + 1, F.lit(PIECE_CHARS)))).alias("piece"))
@@ -423,7 +583,10 @@ def score(docs: DataFrame, held_out: Column, path: str, sample: int = SAMPLE, fr
     """
     docs = docs.select("doc_id", "text", held_out.alias("held_out"))
     train, context = docs.where(~F.col("held_out")), docs.sparkSession.sparkContext
-    model = fit(pieces_of(train.where(F.col("text").isNotNull()), sample), path)
+    texts = train.where(F.col("text").isNotNull())
+    total = count_pieces(texts)
+    pieces = pieces_of(texts, sample, total)
+    model = learn(train, pieces, path) if total >= 2 * sample else fit(pieces, path)
     counts = stored(count_words(train, path, context.broadcast(model.class_of)), "counts")
     n, v, once = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count_if(F.col("c") == 1)).first()
     discount = min(0.9, max(0.1, once / max(1, v)))

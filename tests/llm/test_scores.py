@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from orrery.llm import lm, quality, queries, toxicity
@@ -164,3 +165,46 @@ def test_pieces_come_from_whole_texts(spark):
     assert sorted(every) == sorted({text[i : i + lm.PIECE_CHARS] for i in range(0, len(text), lm.PIECE_CHARS)} | {"short"})
     few = lm.pieces_of(df, 10)
     assert 0 < len(few) <= 20 and set(few) < set(every)
+
+
+def test_lm_learns_from_all_texts(spark, monkeypatch):
+    path = queries.vocabulary("byte_bpe_multi_50k.tiktoken")
+    rnd = random.Random(4)
+    # "left" is followed by "north" in all texts but those that the sample draws, which are then replaced.
+    texts = [" ".join(rnd.choice(["left south", "one two", "three"]) for _ in range(40)) + f" {k}" for k in range(80)]
+    make = lambda rows: spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3, "doc_id")
+    drawn = set(lm.pieces_of(make(texts), 8))
+    assert 0 < len(drawn) <= 16
+    monkeypatch.setattr(lm, "pieces_of", lambda *_: sorted(drawn))
+    other = [t if t in drawn else t.replace("left south", "left north") for t in texts]
+    spell = lm.speller(path)
+    north, south, left = (spell.spell(w)[0] for w in (b"north", b"south", b"left"))
+    assert len(spell.spell(b"left")) == 1
+
+    def after_left(rows):
+        model = lm.learn(make(rows), sorted(drawn), path)
+        ids = np.array([left, left])
+        return [model.log_probabilities(np.array([left, x]), np.array([ids.size]))[0][1] for x in (north, south)]
+
+    a, b = after_left(texts), after_left(other)
+    assert a[1] > a[0] + 2 and b[0] > b[1] + 0.5  # the sample alone has never seen "north"
+    # score takes that way as soon as the sample is not the whole corpus.
+    called = []
+    learn = lm.learn
+    monkeypatch.setattr(lm, "learn", lambda *a: called.append(1) or learn(*a))
+    first = lm.score(make(texts), F.lit(False), path, sample=8).orderBy("doc_id").collect()
+    assert called and all(math.isfinite(r.score) and r.score < 0 for r in first)
+    assert [r.score for r in lm.score(make(texts), F.lit(False), path, sample=8).orderBy("doc_id").collect()] == pytest.approx([r.score for r in first], rel=1e-6)
+
+
+def test_pairs_are_counted_in_all_texts(spark):
+    path = queries.vocabulary("byte_bpe_multi_50k.tiktoken")
+    spell = lm.speller(path)
+    texts = ["one two two", None, "", "two one", "never seen wörds"] * 3
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    want = collections.Counter()
+    for t in texts:
+        ids = [i for w in lm.words_of(t) for i in spell.spell(w)]
+        want.update(zip([-1, *ids[:-1]], ids, strict=True))
+    got = df.mapInArrow(lambda b: lm._follow(b, path), "before long, after long, c long").groupBy("before", "after").sum("c").collect()
+    assert {(r[0], r[1]): r[2] for r in got} == want
