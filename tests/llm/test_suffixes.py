@@ -123,3 +123,25 @@ def test_pipeline_cuts_passages_of_over_fifty_words_that_are_shorter_than_400_by
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.text for r in corpus_pipeline.without_repeats(spark, df, "").collect()}
     assert len(passage) < 400 and got == {k: t.replace(passage, "") for k, t in enumerate(texts)}
+
+
+def test_a_very_common_passage_is_counted_by_windows_that_begin_at_a_word(spark, monkeypatch):
+    rnd = random.Random(14)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(3))
+    passage, made = [word() for _ in range(25)], []
+    keep = suffixes.stored
+
+    def counted(df, name):
+        out = keep(df, name)
+        if name == "windows":
+            made.append((out.count(), out.where(f"place % {suffixes.CODE} <> 0").count()))
+        return out
+
+    monkeypatch.setattr(suffixes, "stored", counted)
+    texts = [" ".join([*(word() for _ in range(12)), *passage[k % 5 :], *(word() for _ in range(12))]) for k in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in suffixes.cut(df, length=400, words=10, most_sections=2).collect()}
+    assert got == dict(enumerate(brute_passages(texts, 10, 400)))
+    assert all(len(t.split()) <= 25 for t in got.values())
+    (rows, between), *_ = made
+    assert between == 0 and 0 < rows <= sum(len(t.split()) - 9 for t in texts)
