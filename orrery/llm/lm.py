@@ -170,6 +170,21 @@ def quick_exp(x: np.ndarray) -> np.ndarray:
     return x.astype(np.int32).view(np.float32)
 
 
+class InOrder:
+    """Rows of a table as they are read: their order by the row, the rows in that order and where each begins."""
+
+    def __init__(self, rows: np.ndarray):
+        self.order = np.argsort(rows.astype(np.int16) if rows.max() < 1 << 15 else rows, kind="stable")  # a radix sort, of 16 bits
+        self.keys = rows[self.order]
+        self.first = np.flatnonzero(np.concatenate([[True], self.keys[1:] != self.keys[:-1]]))
+
+    def sums(self, parts: np.ndarray, table: np.ndarray) -> np.ndarray:
+        """Sums of parts, in this order, by the row of the table that they belong to."""
+        out = np.zeros_like(table)
+        out[self.keys[self.first]] = np.add.reduceat(parts, self.first, axis=0)
+        return out
+
+
 class Attention:
     """The model's tables and parameters."""
 
@@ -205,43 +220,41 @@ class Attention:
             table -= (own * (m / (1 - 0.9**done)) / (np.sqrt(v / (1 - 0.99**done)) + 1e-8)).astype(np.float32)
             np.clip(table, -LIMITS[name], LIMITS[name], out=table)
 
-    def forward(self, window: np.ndarray) -> tuple:
-        """window: inputs, (n, 2 * HALF). Logits of what follows places HALF - 1 to 2 * HALF - 2."""
-        n = window.shape[0]
-        asks = window[:, HALF - 1 : 2 * HALF - 1]
-        q, k, v = self.q[asks], self.k[window], self.v[window]
-        scores = q @ k.transpose(0, 2, 1)
-        scores += self._distances()
-        scores -= scores.max(axis=2, keepdims=True)
-        np.exp(scores, out=scores)
-        scores /= scores.sum(axis=2, keepdims=True)
-        mean = (scores @ v).reshape(n * HALF, DIM)
-        logits = mean @ self.out
-        logits += self.last[asks.ravel()]
-        return asks, q, k, v, scores, mean, logits
-
     def _distances(self) -> np.ndarray:
         """Bias by distance; what comes after the asking place is masked."""
         d = np.arange(HALF - 1, 2 * HALF - 1)[:, None] - np.arange(2 * HALF)[None, :]
         return np.where(d >= 0, self.far[np.maximum(d, 0)], np.float32(-1e9)).astype(np.float32)
 
     def step(self, window: np.ndarray, target: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
-        """Gradients of the mean loss on classes target of the scored places, weight 0 for blanks."""
-        asks, q, k, v, p, mean, logits = self.forward(window)
+        """Gradients of the mean loss on classes target of the scored places, weight 0 for blanks. window: inputs, (n, 2 * HALF).
+
+        Scored is what follows places HALF - 1 to 2 * HALF - 2. Places go in the order of what they read, so that rows of
+        the tables are summed in runs. LIMITS keep exponents in range without shifting them first.
+        """
         n = window.shape[0]
-        logits -= logits.max(axis=1, keepdims=True)
+        asks = window[:, HALF - 1 : 2 * HALF - 1]
+        asked, read = InOrder(asks.ravel()), InOrder(window.ravel())
+        q, k, v = self.q.take(asks, axis=0), self.k.take(window, axis=0), self.v.take(window, axis=0)
+        p = q @ k.transpose(0, 2, 1)
+        p += self._distances()
+        np.exp(p, out=p)
+        p /= p.sum(axis=2, keepdims=True)
+        mean = (p @ v).reshape(n * HALF, DIM)[asked.order]
+        logits = mean @ self.out
+        logits += self.last.take(asked.keys, axis=0)
         np.exp(logits, out=logits)
-        logits /= logits.sum(axis=1, keepdims=True)
-        logits[np.arange(target.size), target] -= 1
-        logits *= (weight / max(weight.sum(), 1))[:, None]
-        g = {"out": mean.T @ logits, "last": np.zeros_like(self.last)}
-        np.add.at(g["last"], asks.ravel(), logits)
-        dm = (logits @ self.out.T).reshape(n, HALF, DIM)
-        dp = dm @ v.transpose(0, 2, 1)
-        ds = p * (dp - (dp * p).sum(axis=2, keepdims=True))
-        for name, rows, part in (("v", window, p.transpose(0, 2, 1) @ dm), ("q", asks, ds @ k), ("k", window, ds.transpose(0, 2, 1) @ q)):
-            g[name] = np.zeros_like(self.q)
-            np.add.at(g[name], rows.ravel(), part.reshape(-1, DIM))
+        weight = (weight / max(weight.sum(), 1))[asked.order]
+        logits *= (weight / logits.sum(axis=1))[:, None]
+        logits[np.arange(target.size), target[asked.order]] -= weight
+        g = {"out": mean.T @ logits, "last": asked.sums(logits, self.last)}
+        dm = np.empty_like(mean)
+        dm[asked.order] = logits @ self.out.T
+        dm = dm.reshape(n, HALF, DIM)
+        ds = dm @ v.transpose(0, 2, 1)
+        ds -= (ds * p).sum(axis=2, keepdims=True)
+        ds *= p
+        for name, rows, part in (("v", read, p.transpose(0, 2, 1) @ dm), ("q", asked, ds @ k), ("k", read, ds.transpose(0, 2, 1) @ q)):
+            g[name] = rows.sums(part.reshape(-1, DIM)[rows.order], self.q)
         d = np.arange(HALF - 1, 2 * HALF - 1)[:, None] - np.arange(2 * HALF)[None, :]
         g["far"] = np.bincount(d[d >= 0], ds.sum(axis=0)[d >= 0], 2 * HALF).astype(np.float32)
         return g

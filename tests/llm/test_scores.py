@@ -152,6 +152,34 @@ def test_attention_is_causal_and_sums_to_one():
     assert np.allclose(both[: ids.size], a, atol=1e-5) and np.allclose(both[ids.size :], a[:30], atol=1e-5)
 
 
+def test_steps_follow_the_slope_of_the_loss():
+    rnd = np.random.default_rng(6)
+    model = lm.Attention((40, 24), np.arange(60) % 2 == 0)
+    for name in model.names():
+        setattr(model, name, rnd.normal(0, 0.5, getattr(model, name).shape))
+    window, target = rnd.integers(0, 40, (30, 2 * lm.HALF)), rnd.integers(0, 24, 30 * lm.HALF)
+    weight = (rnd.random(target.size) < 0.8).astype(float)
+
+    def loss():
+        asks = window[:, lm.HALF - 1 : 2 * lm.HALF - 1]
+        p = np.exp(model.q[asks] @ model.k[window].transpose(0, 2, 1) + model._distances())
+        logits = (p / p.sum(axis=2, keepdims=True) @ model.v[window]).reshape(-1, lm.DIM) @ model.out + model.last[asks.ravel()]
+        return ((np.log(np.exp(logits).sum(axis=1)) - logits[np.arange(target.size), target]) * weight).sum() / weight.sum()
+
+    grads = model.step(window, target, weight)
+    for name in ("q", "k", "v", "out", "last"):
+        own = getattr(model, name)
+        for at in map(tuple, rnd.integers(0, own.shape, (12, 2))):
+            kept, found = own[at], []
+            for d in (1e-4, -1e-4):
+                own[at] = kept + d
+                found.append(loss())
+            own[at] = kept
+            assert abs((found[0] - found[1]) / 2e-4 - grads[name][at]) < 1e-6, (name, at)
+    rows = lm.InOrder(np.array([3, 1, 3, 0]))
+    assert rows.sums(np.arange(8.0).reshape(4, 2)[rows.order], np.zeros((5, 2))).tolist() == [[6, 7], [2, 3], [0, 0], [4, 6], [0, 0]]
+
+
 def test_lm_beats_counts_alone(spark, sf):
     out = queries.op7_lm(spark, sf.replace("0.001", "0.01")).where("held_out").toPandas()
     assert out["score"].sum() > out["base_score"].sum() + 0.1 * out["n_tokens"].sum()
