@@ -1,7 +1,8 @@
 """Scoring texts with a small causal self-attention model on subword ids, joined with corpus word counts.
 
 A text is its words in ASCII lower case, then one end. Each word is spelt in subwords (byte-level BPE, the word
-with a space before it, so that the spelling can be undone).
+with a space before it, so that the spelling can be undone). Texts are spelt once: ids of subwords and hashes of words
+are stored, and counting pairs, learning and scoring read those. A word begins where a subword begins with a space.
 
 Counts. The occurrences of every word of every training document are counted: in tasks first, then by a
 shuffle of words. Words of at least `frequent` of all tokens, at most 1/frequent of them, are broadcast by hash
@@ -50,7 +51,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, stored
+from .common import forget, lean, stored
 
 HALF, DIM, CLASSES, INPUTS = 16, 16, 128, 1024
 SAMPLE, PIECE_CHARS, EPOCHS, BATCH = 3000, 2000, 2, 256
@@ -90,6 +91,7 @@ class Speller:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in file if line.strip())}
         self.end = max(ranks.values()) + 1
         self.size = self.end + 1
+        self.kind = np.uint16 if self.size <= 1 << 16 else np.uint32  # of ids as they are stored
         self.starts = np.zeros(self.size, bool)
         for token, i in ranks.items():
             self.starts[i] = token[:1] == b" "
@@ -181,7 +183,13 @@ class InOrder:
     def sums(self, parts: np.ndarray, table: np.ndarray) -> np.ndarray:
         """Sums of parts, in this order, by the row of the table that they belong to."""
         out = np.zeros_like(table)
-        out[self.keys[self.first]] = np.add.reduceat(parts, self.first, axis=0)
+        keys = self.keys[self.first]
+        if table.shape[1] < 64:
+            out[keys] = np.add.reduceat(parts, self.first, axis=0)
+        else:  # which reduceat is slow at
+            edges = [*self.first.tolist(), parts.shape[0]]
+            for key, a, b in zip(keys.tolist(), edges, edges[1:], strict=False):
+                np.add.reduce(parts[a:b], axis=0, out=out[key])
         return out
 
 
@@ -211,13 +219,22 @@ class Attention:
 
     def update(self, grads: dict[str, np.ndarray], moments: dict[str, tuple[np.ndarray, np.ndarray]], done: int, rate: float) -> None:
         """Adam's step number `done`; the table of the last subword moves at half the rate."""
-        for name, g in grads.items():
+        for name, g in grads.items():  # which are overwritten
             m, v = moments[name]
-            m += 0.1 * (g - m)
-            v += 0.01 * (g * g - v)
             own = rate if name != "last" else rate / 2
             table = getattr(self, name)
-            table -= (own * (m / (1 - 0.9**done)) / (np.sqrt(v / (1 - 0.99**done)) + 1e-8)).astype(np.float32)
+            m *= 0.9
+            m += 0.1 * g
+            g *= g
+            g *= 0.01
+            v *= 0.99
+            v += g
+            np.sqrt(v, out=g)
+            g /= (1 - 0.99**done) ** 0.5
+            g += 1e-8
+            np.divide(m, g, out=g)
+            g *= own / (1 - 0.9**done)
+            table -= g
             np.clip(table, -LIMITS[name], LIMITS[name], out=table)
 
     def _distances(self) -> np.ndarray:
@@ -239,7 +256,7 @@ class Attention:
         p += self._distances()
         np.exp(p, out=p)
         p /= p.sum(axis=2, keepdims=True)
-        mean = (p @ v).reshape(n * HALF, DIM)[asked.order]
+        mean = (p @ v).reshape(n * HALF, DIM).take(asked.order, axis=0)
         logits = mean @ self.out
         logits += self.last.take(asked.keys, axis=0)
         np.exp(logits, out=logits)
@@ -254,7 +271,7 @@ class Attention:
         ds -= (ds * p).sum(axis=2, keepdims=True)
         ds *= p
         for name, rows, part in (("v", read, p.transpose(0, 2, 1) @ dm), ("q", asked, ds @ k), ("k", read, ds.transpose(0, 2, 1) @ q)):
-            g[name] = rows.sums(part.reshape(-1, DIM)[rows.order], self.q)
+            g[name] = rows.sums(part.reshape(-1, DIM).take(rows.order, axis=0), self.q)
         d = np.arange(HALF - 1, 2 * HALF - 1)[:, None] - np.arange(2 * HALF)[None, :]
         g["far"] = np.bincount(d[d >= 0], ds.sum(axis=0)[d >= 0], 2 * HALF).astype(np.float32)
         return g
@@ -464,8 +481,52 @@ def _follow(batches: Iterable[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
     spell.reset()
 
 
+def _binary(numbers: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Numbers of texts as bytes of each; ends: of each text's."""
+    offsets = np.concatenate([[0], ends]).astype(np.int64) * numbers.itemsize
+    return pa.Array.from_buffers(pa.large_binary(), ends.size, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(numbers))]).cast(pa.binary())
+
+
+def _numbers(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of texts from the bytes of each (not null), and where each text's begin (and the last one's end)."""
+    column = column.cast(pa.large_binary())
+    at = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    size = np.dtype(kind).itemsize
+    numbers = np.frombuffer(column.buffers()[2], kind, int(at[-1] - at[0]) // size, int(at[0]))
+    return numbers, (at - at[0]) // size
+
+
+def _together(words: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Texts of so many words in groups of about WORDS_AT_ONCE words: first text and the end."""
+    cuts = np.flatnonzero(np.diff(np.cumsum(words) // WORDS_AT_ONCE)) + 1
+    edges = [0, *cuts.tolist(), words.size]
+    yield from zip(edges, edges[1:], strict=False)
+
+
+def _spell(batches: Iterable[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    """Of texts (text, then other columns): ids of the subwords and hashes of the words of each, as bytes, then those columns."""
+    spell = speller(path)
+    for batch in batches:
+        at = 0
+        while at < batch.num_rows:
+            words: list[bytes] = []
+            sizes: list[int] = []
+            begin = at
+            while at < batch.num_rows and len(words) < WORDS_AT_ONCE:
+                own = words_of(batch.column(0)[at].as_py())
+                words += own
+                sizes.append(len(own))
+                at += 1
+            index = spell.of(words)
+            flat, first = spell.flat(index)
+            ends = np.cumsum(sizes)
+            columns = [_binary(flat.astype(spell.kind), np.append(first, flat.size)[ends]), _binary(spell.hashes[index], ends)]
+            yield pa.RecordBatch.from_arrays([*columns, *(c.slice(begin, at - begin) for c in batch.columns[1:])], names=["ids", "words", *batch.schema.names[1:]])
+    spell.reset()
+
+
 def _spelt(batches: Iterable[pa.RecordBatch], spell: Speller) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Ids of texts (the first column), many texts at a time, how many ids each has, and how many words."""
+    """Ids of texts (the first column: texts, or ids as _spell has them), many texts at a time, how many ids each has, and how many words."""
     words: list[bytes] = []
     counts: list[int] = []
 
@@ -478,6 +539,13 @@ def _spelt(batches: Iterable[pa.RecordBatch], spell: Speller) -> Iterator[tuple[
         return flat, sizes, of_text
 
     for batch in batches:
+        if pa.types.is_binary(batch.schema.types[0]):
+            if batch.num_rows:
+                ids, at = _numbers(batch.column(0), spell.kind)
+                of_text = np.add.reduceat(spell.starts[ids], at[:-1], dtype=np.int64)
+                for a, b in _together(of_text):
+                    yield ids[at[a] : at[b]], np.diff(at[a : b + 1]), of_text[a:b]
+            continue
         for text in batch.column(0):
             own = words_of(text.as_py())
             words.extend(own)
@@ -519,13 +587,14 @@ def _mean(rows: pa.Table) -> pa.Table:
 
 
 def learn(texts: DataFrame, pieces: list[str], path: str) -> Attention:
-    """The model of all texts (text); pieces of them are where its parameters start."""
+    """The model of all texts (text, or ids if they are spelt); pieces of them are where its parameters start."""
     context = texts.sparkSession.sparkContext
-    pairs = texts.select("text").mapInArrow(lean(lambda batches: _follow(batches, path)), "before long, after long, c long")
+    texts = texts.select("ids" if "ids" in texts.columns else "text")
+    pairs = texts.mapInArrow(lean(lambda batches: _follow(batches, path)), "before long, after long, c long")
     pairs = stored(pairs.groupBy("before", "after").agg(F.sum("c").alias("c")), "follow")
     model = fit(pieces, path, follow=Follow(pairs, speller(path).size))
     start = context.broadcast(model)
-    each = texts.select("text").mapInArrow(lean(lambda batches: _learn(batches, path, start.value)), "part long, chunk long, windows long, numbers binary")
+    each = texts.mapInArrow(lean(lambda batches: _learn(batches, path, start.value)), "part long, chunk long, windows long, numbers binary")
     mean = stored(each.groupBy("chunk").applyInArrow(_mean, "chunk long, windows long, numbers binary"), "learnt").orderBy("chunk").collect()
     numbers = np.frombuffer(b"".join(r["numbers"] for r in mean), np.float32)
     at = 0
@@ -594,12 +663,14 @@ def score(docs: DataFrame, held_out: Column, path: str, sample: int = SAMPLE, fr
 
     path: of a byte-level BPE vocabulary in rank form. Rows for which held_out holds are not learnt from.
     """
-    docs = docs.select("doc_id", "text", held_out.alias("held_out"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out.alias("held_out"))
     train, context = docs.where(~F.col("held_out")), docs.sparkSession.sparkContext
     texts = train.where(F.col("text").isNotNull())
     total = count_pieces(texts)
     pieces = pieces_of(texts, sample, total)
-    model = learn(train, pieces, path) if total >= 2 * sample else fit(pieces, path)
+    learnt = F.coalesce(~F.col("held_out"), F.lit(False)).alias("learnt")
+    spelt = stored(docs.select("text", "doc_id", "held_out", learnt).mapInArrow(lean(lambda batches: _spell(batches, path)), "ids binary, words binary, doc_id long, held_out boolean, learnt boolean"), "spelt")
+    model = learn(spelt.where("learnt"), pieces, path) if total >= 2 * sample else fit(pieces, path)
     counts = stored(count_words(train, path, context.broadcast(model.class_of)), "counts")
     n, v, once = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count_if(F.col("c") == 1)).first()
     discount = min(0.9, max(0.1, once / max(1, v)))
@@ -624,23 +695,14 @@ def score(docs: DataFrame, held_out: Column, path: str, sample: int = SAMPLE, fr
         spell = speller(path)
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            ids, held = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            at = 0
-            while at < batch.num_rows:
-                words: list[bytes] = []
-                sizes: list[int] = []
-                begin = at
-                while at < batch.num_rows and (not words or len(words) < WORDS_AT_ONCE):
-                    own = words_of(batch.column(1)[at].as_py())
-                    words += own
-                    sizes.append(len(own))
-                    at += 1
-                index = spell.of(words)
-                flat, first = spell.flat(index)
-                size = np.array(sizes)
+            if not batch.num_rows:
+                continue
+            (ids, ids_at), (all_hashes, words_at) = _numbers(batch.column(0), spell.kind), _numbers(batch.column(1), np.int64)
+            for begin, end in _together(np.diff(words_at)):
+                flat, hashes, size = ids[ids_at[begin] : ids_at[end]], all_hashes[words_at[begin] : words_at[end]], np.diff(words_at[begin : end + 1])
+                first = np.flatnonzero(spell.starts[flat])
                 p, opens = model.word_log10(flat, first, size)
                 r = np.exp(opens * np.log(10)) * inverse[model.class_of[flat[first]]]
-                hashes = spell.hashes[index]
                 found = np.searchsorted(top, hashes)
                 found[found == top.size] = 0
                 is_top = top[found] == hashes if top.size else np.zeros(hashes.size, bool)
@@ -650,13 +712,13 @@ def score(docs: DataFrame, held_out: Column, path: str, sample: int = SAMPLE, fr
                 base = np.where(is_top, np.log10((c + ADD) / low), 0.0) if n else np.zeros(hashes.size)
                 rare = ~is_top if n else np.zeros(hashes.size, bool)
                 cut = np.concatenate([[0], np.cumsum(np.add.reduceat(rare, starts, dtype=np.int64))]).astype(np.int32)
-                k = len(sizes)
+                k = size.size
                 lists = (hashes[rare], p[rare].astype(np.float32), r[rare].astype(np.float32))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.arange(row, row + k)),
-                        pa.array(ids[begin:at], pa.int64()),
-                        pa.array(held[begin:at], pa.bool_()),
+                        batch.column(2).slice(begin, k),
+                        batch.column(3).slice(begin, k),
                         pa.array(size),
                         pa.array(np.add.reduceat(is_top, starts, dtype=np.int64)),
                         pa.array(np.add.reduceat(base, starts)),
@@ -666,9 +728,9 @@ def score(docs: DataFrame, held_out: Column, path: str, sample: int = SAMPLE, fr
                     names=["uid", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare", "rare_p", "rare_r"],
                 )
                 row += k
-        spell.reset()
 
-    rows = stored(docs.select("doc_id", "text", "held_out").mapInArrow(lean(passed), PASSED), "scored")
+    rows = stored(spelt.select("ids", "words", "doc_id", "held_out").mapInArrow(lean(passed), PASSED), "scored")
+    forget(spelt)
     if not n:
         return rows.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(0).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
     each = rows.select("uid", F.inline(F.arrays_zip(F.col("rare").alias("word"), F.col("rare_p").alias("p"), F.col("rare_r").alias("r"))))

@@ -236,3 +236,24 @@ def test_pairs_are_counted_in_all_texts(spark):
         want.update(zip([-1, *ids[:-1]], ids, strict=True))
     got = df.mapInArrow(lambda b: lm._follow(b, path), "before long, after long, c long").groupBy("before", "after").sum("c").collect()
     assert {(r[0], r[1]): r[2] for r in got} == want
+
+
+def test_texts_are_spelt_once_for_all_passes(spark):
+    path = queries.vocabulary("byte_bpe_multi_50k.tiktoken")
+    spell = lm.speller(path)
+    texts = ["One two", None, "", "a\u00a0b \u00a0c \x1c d\x1ce", " \t\n", "x" * 3000, "日本語 \u3000 \u0301e wörds's 12,345 \n\r\x0b\x0c--", "two one " * 40_000, "end"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    spelt = df.select("text", "doc_id").mapInArrow(lambda b: lm._spell(b, path), "ids binary, words binary, doc_id long")
+    for r in spelt.collect():
+        words = lm.words_of(texts[r.doc_id])
+        ids = np.frombuffer(r.ids, spell.kind)
+        assert ids.tolist() == [i for w in words for i in spell.spell(w)] and np.frombuffer(r.words, np.int64).tolist() == lm.signed([lm.word_hash(w) for w in words]).tolist()
+        assert np.flatnonzero(spell.starts[ids]).tolist() == np.cumsum([0, *(len(spell.spell(w)) for w in words[:-1])]).tolist()
+    # Passes over ids find what passes over texts do, in slices and in groups of any size.
+    batches = [b.slice(1) for b in spelt.toArrow().to_batches()]
+    given = [b.slice(1) for b in df.select("text").toArrow().to_batches()]
+    for k in (0, 1, 2):
+        whole, own = (np.concatenate([x[k] for x in lm._spelt(b, spell)]).tolist() for b in (given, batches))
+        assert whole == own
+    counted = [sorted(zip(*(np.concatenate([x.column(n).to_numpy() for x in lm._follow(b, path)]).tolist() for n in ("before", "after", "c")), strict=True)) for b in (given, batches)]
+    assert counted[0] == counted[1]
