@@ -5,8 +5,8 @@ with a space before it, so that the spelling can be undone). Texts are spelt onc
 are stored, and counting pairs, learning and scoring read those. A word begins where a subword begins with a space.
 
 Counts. The occurrences of every word of every training document are counted: in tasks first, then by a
-shuffle of words. Words of at least `frequent` of all tokens, at most 1/frequent of them, are broadcast by hash
-(64 bits); the others meet their counts in a join.
+shuffle of words. Words are told apart by their hash (64 bits; two of 500 million words share one with probability 0.007).
+Words of at least `frequent` of all tokens, at most 1/frequent of them, are broadcast; the others meet their counts in a join.
 
 Attention model. One causal self-attention layer in numpy: subwords are read through tables of query, key and
 value, scores get a bias by distance, and the sum over the values moves the logits that the last subword
@@ -41,8 +41,8 @@ from __future__ import annotations
 
 import base64
 import copy
-from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -56,13 +56,15 @@ from .common import forget, lean, stored
 HALF, DIM, CLASSES, INPUTS = 16, 16, 128, 1024
 SAMPLE, PIECE_CHARS, EPOCHS, BATCH = 3000, 2000, 2, 256
 FREQUENT, MIX, CONTEXT, ADD = 2.5e-7, 0.4, 0.95, 0.1
-CACHE_WORDS, COUNTED_WORDS = 300_000, 400_000
+CACHE_WORDS, COUNTED_WORDS = 300_000, 1 << 20
 #: Rate of learning in tasks; pairs counted together, and numbers of a parameter that are averaged together.
 RATE, COUNTED_PAIRS, CHUNK = 0.003, 1 << 20, 1 << 13
 #: Bounds of parameters: scores stay within 16 * 4 + 6, logits within 20 + 16 * 2.
 LIMITS = {"q": 2.0, "k": 2.0, "v": 2.0, "far": 6.0, "out": 1.0, "last": 20.0}
 #: Words scored together, and windows.
-WORDS_AT_ONCE, WINDOWS = 50_000, 128
+WORDS_AT_ONCE, WINDOWS = 50_000, 32
+#: Places whose logits are held at a time while learning.
+PLACES = 384
 END = b""
 
 
@@ -80,6 +82,14 @@ def words_of(text: str | None) -> list[bytes]:
     return out
 
 
+class Numbers(dict):
+    """Of each key a number, in the order in which they are first looked up."""
+
+    def __missing__(self, key: bytes) -> int:
+        self[key] = n = len(self)
+        return n
+
+
 class Speller:
     """Subword ids of words, as ragged arrays; remembers a bounded number of words."""
 
@@ -100,7 +110,7 @@ class Speller:
         self.reset()
 
     def reset(self) -> None:
-        self.index: dict[bytes, int] = {}
+        self.index = Numbers()
         self.hashes, self.begin, self.length, self.ids = (np.zeros(1 << 12, t) for t in (np.int64, np.int64, np.int32, np.int32))
         self.used = 0
 
@@ -111,11 +121,10 @@ class Speller:
         """An index for each word, into hashes, begin and length (of ids)."""
         if len(self.index) > CACHE_WORDS:
             self.reset()
-        index = self.index
-        new = [w for w in dict.fromkeys(words) if w not in index]
+        at = len(self.index)
+        found = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        new = list(islice(reversed(self.index), len(self.index) - at))[::-1]
         if new:
-            at = len(index)
-            index.update(zip(new, range(at, at + len(new)), strict=True))
             spelt = [self.spell(w) for w in new]
             sizes = np.fromiter(map(len, spelt), np.int64, len(new))
             total = int(sizes.sum())
@@ -125,9 +134,9 @@ class Speller:
             self.hashes[at : at + len(new)] = signed([word_hash(w) for w in new])
             self.length[at : at + len(new)] = sizes
             self.begin[at : at + len(new)] = self.used + np.cumsum(sizes) - sizes
-            self.ids[self.used : self.used + total] = [i for s in spelt for i in s]
+            self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(spelt), np.int32, total)
             self.used += total
-        return np.fromiter(map(index.__getitem__, words), np.int64, len(words))
+        return found
 
     def flat(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the indexed words in a row, and where each word begins."""
@@ -173,25 +182,40 @@ def quick_exp(x: np.ndarray) -> np.ndarray:
 
 
 class InOrder:
-    """Rows of a table as they are read: their order by the row, the rows in that order and where each begins."""
+    """Rows of a table as they are read: their order by how often a row is read, then the row; the rows in that order and where each begins.
+
+    Runs of one length are neighbours, so that wide ones are summed as one array.
+    """
 
     def __init__(self, rows: np.ndarray):
-        self.order = np.argsort(rows.astype(np.int16) if rows.max() < 1 << 15 else rows, kind="stable")  # a radix sort, of 16 bits
-        self.keys = rows[self.order]
-        self.first = np.flatnonzero(np.concatenate([[True], self.keys[1:] != self.keys[:-1]]))
+        order = np.argsort(rows.astype(np.int16) if rows.max() < 1 << 15 else rows, kind="stable")  # a radix sort, of 16 bits
+        keys = rows[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        length = np.diff(np.append(first, keys.size))
+        by = np.argsort(length, kind="stable")
+        self.length = length[by]
+        self.first = np.cumsum(self.length) - self.length
+        self.runs = keys[first[by]]
+        self.keys = np.repeat(self.runs, self.length)
+        self.order = order[np.repeat(first[by] - self.first, self.length) + np.arange(keys.size)]
+        self.cuts = np.concatenate([[0], np.flatnonzero(np.diff(self.length)) + 1, [self.length.size]])
 
     def sums(self, parts: np.ndarray, table: np.ndarray) -> np.ndarray:
         """Sums of parts, in this order, by the row of the table that they belong to."""
-        out = np.zeros_like(table)
-        keys = self.keys[self.first]
-        if table.shape[1] < 64:
-            out[keys] = np.add.reduceat(parts, self.first, axis=0)
-        else:  # which reduceat is slow at
-            edges = [*self.first.tolist(), parts.shape[0]]
-            for key, a, b in zip(keys.tolist(), edges, edges[1:], strict=False):
-                np.add.reduce(parts[a:b], axis=0, out=out[key])
+        out = np.zeros((table.shape[0], parts.shape[1]), table.dtype)
+        out[self.runs] = np.add.reduceat(parts, self.first, axis=0)
         return out
 
+    def blocks(self, n: int) -> Iterator[tuple[int, int, list[tuple[int, int, int, int]]]]:
+        """Places in this order in blocks of about n, each of whole runs: begin and end, and of each length of runs there the first run, the end, where they begin and the length."""
+        ends = np.unique(np.append(np.searchsorted(self.first, np.arange(n, self.keys.size, n)), self.length.size))
+        begin = 0
+        for end in ends.tolist():
+            edges = [begin, *self.cuts[(self.cuts > begin) & (self.cuts < end)].tolist(), end]
+            runs = [(a, b, int(self.first[a]), int(self.length[a])) for a, b in zip(edges, edges[1:], strict=False)]
+            yield runs[0][2], runs[-1][2] + (runs[-1][1] - runs[-1][0]) * runs[-1][3], runs
+            begin = end
+
 
 class Attention:
     """The model's tables and parameters."""
@@ -245,8 +269,8 @@ class Attention:
     def step(self, window: np.ndarray, target: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
         """Gradients of the mean loss on classes target of the scored places, weight 0 for blanks. window: inputs, (n, 2 * HALF).
 
-        Scored is what follows places HALF - 1 to 2 * HALF - 2. Places go in the order of what they read, so that rows of
-        the tables are summed in runs. LIMITS keep exponents in range without shifting them first.
+        Scored is what follows places HALF - 1 to 2 * HALF - 2. Places go in an order in which those that read
+        the same row are neighbours, so that rows of the tables are summed in runs. LIMITS keep exponents in range without shifting them first.
         """
         n = window.shape[0]
         asks = window[:, HALF - 1 : 2 * HALF - 1]
@@ -255,23 +279,39 @@ class Attention:
         p = q @ k.transpose(0, 2, 1)
         p += self._distances()
         np.exp(p, out=p)
-        p /= p.sum(axis=2, keepdims=True)
+        p /= (p @ np.ones(2 * HALF, p.dtype))[:, :, None]
         mean = (p @ v).reshape(n * HALF, DIM).take(asked.order, axis=0)
-        logits = mean @ self.out
-        logits += self.last.take(asked.keys, axis=0)
-        np.exp(logits, out=logits)
         weight = (weight / max(weight.sum(), 1))[asked.order]
-        logits *= (weight / logits.sum(axis=1))[:, None]
-        logits[np.arange(target.size), target[asked.order]] -= weight
-        g = {"out": mean.T @ logits, "last": asked.sums(logits, self.last)}
+        target = target[asked.order]
+        # Logits are as wide as the classes; what is made of a block of them stays in a core's cache.
+        back = np.ascontiguousarray(self.out.T)
+        ones, places = np.ones(back.shape[0], back.dtype), np.arange(n * HALF)
+        g = {"out": np.zeros_like(self.out), "last": np.zeros_like(self.last)}
+        slope = np.empty_like(mean)
+        for begin, end, runs in asked.blocks(PLACES):
+            logits = mean[begin:end] @ self.out
+            logits += self.last.take(asked.keys[begin:end], axis=0)
+            np.exp(logits, out=logits)
+            sums = logits @ ones
+            logits[places[: end - begin], target[begin:end]] -= sums
+            scale = weight[begin:end] / sums
+            g["out"] += (mean[begin:end] * scale[:, None]).T @ logits
+            np.multiply(logits @ back, scale[:, None], out=slope[begin:end])
+            for a, b, at, length in runs:
+                own = slice(at - begin, at - begin + (b - a) * length)
+                g["last"][asked.runs[a:b]] = (scale[own].reshape(b - a, 1, length) @ logits[own].reshape(b - a, length, -1))[:, 0]
         dm = np.empty_like(mean)
-        dm[asked.order] = logits @ self.out.T
+        dm[asked.order] = slope
         dm = dm.reshape(n, HALF, DIM)
         ds = dm @ v.transpose(0, 2, 1)
-        ds -= (ds * p).sum(axis=2, keepdims=True)
+        ds -= np.einsum("nij,nij->ni", ds, p)[:, :, None]
         ds *= p
-        for name, rows, part in (("v", read, p.transpose(0, 2, 1) @ dm), ("q", asked, ds @ k), ("k", read, ds.transpose(0, 2, 1) @ q)):
-            g[name] = rows.sums(part.reshape(-1, DIM).take(rows.order, axis=0), self.q)
+        both = np.empty((n, 2 * HALF, 2 * DIM), p.dtype)
+        np.matmul(p.transpose(0, 2, 1), dm, out=both[:, :, :DIM])
+        np.matmul(ds.transpose(0, 2, 1), q, out=both[:, :, DIM:])
+        both = read.sums(both.reshape(-1, 2 * DIM).take(read.order, axis=0), self.v)
+        g["v"], g["k"] = both[:, :DIM].copy(), both[:, DIM:].copy()
+        g["q"] = asked.sums((ds @ k).reshape(-1, DIM).take(asked.order, axis=0), self.q)
         d = np.arange(HALF - 1, 2 * HALF - 1)[:, None] - np.arange(2 * HALF)[None, :]
         g["far"] = np.bincount(d[d >= 0], ds.sum(axis=0)[d >= 0], 2 * HALF).astype(np.float32)
         return g
@@ -605,36 +645,36 @@ def learn(texts: DataFrame, pieces: list[str], path: str) -> Attention:
     return model
 
 
-def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Occurrences of words in a task; a bounded number of words is held."""
-
-    def out(counts: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["bytes", "c"])
-
-    counts: Counter = Counter()
-    for batch in batches:
-        for text in batch.column(0):
-            counts.update(words_of(text.as_py()))
-            if len(counts) > COUNTED_WORDS:
-                yield out(counts)
-                counts = Counter()
-    if counts:
-        yield out(counts)
+def _count(batches: Iterable[pa.RecordBatch], path: str, class_of: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Of spelt texts (ids, words): words by hash, occurrences, and the class of their first subword; of a bounded number of tokens at a time."""
+    spell = speller(path)
+    held: list[tuple[np.ndarray, np.ndarray]] = []
 
+    def out() -> pa.RecordBatch:
+        words, classes = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        order = np.argsort(words)
+        words = words[order]
+        first = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]]))
+        return pa.RecordBatch.from_arrays([pa.array(words[first]), pa.array(np.diff(np.append(first, words.size))), pa.array(classes[order[first]])], names=["word", "c", "class"])
 
-def _classified(batches: Iterable[pa.RecordBatch], path: str, class_of: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Of words (bytes, c): their hash, count and the class of their first subword."""
-    spell = speller(path)
     for batch in batches:
-        words = batch.column(0).to_pylist()
-        first = class_of[[spell.spell(w)[0] for w in words]] if words else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(signed([word_hash(w) for w in words])), batch.column(1), pa.array(first, pa.int32())], names=["word", "c", "class"])
+        if not batch.num_rows:
+            continue
+        (ids, ids_at), (words, words_at) = _numbers(batch.column(0), spell.kind), _numbers(batch.column(1), np.int64)
+        for begin, end in _together(np.diff(words_at)):
+            own = ids[ids_at[begin] : ids_at[end]]
+            held.append((words[words_at[begin] : words_at[end]].copy(), class_of[own[spell.starts[own]]].astype(np.int32)))
+            if sum(w.size for w, _ in held) > COUNTED_WORDS:
+                yield out()
+    if held:
+        yield out()
 
 
-def count_words(docs: DataFrame, path: str, class_of) -> DataFrame:
-    """word (hash), c: occurrences of each word, and of the end, in docs; class: of its first subword. class_of: a broadcast."""
-    counted = docs.select("text").mapInArrow(lean(_count), "bytes binary, c long").groupBy("bytes").agg(F.sum("c").alias("c"))
-    return counted.mapInArrow(lean(lambda batches: _classified(batches, path, class_of.value)), "word long, c long, class int")
+def count_words(spelt: DataFrame, path: str, class_of) -> DataFrame:
+    """word (hash), c: occurrences of each word, and of the end, in spelt texts; class: of its first subword. class_of: a broadcast."""
+    counted = spelt.select("ids", "words").mapInArrow(lean(lambda batches: _count(batches, path, class_of.value)), "word long, c long, class int")
+    return counted.groupBy("word").agg(F.sum("c").alias("c"), F.min("class").alias("class"))
 
 
 def _pieces() -> Column:
@@ -671,7 +711,7 @@ def score(docs: DataFrame, held_out: Column, path: str, sample: int = SAMPLE, fr
     learnt = F.coalesce(~F.col("held_out"), F.lit(False)).alias("learnt")
     spelt = stored(docs.select("text", "doc_id", "held_out", learnt).mapInArrow(lean(lambda batches: _spell(batches, path)), "ids binary, words binary, doc_id long, held_out boolean, learnt boolean"), "spelt")
     model = learn(spelt.where("learnt"), pieces, path) if total >= 2 * sample else fit(pieces, path)
-    counts = stored(count_words(train, path, context.broadcast(model.class_of)), "counts")
+    counts = stored(count_words(spelt.where("learnt"), path, context.broadcast(model.class_of)), "counts")
     n, v, once = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count_if(F.col("c") == 1)).first()
     discount = min(0.9, max(0.1, once / max(1, v)))
     # Of each class, at most CLASSES of them: its share of all discounted counts.

@@ -257,3 +257,44 @@ def test_texts_are_spelt_once_for_all_passes(spark):
         assert whole == own
     counted = [sorted(zip(*(np.concatenate([x.column(n).to_numpy() for x in lm._follow(b, path)]).tolist() for n in ("before", "after", "c")), strict=True)) for b in (given, batches)]
     assert counted[0] == counted[1]
+
+
+def test_a_step_takes_its_places_in_blocks(monkeypatch):
+    rnd = np.random.default_rng(8)
+    model = lm.Attention((40, 24), np.arange(60) % 2 == 0)
+    for name in model.names():
+        setattr(model, name, rnd.normal(0, 0.5, getattr(model, name).shape))
+    window, target = np.minimum(rnd.integers(0, 40, (30, 2 * lm.HALF)), rnd.integers(0, 40, (30, 1))), rnd.integers(0, 24, 30 * lm.HALF)
+    weight = (rnd.random(target.size) < 0.8).astype(float)
+    asked = lm.InOrder(window.ravel())
+    for n in (1, 7, 100, 10**6):
+        blocks = list(asked.blocks(n))
+        assert [b[0] for b in blocks] == [0, *(b[1] for b in blocks[:-1])] and blocks[-1][1] == window.size
+        assert len(blocks) == 1 if n > window.size else len(blocks) > 1
+        runs = [r for b in blocks for r in b[2]]
+        assert [k for a, b, _, length in runs for k in asked.runs[a:b].tolist() for _ in range(length)] == asked.keys.tolist() == window.ravel()[asked.order].tolist()
+    found = []
+    for places in (1, 50, 10**6):
+        monkeypatch.setattr(lm, "PLACES", places)
+        found.append(model.step(window, target, weight))
+    for name in model.names():
+        assert np.allclose(found[0][name], found[2][name], atol=1e-12) and np.allclose(found[1][name], found[2][name], atol=1e-12), name
+
+
+def test_words_are_counted_from_what_is_spelt(spark, monkeypatch):
+    path = queries.vocabulary("byte_bpe_multi_50k.tiktoken")
+    spell = lm.speller(path)
+    texts = ["One two", None, "", "two ONE one x", " \t", "wörds two " * 300, "x" * 500]
+    df = spark.createDataFrame([(t, i) for i, t in enumerate(texts)], "text string, doc_id long").repartition(3)
+    class_of = np.arange(spell.size) % 50
+    shared = spark.sparkContext.broadcast(class_of)
+    spelt = df.mapInArrow(lambda b: lm._spell(b, path), "ids binary, words binary, doc_id long")
+    want = collections.Counter(w for t in texts for w in lm.words_of(t))
+    rows = lambda found: sorted((r.word, r.c, r["class"]) for r in found.collect())
+    whole = sorted((int(lm.signed([lm.word_hash(w)])[0]), c, int(class_of[spell.spell(w)[0]])) for w, c in want.items())
+    assert rows(lm.count_words(spelt, path, shared)) == whole
+    monkeypatch.setattr(lm, "WORDS_AT_ONCE", 5)
+    monkeypatch.setattr(lm, "COUNTED_WORDS", 3)
+    parts = list(lm._count(spelt.select("ids", "words").toArrow().to_batches(), path, class_of))
+    assert len(parts) > 1 and sum(sum(p.column("c").to_pylist()) for p in parts) == sum(want.values())
+    assert rows(lm.count_words(spelt.limit(0), path, shared)) == []
