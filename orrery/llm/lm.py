@@ -65,6 +65,8 @@ LIMITS = {"q": 2.0, "k": 2.0, "v": 2.0, "far": 6.0, "out": 1.0, "last": 20.0}
 WORDS_AT_ONCE, WINDOWS = 50_000, 32
 #: Places whose logits are held at a time while learning.
 PLACES = 384
+#: Of the scored places in a window from all places in it.
+DISTANCE = np.arange(HALF - 1, 2 * HALF - 1)[:, None] - np.arange(2 * HALF)[None, :]
 END = b""
 
 
@@ -263,8 +265,7 @@ class Attention:
 
     def _distances(self) -> np.ndarray:
         """Bias by distance; what comes after the asking place is masked."""
-        d = np.arange(HALF - 1, 2 * HALF - 1)[:, None] - np.arange(2 * HALF)[None, :]
-        return np.where(d >= 0, self.far[np.maximum(d, 0)], np.float32(-1e9)).astype(np.float32)
+        return np.where(DISTANCE >= 0, self.far[np.maximum(DISTANCE, 0)], np.float32(-1e9)).astype(np.float32)
 
     def step(self, window: np.ndarray, target: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
         """Gradients of the mean loss on classes target of the scored places, weight 0 for blanks. window: inputs, (n, 2 * HALF).
@@ -300,11 +301,13 @@ class Attention:
             for a, b, at, length in runs:
                 own = slice(at - begin, at - begin + (b - a) * length)
                 g["last"][asked.runs[a:b]] = (scale[own].reshape(b - a, 1, length) @ logits[own].reshape(b - a, length, -1))[:, 0]
-        dm = np.empty_like(mean)
+        dm, level = np.empty_like(mean), np.empty_like(weight, slope.dtype)
         dm[asked.order] = slope
+        # The mean of a place's slopes by p is the product of its mean and that mean's slope.
+        level[asked.order] = np.einsum("ij,ij->i", slope, mean)
         dm = dm.reshape(n, HALF, DIM)
         ds = dm @ v.transpose(0, 2, 1)
-        ds -= np.einsum("nij,nij->ni", ds, p)[:, :, None]
+        ds -= level.reshape(n, HALF, 1)
         ds *= p
         both = np.empty((n, 2 * HALF, 2 * DIM), p.dtype)
         np.matmul(p.transpose(0, 2, 1), dm, out=both[:, :, :DIM])
@@ -312,8 +315,8 @@ class Attention:
         both = read.sums(both.reshape(-1, 2 * DIM).take(read.order, axis=0), self.v)
         g["v"], g["k"] = both[:, :DIM].copy(), both[:, DIM:].copy()
         g["q"] = asked.sums((ds @ k).reshape(-1, DIM).take(asked.order, axis=0), self.q)
-        d = np.arange(HALF - 1, 2 * HALF - 1)[:, None] - np.arange(2 * HALF)[None, :]
-        g["far"] = np.bincount(d[d >= 0], ds.sum(axis=0)[d >= 0], 2 * HALF).astype(np.float32)
+        # What comes after the asking place has p 0.
+        g["far"] = np.bincount(np.maximum(DISTANCE, 0).ravel(), np.ones(n, ds.dtype) @ ds.reshape(n, -1), 2 * HALF).astype(np.float32)
         return g
 
     def log_probabilities(self, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -743,7 +746,8 @@ def score(docs: DataFrame, held_out: Column, path: str, sample: int = SAMPLE, fr
                 first = np.flatnonzero(spell.starts[flat])
                 p, opens = model.word_log10(flat, first, size)
                 r = np.exp(opens * np.log(10)) * inverse[model.class_of[flat[first]]]
-                found = np.searchsorted(top, hashes)
+                found, order = np.empty(hashes.size, np.int64), np.argsort(hashes)
+                found[order] = np.searchsorted(top, hashes[order])  # faster by far in order
                 found[found == top.size] = 0
                 is_top = top[found] == hashes if top.size else np.zeros(hashes.size, bool)
                 starts = np.cumsum(size) - size
