@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.functions import vectors as V
+from orrery.operators import tiles
 
 #: Queries broadcast at once (at 1024 dimensions 32 MB in doubles); more are taken in blocks, each with its own scan.
 MOST_QUERIES = 4096
@@ -59,12 +60,6 @@ def _matrix(found: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return found.column("query_id").to_numpy(), q.reshape(found.num_rows, -1 if found.num_rows else 0)
 
 
-def scores(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
-    """Of each query with each row, in doubles."""
-    s = q @ x.T
-    return s if V.higher_is_nearer(metric) else (q * q).sum(axis=1)[:, None] - 2 * s + (x * x).sum(axis=1)[None, :]
-
-
 def rank_by(df: DataFrame, by: str, k: int, metric: str, tie: str) -> DataFrame:
     """Per value of by: the k nearest, with their rank."""
     w = Window.partitionBy(by).orderBy(*V.nearest_first("score", tie, metric))
@@ -77,28 +72,16 @@ def batch_topk(rows: DataFrame, queries, k: int, metric: str = "cosine", vec: st
 
     digits: scores are rounded to so many places before they are ranked, so that equal vectors tie whatever the order of sums.
 
-    One matrix product for each Arrow batch and the k best of the batch for each query; only those are
+    Products of matrices in tiles; each task holds the k best so far of each query of a block, and only those are
     shuffled. rows: tie (long), vec; queries: query_id (long), vec.
     """
     shared = rows.sparkSession.sparkContext.broadcast(queries)
 
+    def read(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, None]:
+        return batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy().astype(np.float64).reshape(batch.num_rows, -1), None
+
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q = shared.value
-        for batch in batches:
-            if not batch.num_rows or not ids.size or k <= 0:
-                continue
-            own = batch.column(0).to_numpy()
-            x = batch.column(1).flatten().to_numpy().astype(np.float64).reshape(batch.num_rows, -1)
-            if x.shape[1] != q.shape[1]:
-                raise ValueError(f"rows have {x.shape[1]} dimensions, queries {q.shape[1]}")
-            s = scores(q, x, metric)
-            s = s if digits is None else np.round(s, digits)
-            key = -s if V.higher_is_nearer(metric) else s
-            n = min(k, own.size)
-            # All that reach the k-th best: ties are settled by the final ranking.
-            limit = np.partition(key, n - 1, axis=1)[:, n - 1 : n]
-            i, j = np.nonzero(key <= limit)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(own[j]), pa.array(s[i, j])], names=["query_id", tie, "score"])
+        return tiles.search(batches, read, *shared.value, k, metric, tie, digits=digits)
 
     near = rows.where(F.col(vec).isNotNull()).select(F.col(tie).cast("long").alias(tie), vec).mapInArrow(scan, f"query_id long, {tie} long, score double")
     return rank_by(near, "query_id", k, metric, tie)
