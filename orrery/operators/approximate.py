@@ -6,6 +6,7 @@ import heapq
 import io
 import math
 from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -14,43 +15,49 @@ from pyspark.sql import functions as F
 
 from orrery.functions import vectors as V
 from orrery.operators import quantize as Q
+from orrery.operators import tiles
 from orrery.operators.flat import batch_topk, by_blocks, rank_by, rerank
+from orrery.sources import files
 
 # Two tiers ---------------------------------------------------------------------------------------------
 
 
+@dataclass
+class Scorer:
+    """Rough scores as products: what stands for rows (of their bytes) and for queries, the metric of their product, and a score of it."""
+
+    metric: str
+    rows: Callable[[np.ndarray], np.ndarray]
+    queries: Callable[[np.ndarray], np.ndarray] = lambda q: q
+    final: Callable[[np.ndarray], np.ndarray] = lambda s: s
+
+
+def _codes(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+
+
 @by_blocks
-def coarse(codes: DataFrame, queries, n: int, score_rows, metric: str, tie: str = "row") -> DataFrame:
-    """query_id, row, score, rank by a numpy scorer of codes: score_rows(list of binary, query) -> scores."""
-    shared = codes.sparkSession.sparkContext.broadcast(queries)
+def coarse(codes: DataFrame, queries, n: int, score: Scorer, metric: str, tie: str = "row") -> DataFrame:
+    """query_id, row, score, rank by codes (row, codes)."""
+    ids, q = queries
+    shared = codes.sparkSession.sparkContext.broadcast((ids, score.queries(q) if len(q) else q))
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q = shared.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            own = batch.column(0).to_numpy()
-            data = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-            for i, query in zip(ids, q, strict=True):
-                s = score_rows(data, query)
-                key = -s if V.higher_is_nearer(metric) else s
-                m = min(n, own.size)
-                j = np.flatnonzero(key <= np.partition(key, m - 1)[m - 1])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(j.size, i)), pa.array(own[j]), pa.array(s[j])], names=["query_id", tie, "score"])
+        return tiles.search(batches, lambda batch: (batch.column(0).to_numpy(), score.rows(_codes(batch.column(1))), None), *shared.value, n, score.metric, tie, final=score.final)
 
     return rank_by(codes.select(F.col(tie).cast("long").alias(tie), "codes").mapInArrow(scan, f"query_id long, {tie} long, score double"), "query_id", n, metric, tie)
 
 
-def scorer(codec: str, metric: str, book: Q.Codebook | None = None) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
-    """Scores of a codec's rows (bytes) for a query."""
-    plain = lambda x, q: x @ q if metric != "l2" else ((x - q) ** 2).sum(axis=1)
+def scorer(codec: str, metric: str, book: Q.Codebook | None = None) -> Scorer:
+    """Scores of a codec's rows (bytes) for queries."""
     sign = -1.0 if V.higher_is_nearer(metric) else 1.0
     return {
-        "f16": lambda data, q: plain(data.view("<f2").astype(np.float64), q),
-        "int8": lambda data, q: plain(Q.int8_rows(data), q),
-        "binary": lambda data, q: sign * np.bitwise_count(data ^ np.packbits(q >= 0)[None, :]).sum(axis=1, dtype=np.int64),
-        "pq": lambda data, q: book.scores(data, q, metric),
-    }[codec]
+        "f16": lambda: Scorer(metric, lambda data: data.view("<f2").astype(np.float64)),
+        "int8": lambda: Scorer(metric, Q.int8_rows),
+        # Of bits the squared distance is the number of those that differ.
+        "binary": lambda: Scorer("l2", lambda data: np.unpackbits(data, axis=1).astype(np.float64), lambda q: np.unpackbits(np.packbits(q >= 0, axis=1), axis=1).astype(np.float64), lambda s: sign * s),
+        "pq": lambda: Scorer(metric, book.decode),
+    }[codec]()
 
 
 def encoded(rows: DataFrame, codec: str, book: Q.Codebook | None = None) -> DataFrame:
@@ -58,9 +65,17 @@ def encoded(rows: DataFrame, codec: str, book: Q.Codebook | None = None) -> Data
     return Q.with_pq_codes(rows, book) if codec == "pq" else Q.with_codes(rows, codec)
 
 
+#: Candidates of a query that are listed; more are scored where they are found.
+MOST_LISTED = 128
+
+
 def two_tier(rows: DataFrame, codes: DataFrame, queries: DataFrame, k: int, codec: str, metric: str = "cosine", n: int | None = None, book: Q.Codebook | None = None) -> DataFrame:
     """A scan of codes for n candidates of each query, then their exact scores from rows."""
-    return rerank(coarse(codes, queries, n or V.over_fetch(k), scorer(codec, metric, book), metric), rows, queries, k, metric)
+    n, score = n or V.over_fetch(k), scorer(codec, metric, book)
+    if n <= max(k, MOST_LISTED):
+        return rerank(coarse(codes, queries, n, score, metric), rows, queries, k, metric)
+    beside = codes.select("row", "codes").join(rows.where(F.col("vec").isNotNull()).select("row", "vec"), "row")
+    return wide(files.kept(beside, "beside"), queries, k, n, metric, score)
 
 
 def two_tier_pq(rows: DataFrame, queries: DataFrame, k: int, book: Q.Codebook, metric: str = "cosine", ratio: float | None = None) -> DataFrame:
@@ -141,19 +156,7 @@ def ivf_search(assigned: DataFrame, centroids: np.ndarray, queries, k: int, npro
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q, near = shared.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            own, lists, x = batch.column(0).to_numpy(), batch.column(2).to_numpy(), Q.matrix(batch.column(1))
-            for i, query, probed in zip(ids, q, near, strict=True):
-                at = np.flatnonzero(np.isin(lists, probed))
-                if not at.size:
-                    continue
-                s = x[at] @ query if metric != "l2" else ((x[at] - query) ** 2).sum(axis=1)
-                key = -s if metric != "l2" else s
-                m = min(k, at.size)
-                j = np.flatnonzero(key <= np.partition(key, m - 1)[m - 1])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(j.size, i)), pa.array(own[at[j]]), pa.array(s[j])], names=["query_id", tie, "score"])
+        return tiles.search(batches, lambda batch: (batch.column(0).to_numpy(), Q.matrix(batch.column(1)), batch.column(2).to_numpy()), ids, q, k, metric, tie, near)
 
     found = assigned.where(F.col("list").isin(wanted)).select(tie, "vec", "list").mapInArrow(scan, f"query_id long, {tie} long, score double")
     return rank_by(found, "query_id", k, metric, tie)
@@ -191,7 +194,7 @@ def residual_codes(assigned: DataFrame, centroids: np.ndarray, book: Q.Codebook,
 def code_search(coded: DataFrame, centroids: np.ndarray, book: Q.Codebook, queries, n: int, nprobe: int, metric: str = "cosine", tie: str = "row") -> DataFrame:
     """query_id, row, score, rank: the n best of the probed lists by codes (row, codes, list).
 
-    For dot and cosine a row's rough score is that of its centroid plus that of the difference, so that lists can be compared.
+    A row's rough score is that of its centroid and its coded difference, so that lists can be compared.
     """
     ids, q = queries
     near = probe(centroids, q, nprobe, metric)
@@ -199,35 +202,146 @@ def code_search(coded: DataFrame, centroids: np.ndarray, book: Q.Codebook, queri
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q, near, centroids, book = shared.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            own, lists = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-            codes = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-            for i, query, probed in zip(ids, q, near, strict=True):
-                rows, scores = [], []
-                for c in probed:
-                    at = np.flatnonzero(lists == c)
-                    if at.size:
-                        rows.append(at)
-                        scores.append(book.scores(codes[at], query - centroids[c], "l2") if metric == "l2" else query @ centroids[c] + book.scores(codes[at], query, metric))
-                if not rows:
-                    continue
-                at, s = np.concatenate(rows), np.concatenate(scores)
-                key = s if metric == "l2" else -s
-                m = min(n, at.size)
-                j = np.flatnonzero(key <= np.partition(key, m - 1)[m - 1])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(j.size, i)), pa.array(own[at[j]]), pa.array(s[j])], names=["query_id", tie, "score"])
+        return tiles.search(batches, lambda batch: (batch.column(0).to_numpy(), centroids[batch.column(2).to_numpy()] + book.decode(_codes(batch.column(1))), batch.column(2).to_numpy()), ids, q, n, metric, tie, near)
 
     found = coded.where(F.col("list").isin(sorted({int(x) for x in near.ravel()}))).select(tie, "codes", "list").mapInArrow(scan, f"query_id long, {tie} long, score double")
     return rank_by(found, "query_id", n, metric, tie)
 
 
+def coded_lists_search(assigned: DataFrame, coded: DataFrame, centroids: np.ndarray, book: Q.Codebook, queries: DataFrame, k: int, n: int, nprobe: int, metric: str = "cosine", tie: str = "row") -> DataFrame:
+    """The k nearest by exact scores (assigned: row, vec) of n candidates in the probed lists by codes (row, codes, list)."""
+    rows = assigned.where(F.col("vec").isNotNull()).select(tie, "vec")
+    if n <= max(k, MOST_LISTED):
+        return rerank(code_search(coded, centroids, book, queries, n, nprobe, metric, tie), rows, queries, k, metric, tie)
+    beside = coded.select(tie, "codes", "list").join(rows, tie).select(tie, "codes", "vec", "list").sortWithinPartitions("list")
+    return wide(files.kept(beside, "beside"), queries, k, n, metric, Scorer(metric, book.decode), centroids, nprobe, tie)
+
+
 def ivfpq_search(assigned: DataFrame, centroids: np.ndarray, queries: DataFrame, k: int, nprobe: int, parts: int = 8, metric: str = "cosine", tie: str = "row", n: int | None = None) -> DataFrame:
     """Candidates by codes of residuals in the probed lists, then exact scores. For tables that keep no codes; an index keeps them."""
     book = residual_book(assigned, centroids, parts, tie)
-    found = code_search(residual_codes(assigned, centroids, book, tie), centroids, book, queries, n or V.over_fetch(k), nprobe, metric, tie)
-    return rerank(found, assigned.select(tie, "vec"), queries, k, metric, tie)
+    return coded_lists_search(assigned, residual_codes(assigned, centroids, book, tie), centroids, book, queries, k, n or V.over_fetch(k), nprobe, metric, tie)
+
+
+# Many candidates ---------------------------------------------------------------------------------------
+
+#: Steps of a query's rough scores that are counted.
+STEPS = 512
+
+
+def wide(beside: DataFrame, queries: DataFrame, k: int, n: int, metric: str, score: Scorer, centroids: np.ndarray | None = None, nprobe: int = 0, tie: str = "row") -> DataFrame:
+    """query_id, row, score, rank: the k nearest by exact scores of at least n candidates of each query by rough ones.
+
+    beside: row, codes, vec (and list). Rows are counted by steps of their rough scores, from which follows the score that n of them
+    reach; in a second scan those that reach it are scored where they are found, so candidates are never listed. All of the last step come along.
+    """
+    most = float(beside.mapInArrow(_lengths(beside, score, centroids), "most double").agg(F.max("most")).first()[0] or 0.0)
+    limits = _limits(beside, queries, n, metric, score, most, centroids, nprobe, tie)
+    # The limit goes with its query as a last component.
+    limited = files.kept(queries.select("query_id", "vec").join(limits, "query_id").select("query_id", F.concat(F.col("vec").cast("array<double>"), F.array("limit")).alias("vec")), "limited")
+    return _within(beside, limited, k, metric, score, centroids, nprobe, tie)
+
+
+def _rough(score: Scorer, centroids: np.ndarray | None) -> Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray | None]]:
+    """Of a batch (row, codes, vec or not, list last if there are lists): what stands for its rows, and their lists."""
+
+    def read(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray | None]:
+        x = score.rows(_codes(batch.column(1)))
+        if centroids is None:
+            return x, None
+        lists = batch.column(batch.num_columns - 1).to_numpy()
+        return centroids[lists] + x, lists
+
+    return read
+
+
+def _lengths(beside: DataFrame, score: Scorer, centroids: np.ndarray | None):
+    shared = beside.sparkSession.sparkContext.broadcast(centroids)
+
+    def longest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = _rough(score, shared.value)
+        most = max((float(np.sqrt((x * x).sum(axis=1)).max()) for x, _ in (read(b) for b in batches if b.num_rows)), default=0.0)
+        yield pa.RecordBatch.from_arrays([pa.array([most])], names=["most"])
+
+    return longest
+
+
+def _ranges(q: np.ndarray, most: float, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """For each query between which keys (lower is nearer) those of rows of at most that length lie."""
+    own = np.sqrt((q * q).sum(axis=1))
+    low, high = (-own * most, own * most) if V.higher_is_nearer(metric) else (np.maximum(own - most, 0) ** 2, (own + most) ** 2)
+    return low, np.maximum(high, low + 1e-9)
+
+
+@by_blocks
+def _limits(beside: DataFrame, queries, n: int, metric: str, score: Scorer, most: float, centroids: np.ndarray | None, nprobe: int, tie: str) -> DataFrame:
+    """query_id, limit: a key that at least n rows of those seen reach, or all."""
+    ids, q = queries
+    near = None if centroids is None else probe(centroids, q, nprobe, metric)
+    q = score.queries(q) if len(q) else q
+    shared = beside.sparkSession.sparkContext.broadcast((ids, q, near, centroids))
+
+    def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, q, near, centroids = shared.value
+        if not ids.size:
+            return
+        read, probed = _rough(score, centroids), None if near is None else tiles.Probed(near)
+        low, high = _ranges(q, most, score.metric)
+        counts = np.zeros((ids.size, STEPS), np.int32)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, lists = read(batch)
+            for at, own in tiles.plain(ids.size, len(x)) if probed is None else probed.tiles(lists):
+                key = tiles.keys(q[at], x[own], score.metric)
+                step = ((key - low[at, None]) * (STEPS / (high - low)[at, None])).astype(np.int32)
+                step = np.clip(step, 0, STEPS - 1, out=step) + np.arange(at.size, dtype=np.int32)[:, None] * STEPS
+                counts[at] += np.bincount(step.ravel(), minlength=at.size * STEPS).reshape(at.size, STEPS).astype(np.int32)
+        for a in range(0, ids.size, 256):
+            own = counts[a : a + 256]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[a : a + 256]), pa.array([c.tobytes() for c in own], pa.binary())], names=["query_id", "counts"])
+
+    def merged(table: pa.Table) -> pa.Table:
+        own, place = np.unique(table.column("query_id").to_numpy(), return_inverse=True)
+        total = np.zeros((own.size, STEPS), np.int64)
+        for batch, at in zip(table.to_batches(256), np.split(place, np.cumsum([b.num_rows for b in table.to_batches(256)])[:-1]), strict=True):
+            np.add.at(total, at, np.frombuffer(b"".join(batch.column("counts").to_pylist()), np.int32).reshape(-1, STEPS))
+        ids, q, _, _ = shared.value
+        low, high = _ranges(q[np.searchsorted(ids, own)], most, score.metric)
+        at = np.minimum((np.cumsum(total, axis=1) < n).sum(axis=1), STEPS - 1)
+        # A step's end is reached by all in it; the last has no end.
+        limit = np.where(at == STEPS - 1, np.inf, low + (at + 1) * (high - low) / STEPS + 1e-9 * (high - low))
+        return pa.table({"query_id": pa.array(own), "limit": pa.array(limit)})
+
+    names = [tie, "codes"] if centroids is None else [tie, "codes", "list"]
+    steps = beside.select(*names).mapInArrow(counted, "query_id long, counts binary")
+    return steps.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(64))).groupBy("part").applyInArrow(merged, "query_id long, limit double")
+
+
+@by_blocks
+def _within(beside: DataFrame, queries, k: int, metric: str, score: Scorer, centroids: np.ndarray | None, nprobe: int, tie: str) -> DataFrame:
+    """The k nearest by exact scores of the rows whose rough key is within the limit, a query's last component."""
+    ids, both = queries
+    q, limit = both[:, :-1], both[:, -1] if len(both) else np.zeros(0)
+    near = None if centroids is None else probe(centroids, q, nprobe, metric)
+    shared = beside.sparkSession.sparkContext.broadcast((ids, q, limit, near, centroids))
+
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, q, limit, near, centroids = shared.value
+        if not ids.size:
+            return
+        read, probed, rough = _rough(score, centroids), None if near is None else tiles.Probed(near), score.queries(q)
+        best = tiles.Best(ids.size, k, metric)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows, vec, (x, lists) = batch.column(0).to_numpy(), Q.matrix(batch.column(2)), read(batch)
+            for at, own in tiles.plain(ids.size, rows.size) if probed is None else probed.tiles(lists):
+                best.offer(at, q[at], rows[own], vec[own], tiles.keys(rough[at], x[own], score.metric) <= limit[at, None])
+        yield from best.answers(ids, tie)
+
+    found = beside.mapInArrow(scan, f"query_id long, {tie} long, score double")
+    return rank_by(found, "query_id", k, metric, tie)
 
 
 # Settings by measured recall ---------------------------------------------------------------------------
@@ -279,6 +393,40 @@ def candidates_by_recall(rows: DataFrame, rough: Callable[[DataFrame, int], Data
         n = min(4 * n, total)
 
 
+def candidates_by_place(rows: DataFrame, coded: DataFrame, score: Scorer, k: int, metric: str = "cosine", centroids: np.ndarray | None = None, tie: str = "row") -> int:
+    """As candidates_by_recall, by codes (row, codes, list if there are centroids): in one scan the rows before each true neighbour are counted."""
+    tried = trials(rows, tie).toArrow()
+    if not tried.num_rows:
+        return k
+    names = [tie, "codes"] if centroids is None else [tie, "codes", "list"]
+    truth = _neighbours(rows, rows.sparkSession.createDataFrame(tried), k, metric, tie)
+    # TRIALS times k rows at most.
+    own = truth.join(coded.select(*names), tie).select(*names, "query_id").toArrow().combine_chunks()
+    if not own.num_rows:
+        return k
+    ids, q = tried.column("query_id").to_numpy(), score.queries(np.array(tried.column("vec").to_pylist(), np.float64))
+    of = np.array([{int(i): p for p, i in enumerate(ids)}[int(i)] for i in own.column("query_id").to_pylist()])
+    x, _ = _rough(score, centroids)(own.select(names).to_batches()[0])
+    found = (own.column(tie).to_numpy(), of, tiles.pair_keys(q[of], x, score.metric), tiles.slack(q, x)[of])
+    shared = coded.sparkSession.sparkContext.broadcast((q, found, centroids))
+
+    def before(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q, (row, of, key, slack), centroids = shared.value
+        read, counts = _rough(score, centroids), np.zeros(row.size, np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows, (x, _) = batch.column(0).to_numpy(), read(batch)
+            tile = tiles.keys(q, x, score.metric)
+            for p in range(row.size):
+                far = tile[of[p]] - key[p]
+                counts[p] += np.count_nonzero((far < -slack[p]) | ((far <= slack[p]) & (rows < row[p])))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(row.size)), pa.array(counts)], names=["at", "n"])
+
+    places = coded.select(*names).mapInArrow(before, "at long, n long").groupBy("at").agg((F.sum("n") + 1).alias("place"))
+    return max(enough(places) or 1, k)
+
+
 # Small-world graphs ------------------------------------------------------------------------------------
 
 

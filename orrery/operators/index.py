@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from orrery.functions import vectors as V
 from orrery.operators import approximate as A
 from orrery.operators import quantize as Q
-from orrery.operators.flat import batch_topk, rerank
+from orrery.operators.flat import batch_topk
 from orrery.sources import files
 
 
@@ -89,7 +89,7 @@ class CodedListIndex(ListIndex):
         parts = next(p for p in (8, 4, 2, 1) if centroids.shape[1] % p == 0)
         book = A.residual_book(assigned, centroids, parts)
         A.residual_codes(assigned, centroids, book).write.partitionBy("list").parquet(f"{path}/codes")
-        n = A.candidates_by_recall(assigned, lambda q, n: A.code_search(self._codes(spark, path, None), centroids, book, q, n, len(centroids), metric), FOR_K, metric)
+        n = A.candidates_by_place(assigned, self._codes(spark, path, None), A.Scorer(metric, book.decode), FOR_K, metric, centroids)
         files.delete(spark, f"{path}/settings.json")
         _write_settings(spark, path, **own, book=base64.b64encode(book.dump()).decode(), candidates=n)
 
@@ -101,8 +101,7 @@ class CodedListIndex(ListIndex):
         if "book" not in own:
             return super().search(spark, path, queries, k, metric, hidden)
         book = Q.Codebook.load(base64.b64decode(own["book"]))
-        found = A.code_search(self._codes(spark, path, hidden), np.array(own["centroids"]), book, queries, max(own["candidates"], V.over_fetch(k)), own["probes"], metric)
-        return rerank(found, self._rows(spark, path, None), queries, k, metric)
+        return A.coded_lists_search(self._rows(spark, path, None), self._codes(spark, path, hidden), np.array(own["centroids"]), book, queries, k, max(own["candidates"], V.over_fetch(k)), own["probes"], metric)
 
 
 class TierIndex:
@@ -118,7 +117,7 @@ class TierIndex:
             sample = Q.sample(rows)
             book = Q.train_pq(sample, next(p for p in (8, 4, 2, 1) if sample.shape[1] % p == 0))
         codes = _keep(A.encoded(rows, self.codec, book), f"{path}/codes")
-        n = A.candidates_by_recall(rows, lambda q, n: A.coarse(codes, q, n, A.scorer(self.codec, metric, book), metric), FOR_K, metric)
+        n = A.candidates_by_place(rows, codes, A.scorer(self.codec, metric, book), FOR_K, metric)
         _write_settings(spark, path, candidates=n, book=None if book is None else base64.b64encode(book.dump()).decode())
 
     def search(self, spark, path, queries, k, metric, hidden):

@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows that fits see at most.
-SAMPLE = 65_536
+#: Rows that fits see at most, and distances held at once (8 MB).
+SAMPLE, NEAR = 65_536, 1 << 20
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -31,7 +31,9 @@ def sample(rows: DataFrame, vec: str = "vec", key: str = "row", most: int = SAMP
 
 def nearest(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     """Index of the nearest centroid; the lower index of equals."""
-    return np.argmin((centroids * centroids).sum(axis=1)[None, :] - 2 * x @ centroids.T, axis=1)
+    step, own = max(1, NEAR // max(1, len(centroids))), (centroids * centroids).sum(axis=1)[None, :]
+    parts = [np.argmin(own - 2 * x[a : a + step] @ centroids.T, axis=1) for a in range(0, len(x), step)]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
 
 
 def kmeans(x: np.ndarray, k: int, iterations: int = 12, seed: int = 3) -> np.ndarray:
