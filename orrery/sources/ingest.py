@@ -73,13 +73,31 @@ def embed(df: DataFrame, text: str = "text", dim: int = 64, task: str = "") -> D
     task: a prefix for queries or documents, as encoders take.
     """
     words = F.filter(F.split(F.lower(F.concat(F.lit(task), F.col(text))), r"\W+"), lambda w: F.length(w) > 0)
-    # One pass over the words, so that each is hashed once.
     number = lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("long")
-    sign = lambda h: F.when(F.shiftright(h, 20).bitwiseAND(F.lit(1)) == 1, 1.0).otherwise(-1.0)
-    add = lambda sums, h: F.transform(sums, lambda x, i: F.when(F.pmod(h, F.lit(dim)) == i, x + sign(h)).otherwise(x))
-    unit = lambda sums, n: F.transform(sums, lambda x: F.when(n > 0, x / n).otherwise(x).cast("float"))
-    length = lambda sums: F.sqrt(F.aggregate(sums, F.lit(0.0), lambda s, x: s + x * x))
-    return df.withColumn("vec", F.aggregate(F.transform(words, number), F.array_repeat(F.lit(0.0), dim), add, lambda sums: unit(sums, length(sums))))
+    return df.withColumn("vec", _summed(dim)(F.transform(words, number)))
+
+
+#: Texts whose words are summed at once.
+TEXTS = 512
+
+
+def _summed(dim: int):
+    """Numbers of words to a vector of unit length: each adds or takes one in its component. All sums are whole numbers, so their order is free."""
+
+    @F.arrow_udf("array<float>")
+    def summed(numbers: pa.Array) -> pa.Array:
+        parts = []
+        for at in range(0, len(numbers), TEXTS):
+            own = numbers.slice(at, TEXTS)
+            h = own.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            text = np.repeat(np.arange(len(own)), own.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            sums = np.bincount(text * dim + h % dim, np.where((h >> 20) & 1, 1.0, -1.0), len(own) * dim).reshape(len(own), dim)
+            length = np.sqrt((sums * sums).sum(axis=1))[:, None]
+            parts.append((sums / np.where(length > 0, length, 1.0)).astype(np.float32))
+        values = np.concatenate(parts).ravel() if parts else np.zeros(0, np.float32)
+        return pa.ListArray.from_arrays(np.arange(len(numbers) + 1, dtype=np.int32) * dim, pa.array(values, pa.float32()), mask=numbers.is_null())
+
+    return summed
 
 
 def bulk_export(df: DataFrame, path: str, kind: str = "parquet") -> None:

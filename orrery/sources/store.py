@@ -168,11 +168,10 @@ class Store:
 
     def append(self, name: str, points: DataFrame) -> int:
         """points: name, span, content_ref, vectors map<string, array<float>>. Whole or not at all; the number written."""
-        bad = self.checked(name, points).where("fault IS NOT NULL").select("name", "fault").limit(1).collect()
-        if bad:
-            raise ValueError(f"{bad[0][0]!r}: {bad[0][1]}")
+        if self.get(name) is None:
+            raise KeyError(name)
         self.recover(name)
-        return self._apply(name, self.log(name, points))
+        return self._apply(name, self.log(name, points, check=True))
 
     # Log
 
@@ -182,13 +181,21 @@ class Store:
         text = F.to_json(F.struct("name", "span", "content_ref", F.array_sort(F.map_entries("vectors")).alias("vectors")))
         return tuple(rows.agg(F.count("*"), F.coalesce(F.sum(F.crc32(text.cast("binary"))), F.lit(0))).first())
 
-    def log(self, name: str, points: DataFrame) -> int:
-        """Write a batch to the log; its number. It counts as written once its marker is there."""
+    def log(self, name: str, points: DataFrame, check: bool = False) -> int:
+        """Write a batch to the log; its number. It counts as written once its marker is there.
+
+        check: rows are checked as they lie there, so that points are made once; with a fault in one the entry goes.
+        """
         numbers = [int(n) for n in files.names(self.spark, f"{self._at(name)}/log") if n.isdigit()]
         number = max([self.manifest(name)["logged"], *numbers]) + 1
         own = f"{self._at(name)}/log/{number}"
         points.select("name", F.col("span").cast("struct<start_ms:bigint,end_ms:bigint>").alias("span"), "content_ref", "vectors").write.parquet(f"{own}/rows")
-        rows, checksum = self._sum(self.spark.read.parquet(f"{own}/rows"))
+        stored = self.spark.read.parquet(f"{own}/rows")
+        bad = self.checked(name, stored).where("fault IS NOT NULL").select("name", "fault").limit(1).collect() if check else None
+        if bad:
+            files.delete(self.spark, own)
+            raise ValueError(f"{bad[0][0]!r}: {bad[0][1]}")
+        rows, checksum = self._sum(stored)
         files.write_text(self.spark, f"{own}/whole.json", json.dumps({"rows": rows, "sum": checksum}))
         return number
 
