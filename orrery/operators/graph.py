@@ -39,7 +39,8 @@ def _followed(edges: DataFrame, edge_types: list[str] | None, visible: DataFrame
 
 def k_hop(seeds: DataFrame, edges: DataFrame, hops: int, edge_type: str | None = None, visible: DataFrame | None = None) -> DataFrame:
     """seed, name, hops (the least) of all that outgoing edges reach; never the seed. Hidden nodes are not passed through."""
-    steps = _followed(edges, None if edge_type is None else [edge_type], visible).select("src", "dst").distinct()
+    # Parallel edges are left in: what is reached is made distinct, and that is less than all edges.
+    steps = _followed(edges, None if edge_type is None else [edge_type], visible).select("src", "dst")
     if hops > 1:  # read once for each hop
         steps = kept(steps, "steps")
     frontier = seeds.select(F.col("name").alias("seed"), "name", F.lit(0).alias("hops")).distinct()
@@ -92,7 +93,8 @@ def traverse(start: DataFrame, edges: DataFrame, hops: int, decay: float = 1.0,
         edges = edges.where(~F.col("edge_type").isin(structural))
     if suppressed is not None:
         edges = edges.where(~suppressed)
-    steps = edges.groupBy("src", "dst").agg(F.max(F.col("weight").cast("double")).alias("weight"))
+    # Parallel edges are left in: the best path to a node takes the heaviest.
+    steps = edges.select("src", "dst", F.col("weight").cast("double").alias("weight"))
     if hops > 1:
         steps = kept(steps, "steps")
     front = start.select("name", F.lit(1.0).alias("score"), F.lit(0).cast("long").alias("hops"), F.array("name").alias("path"))
