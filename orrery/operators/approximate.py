@@ -583,7 +583,8 @@ def build_graphs(rows: DataFrame, metric: str, parts: int, m: int = 16, ef_build
         return pa.table({"part": table.column("part")[:1], "rows": pa.array([table.column(tie).to_pylist()], pa.list_(pa.int64())), "graph": pa.array([graph.dump()], pa.binary())})
 
     dealt = rows.where(F.col("vec").isNotNull()).select(F.col(tie).cast("long").alias(tie), "vec", F.pmod(F.xxhash64(tie), F.lit(parts)).cast("int").alias("part"))
-    return dealt.groupBy("part").applyInArrow(built, "part int, rows array<long>, graph binary")
+    # As many tasks as parts: small parts are not put together, so a task and a file hold few graphs.
+    return dealt.repartition(parts, "part").groupBy("part").applyInArrow(built, "part int, rows array<long>, graph binary")
 
 
 def hidden_by_part(graphs: DataFrame, hidden: DataFrame, tie: str = "row") -> DataFrame:
